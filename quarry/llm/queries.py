@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, langid, media, near_dedup, packing, substring_dedup, token_store, url_filter
+from quarry.llm import decontaminate, html_extract, langid, media, near_dedup, packing, quality, substring_dedup, token_store, url_filter
 from quarry.llm.common import crc_bucket, read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -18,6 +18,13 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality.learn(docs, labels.where(crc_bucket("doc_id", 5) != 0))
+    told = quality.score(docs.select("doc_id", "text"), model)
+    return told.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.remove_repeats(docs, window=35, keep_text=False)
@@ -48,6 +55,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), threshold=0.8)
     return found.select("doc_id", "item_id", "n_shared", "n_shingles", "containment")
@@ -58,7 +69,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules, default="allow").select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_near_dedup, op4_token_store, op5_media, op6_packing, op7_language_id, op9_decontamination, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_substring_dedup, op3_near_dedup, op4_token_store, op5_media, op6_packing, op7_language_id, op8_html_extract, op9_decontamination, op10_url_filter)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
