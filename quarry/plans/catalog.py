@@ -1,4 +1,549 @@
-"""The engine's registered queries and the SQL that they are compared with."""
+"""The engine's registered queries over the test tables, and the DuckDB SQL that each must equal.
 
-QUERIES: dict = {}
+The tables stand in for a code index: documents are files, conversations and benchmark items their parts, orders and
+customers targets to resolve, the TPC-like keys a graph. Each query uses the engine's operator on its whole tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry.functions import text as T
+from quarry.operators import evidence as E
+from quarry.operators import graph as G
+from quarry.operators import incremental as I
+from quarry.operators import search as S
+from quarry.operators import sequences as Q
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+SEARCH_TERMS = ["the", "on"]
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- scans, projections and scalar functions ------------------------------------------------------------------------
+
+
+@query("""
+SELECT 'file' AS entity_type, 'd' || d.doc_id AS entity_id, lang AS kind, source AS name, NULL AS owner, '' AS body,
+       1 + length(text) - length(replace(text, chr(10), '')) AS end_line FROM documents d
+UNION ALL SELECT 'chunk', 'c' || conv_id || '-' || turn, role, NULL, CASE WHEN l.doc_id IS NOT NULL THEN 'd' || l.doc_id END, text,
+       1 + length(text) - length(replace(text, chr(10), '')) FROM conversations LEFT JOIN labels l ON l.doc_id = conv_id
+UNION ALL SELECT 'fact', 'b' || item_id, 'benchmark', NULL, NULL, text, 1 FROM benchmark""")
+def search_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search document for every file, part and fact; parts with their owner, if there is one."""
+    lines = 1 + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    none = F.lit(None).cast("string")
+    files = table(spark, sf_dir, "documents").select(F.lit("file").alias("entity_type"), F.concat(F.lit("d"), "doc_id").alias("entity_id"), F.col("lang").alias("kind"), F.col("source").alias("name"), none.alias("owner"), F.lit("").alias("body"), lines.alias("end_line"))
+    owners = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id"), F.concat(F.lit("d"), "doc_id").alias("owner"))
+    parts = table(spark, sf_dir, "conversations").join(owners, "conv_id", "left")
+    chunks = parts.select(F.lit("chunk").alias("entity_type"), F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("entity_id"), F.col("role").alias("kind"), none.alias("name"), "owner", F.col("text").alias("body"), lines.alias("end_line"))
+    facts = table(spark, sf_dir, "benchmark").select(F.lit("fact").alias("entity_type"), F.concat(F.lit("b"), "item_id").alias("entity_id"), F.lit("benchmark").alias("kind"), none.alias("name"), none.alias("owner"), F.col("text").alias("body"), F.lit(1).alias("end_line"))
+    return files.unionByName(chunks).unionByName(facts)
+
+
+_TOKENS = "regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9_]+')"
+_BM25 = f"""
+WITH d AS (SELECT doc_id, {_TOKENS.format(c="text")} AS b, {_TOKENS.format(c="source")} AS n, {_TOKENS.format(c="lang")} AS q FROM documents),
+f AS (SELECT doc_id, len(b) + len(n) + len(q) AS dl,
+  8.0 * len(list_filter(n, lambda x: starts_with(x, 'the'))) + 6.0 * len(list_filter(q, lambda x: starts_with(x, 'the'))) + len(list_filter(b, lambda x: starts_with(x, 'the'))) AS f0,
+  8.0 * len(list_filter(n, lambda x: starts_with(x, 'on'))) + 6.0 * len(list_filter(q, lambda x: starts_with(x, 'on'))) + len(list_filter(b, lambda x: starts_with(x, 'on'))) AS f1 FROM d),
+t AS (SELECT count(*)::DOUBLE AS nd, avg(dl) AS mean, sum((f0 > 0)::INT)::DOUBLE AS n0, sum((f1 > 0)::INT)::DOUBLE AS n1 FROM f),
+i AS (SELECT *, greatest(CASE WHEN ln((nd - n0 + 0.5) / (n0 + 0.5)) > 0 THEN ln((nd - n0 + 0.5) / (n0 + 0.5)) ELSE 1e-6 END, 1e-6) AS i0,
+  CASE WHEN ln((nd - n1 + 0.5) / (n1 + 0.5)) > 0 THEN ln((nd - n1 + 0.5) / (n1 + 0.5)) ELSE 1e-6 END AS i1 FROM t),
+s AS (SELECT doc_id, i0 * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / mean)) + i1 * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / mean)) AS bm25
+  FROM f, i WHERE f0 > 0 AND f1 > 0)"""
+
+
+@query(f"{_BM25} SELECT doc_id, round(bm25 * 1e6, 3) AS micro, round(0.75 + 0.2 * bm25 / (1 + bm25), 6) AS score FROM s")
+def fts_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 of every document that has all prefix terms."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    found = S.bm25_scan(docs, {"source": 8.0, "lang": 6.0, "text": 1.0}, SEARCH_TERMS, T.ascii_tokens)
+    return found.select("doc_id", F.round(F.col("bm25") * 1e6, 3).alias("micro"), F.round(T.rank_score(F.col("bm25")), 6).alias("score"))
+
+
+@query(f"{_BM25} SELECT doc_id, row_number() OVER (ORDER BY round(bm25 * 1e6, 3) DESC, doc_id) AS position FROM s ORDER BY position LIMIT 20")
+def fts_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best of the same search, in order."""
+    top = fts_bm25(spark, sf_dir).orderBy(F.desc("micro"), "doc_id").limit(20)
+    return top.select("doc_id", F.row_number().over(Window.orderBy(F.desc("micro"), "doc_id")).alias("position"))
+
+
+@query("""
+WITH q(query_id, terms) AS (VALUES (0, ['the', 'on']), (1, ['er']), (2, ['ge', 'ein'])),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS b FROM documents),
+t AS (SELECT count(*)::DOUBLE AS nd, avg(len(b)) AS mean FROM d),
+f AS (SELECT query_id, terms, k, doc_id, len(b) AS dl, len(list_filter(b, lambda x: starts_with(x, terms[k])))::DOUBLE AS f
+  FROM d, (SELECT query_id, terms, unnest(range(1, len(terms) + 1)) AS k FROM q)),
+n AS (SELECT query_id, k, count(*)::DOUBLE AS n FROM f WHERE f > 0 GROUP BY ALL),
+p AS (SELECT query_id, doc_id, len(terms) AS wanted, (CASE WHEN ln((nd - n + 0.5) / (n + 0.5)) > 0 THEN ln((nd - n + 0.5) / (n + 0.5)) ELSE 1e-6 END)
+  * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / mean)) AS p FROM f JOIN n USING (query_id, k), t WHERE f > 0)
+SELECT query_id, doc_id, round(sum(p) * 1e6, 2) AS micro FROM p GROUP BY query_id, doc_id, wanted HAVING count(*) = wanted""")
+def fts_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several queries in one job over an inverted index."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    postings = S.build_postings(docs, "doc_id", {"text": 1.0}, T.ascii_tokens)
+    queries = spark.createDataFrame([(0, ["the", "on"]), (1, ["er"]), (2, ["ge", "ein"])], "query_id int, terms array<string>")
+    found = S.bm25_postings(postings, S.statistics(postings), queries)
+    return found.select("query_id", F.col("key").alias("doc_id"), F.round(F.col("bm25") * 1e6, 2).alias("micro"))
+
+
+@query("""
+WITH e AS (SELECT p_partkey, p_name, p_brand, 0 AS phase, CASE WHEN p_brand = 'Brand#12' THEN 1.0 ELSE 0.98 END * 0.5 AS score FROM part WHERE p_name = 'Brand#12' OR p_brand = 'Brand#12'),
+t AS (SELECT p_partkey, p_name, p_brand, 1 AS phase, 0.75 AS score FROM part WHERE starts_with(lower(p_brand), 'brand#1')),
+u AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY phase, p_brand, p_name, p_partkey) AS k FROM (SELECT * FROM e UNION ALL SELECT * FROM t))
+SELECT p_partkey, phase, score, row_number() OVER (ORDER BY phase, p_brand, p_name, p_partkey) AS position FROM u WHERE k = 1 ORDER BY position LIMIT 100""")
+def exact_then_fts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact names first, though their score is lower; then prefix hits; one row for each part."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    q = "Brand#12"
+    exact = part.where((F.col("p_name") == q) | (F.col("p_brand") == q)).withColumn("score", T.exact_score(F.lit(q), F.col("p_brand")))
+    text = part.where(F.lower("p_brand").startswith("brand#1")).withColumn("score", F.lit(0.75))
+    return S.exact_then_text(exact, text, ["p_partkey"], ["p_brand", "p_name", "p_partkey"], 100).select("p_partkey", "phase", "score", "position")
+
+
+@query("""SELECT lang, source, count(*) AS docs, sum(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(length(text) // 4, 1, length(text) - length(replace(text, chr(10), '')) + 1) END)::BIGINT AS tokens
+FROM documents GROUP BY lang, source""")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated tokens by group."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("docs"), F.sum(T.token_estimate(F.col("text"))).alias("tokens"))
+
+
+@query("""SELECT doc_id, sha256(from_hex(printf('%08x', 4)) || encode('file') || from_hex(printf('%08x', strlen(source))) || encode(source) || from_hex(printf('%08x', strlen(doc_id::VARCHAR))) || encode(doc_id::VARCHAR)) AS id,
+sha256(text) AS hash FROM documents""")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length-prefixed identity and content hash."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", T.stable_id(F.lit("file"), F.col("source"), F.col("doc_id").cast("string")).alias("id"), T.content_hash(F.col("text")).alias("hash"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(f) <= 300 THEN f ELSE rtrim(substr(f, 1, 297)) || '...' END AS snippet, upper(lang) AS up, left(text, 500) AS bounded
+FROM (SELECT doc_id, lang, text, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS f FROM documents)""")
+def snippet_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A short snippet with collapsed white space; bounded text."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", T.snippet(F.col("text"), F.col("source")).alias("snippet"), F.upper("lang").alias("up"), T.bounded(F.col("text")).alias("bounded"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN length(trim(text)) BETWEEN 1 AND 500 THEN array_to_string(list_transform(list_slice(regexp_extract_all(trim(text), '[\\p{L}\\p{N}_\\p{M}]+'), 1, 20), lambda t: '"' || t || '"*'), ' AND ') ELSE '' END AS expression
+FROM conversations""")
+def match_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I4: the bounded full-text expression of a message."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.match_expression(F.col("text")).alias("expression"))
+
+
+@query("""SELECT sha256(text) AS hash, count(*) AS copies, min(doc_id) AS first_id, list_sort(list_distinct(list(source))) AS sources FROM documents GROUP BY sha256(text)""")
+def dedup_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal contents once, with the first of them and where they come from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", T.content_hash(F.col("text")).alias("hash"))
+    return docs.groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.array_sort(F.collect_set("source")).alias("sources"))
+
+
+@query("""SELECT page_id, regexp_replace(lower(regexp_replace(url, '^[^:]*://', '')), '[?#].*$', '') AS path, regexp_matches(lower(trim(url)), '[.](get|post|put|patch|delete|route)') AS route,
+list_contains(string_split(regexp_replace(regexp_replace(url, '^[^:]*://', ''), '[?#].*$', ''), '/'), 'en') AS excluded FROM pages""")
+def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of addresses, route marks, excluded folders."""
+    bare = F.regexp_replace(F.regexp_replace("url", "^[^:]*://", ""), "[?#].*$", "")
+    excluded = F.arrays_overlap(F.split(bare, "/"), F.array(F.lit("en")))
+    return table(spark, sf_dir, "pages").select("page_id", F.lower(bare).alias("path"), T.looks_like_route(F.col("url")).alias("route"), excluded.alias("excluded"))
+
+
+@query("""WITH p AS (SELECT page_id, 'src/' || (page_id % 7) || '/./a/../' || regexp_replace(regexp_replace(url, '^[^:]*://[^/]*/', ''), '[?#].*$', '') AS raw FROM pages)
+SELECT page_id, raw, 'src/' || (page_id % 7) || '/' || trim(regexp_replace(substr(raw, length('src/' || (page_id % 7) || '/./a/../') + 1), '/+', '/', 'g'), '/') AS path, true AS safe FROM p
+WHERE substr(raw, length('src/' || (page_id % 7) || '/./a/../') + 1) <> '' AND NOT regexp_matches(raw, '[.][.]/.*[.][.]')""")
+def normal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """POSIX normal form of relative paths, and whether the result is a safe one."""
+    tail = F.regexp_replace(F.regexp_replace("url", "^[^:]*://[^/]*/", ""), "[?#].*$", "")
+    raw = F.concat(F.lit("src/"), F.col("page_id") % 7, F.lit("/./a/../"), tail)
+    paths = table(spark, sf_dir, "pages").where((tail != "") & ~tail.contains("..")).select("page_id", raw.alias("raw"))
+    return paths.select("page_id", "raw", T.normal_path(F.col("raw")).alias("path"), T.is_safe_path(T.normal_path(F.col("raw"))).alias("safe"))
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0 AS flagged FROM events""")
+def json_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A member of an object column, and a predicate on it."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), (k % 2 == 0).alias("flagged"))
+
+
+@query()
+def task_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers, paths, phrases, action and planned searches of every user message."""
+    t = F.trim("text")
+    q, ids, paths, quoted = T.qualified_identifiers(t), T.identifiers(t), T.path_candidates(t), T.quoted_phrases(t)
+    found = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", t.alias("task"), q.alias("qualified"), ids.alias("identifiers"), paths.alias("paths"), quoted.alias("phrases"), T.task_action(t).alias("action"))
+    told = found.withColumn("lexical", T.lexical_queries(F.col("qualified"), F.col("phrases"), F.col("identifiers")))
+    planned = T.planned_queries(F.array().cast("array<string>"), F.col("qualified"), F.col("paths"), F.col("phrases"), F.col("lexical"), F.col("task"))
+    return told.withColumn("planned", planned)
+
+
+@query("""SELECT conv_id, turn, CASE
+WHEN regexp_matches(text, '(?i)\\b(explain|describe|document|summarize|overview)\\b|\\b(how\\s+does|what\\s+does|walk\\s+me\\s+through)\\b') THEN 'explain'
+WHEN regexp_matches(text, '(?i)\\b(refactor|restructure|reorganize|rename|move|extract|inline|simplify|clean\\s*up|improve)\\b') THEN 'refactor'
+WHEN regexp_matches(text, '(?i)\\b(test|tests|spec|coverage|assert|verify|validate)\\b|\\b(check|ensure)\\s+(that|the|this|it)\\b') AND (regexp_matches(text, '(?i)\\b(test|spec|coverage|assert|verify|validate)\\b|\\b(check|ensure)\\s+(that|the|this|it)\\b') OR regexp_matches(text, '(?i)\\b(add|write|create|implement)\\s+(a\\s+)?(tests|specs)\\b')) THEN 'test'
+WHEN regexp_matches(text, '(?i)\\b(diagnose|debug|investigate|troubleshoot|broken|failing|traceback|segfault)\\b') THEN 'diagnose'
+WHEN regexp_matches(text, '(?i)\\b(fix|patch|repair|correct|resolve|add|implement|create|write|introduce|insert|remove|delete|drop|strip|eliminate|update|modify|change|edit|adjust|display|show|render|style|layout|position|place|hide|toggle|animate)\\b') THEN 'change'
+ELSE 'unknown' END AS action FROM conversations""")
+def task_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The action that a message asks for, by ordered patterns."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.task_action(F.col("text")).alias("action"))
+
+
+# --- ordered rows ---------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH o AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM o)
+SELECT user_id, run::BIGINT AS run, min(event_type) AS event_type, count(*) AS length FROM r GROUP BY user_id, run""")
+def run_length_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """runs of equal consecutive lines."""
+    return Q.collapse_runs(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type").select("user_id", F.col("run").cast("long").alias("run"), "event_type", "length")
+
+
+@query("""
+WITH o AS (SELECT event_id, user_id, row_number() OVER w AS line, count(*) OVER (PARTITION BY user_id) AS n,
+  max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+k AS (SELECT * FROM o WHERE near = 1 OR line <= 8 OR line > n - 12)
+SELECT event_id, user_id, line, line - coalesce(lag(line) OVER (PARTITION BY user_id ORDER BY line), 0) - 1 AS skipped FROM k""")
+def context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lines near a match and at both ends, and how many were left out before each."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return Q.context_lines(rows, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error").select("event_id", "user_id", "line", "skipped")
+
+
+@query("""
+WITH b(name, low, high) AS (SELECT 'w' || i, i * 20.0, i * 20.0 + 50 FROM range(0, 50) r(i) UNION ALL SELECT 'n' || i, i * 30.0, i * 30.0 + 15 FROM range(0, 40) r(i)),
+m AS (SELECT event_id, name, high - low AS w, row_number() OVER (PARTITION BY event_id ORDER BY high - low, name) AS k FROM events JOIN b ON value >= low AND value < high)
+SELECT e.event_id, m.name, m.w AS width FROM events e LEFT JOIN m ON m.event_id = e.event_id AND k = 1""")
+def narrowest_container(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narrowest interval around each value."""
+    rows = [(f"w{i}", i * 20.0, i * 20.0 + 50) for i in range(50)] + [(f"n{i}", i * 30.0, i * 30.0 + 15) for i in range(40)]
+    intervals = spark.createDataFrame(rows, "name string, low double, high double")
+    found = Q.narrowest(table(spark, sf_dir, "events").select("event_id", "value"), intervals, [], "value", "low", "high", ["event_id"], "name", 25.0)
+    return found.select("event_id", "name", (F.col("high") - F.col("low")).alias("width"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS k, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, count(*) AS pieces FROM orders JOIN l ON o_orderkey = k AND a <= o_orderdate + INTERVAL 30 DAY AND b >= o_orderdate GROUP BY o_orderkey""")
+def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed ranges against symbols' ranges of the same file."""
+    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("c"), (F.col("o_orderdate") + F.expr("INTERVAL 30 DAY")).alias("d"))
+    return Q.overlapping(orders, line, ["k"], ("c", "d"), ("a", "b")).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("pieces"))
+
+
+# --- graph ----------------------------------------------------------------------------------------------------------
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def link(df: DataFrame, a: str, pa: str, b: str, pb: str, kind: str) -> DataFrame:
+        return df.select(F.concat(F.lit(pa), F.col(a)).alias("source"), F.concat(F.lit(pb), F.col(b)).alias("target"), F.lit(kind).alias("kind"))
+
+    nation, customer, supplier, orders = (table(spark, sf_dir, t) for t in ("nation", "customer", "supplier", "orders"))
+    edges = link(nation, "n_nationkey", "n", "n_regionkey", "r", "imports").unionByName(link(customer, "c_custkey", "c", "c_nationkey", "n", "calls"))
+    edges = edges.unionByName(link(supplier, "s_suppkey", "s", "s_nationkey", "n", "inherits")).unionByName(link(orders, "o_orderkey", "o", "o_custkey", "c", "calls"))
+    return edges.withColumn("edge_id", F.concat_ws(">", "source", "target"))
+
+
+_EDGES = """edges AS (
+SELECT 'n' || n_nationkey AS source, 'r' || n_regionkey AS target, 'imports' AS kind FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'calls' FROM customer
+UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'inherits' FROM supplier UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 'calls' FROM orders)"""
+
+
+@query(f"WITH {_EDGES} SELECT source, target, kind, source || '>' || target AS edge_id FROM edges")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The united edge list."""
+    return _edges(spark, sf_dir).select("source", "target", "kind", "edge_id")
+
+
+_BFS = f"""WITH RECURSIVE {_EDGES}, both_ AS (SELECT source, target FROM edges UNION ALL SELECT target, source FROM edges WHERE 1 = 1),
+walk(node, distance) AS (SELECT 'o1', 0 UNION SELECT target, distance + 1 FROM walk JOIN edges ON source = node WHERE distance < 4),
+nodes AS (SELECT node, min(distance) AS distance FROM walk GROUP BY node)"""
+
+
+@query(f"{_BFS} SELECT node, distance FROM nodes")
+def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes reached from one root within four steps, with their distances."""
+    roots = spark.createDataFrame([("j", "o1")], "job string, node string")
+    _, nodes = G.traverse(_edges(spark, sf_dir), roots, depth=4, limit=500, direction="outgoing", keep=I.keep)
+    return nodes.groupBy("node").agg(F.min("distance").alias("distance"))
+
+
+@query(f"""WITH {_EDGES}, r AS (SELECT 'r' || r_regionkey AS job FROM region),
+l1 AS (SELECT job, source || '>' || target AS edge_id, row_number() OVER (PARTITION BY job ORDER BY kind, source, target) AS k, source AS node FROM r JOIN edges ON target = job),
+l2 AS (SELECT l1.job, e.source || '>' || e.target AS edge_id, row_number() OVER (PARTITION BY l1.job ORDER BY kind, e.source, e.target) AS k FROM l1 JOIN edges e ON e.target = l1.node WHERE l1.k <= 20)
+SELECT job, edge_id, 1 AS level FROM l1 WHERE k <= 20 UNION ALL SELECT job, edge_id, 2 FROM l2 WHERE k <= 20 - (SELECT count(*) FROM l1 x WHERE x.job = l2.job AND x.k <= 20)""")
+def graph_traverse_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two levels of incoming edges for many roots at once, each with its own limit of edges."""
+    roots = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("job")).withColumn("node", F.col("job"))
+    taken, _ = G.traverse(_edges(spark, sf_dir), roots, depth=2, limit=20, direction="incoming", keep=I.keep)
+    return taken.select("job", "edge_id", "level")
+
+
+@query(f"{_BFS} SELECT b.node, b.distance, source || '>' || target AS edge_id FROM nodes a JOIN edges ON a.node = source JOIN nodes b ON b.node = target AND b.distance = a.distance + 1")
+def supporting_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges by which each node was reached."""
+    roots = spark.createDataFrame([("j", "o1")], "job string, node string")
+    edges, nodes = G.traverse(_edges(spark, sf_dir), roots, depth=4, limit=500, direction="outgoing", keep=I.keep)
+    return G.supporting_edges(edges, nodes).select("node", "distance", "edge_id")
+
+
+_TIERS = """t AS (SELECT o_orderkey AS fact_id, 'Customer#' || lpad((o_custkey % 400)::VARCHAR, 9, '0') AS value, 'N' || (o_custkey % 30) AS alias FROM orders),
+tiers AS (
+ SELECT fact_id, 0 AS tier, 'c' || c_custkey AS endpoint FROM t JOIN customer ON c_name = value AND c_acctbal > 0
+ UNION ALL SELECT fact_id, 1, 'n' || n_nationkey FROM t JOIN nation ON alias = 'N' || n_nationkey
+ UNION ALL SELECT fact_id, 2, 's' || s_suppkey FROM t JOIN supplier ON right(value, 2) = lpad((s_suppkey % 100)::VARCHAR, 2, '0')),
+per AS (SELECT fact_id, tier, count(DISTINCT endpoint) AS n, min(endpoint) AS endpoint FROM tiers GROUP BY fact_id, tier),
+first_ AS (SELECT fact_id, min(tier) AS tier, arg_min(n, tier) AS n, arg_min(endpoint, tier) AS endpoint FROM per GROUP BY fact_id),
+resolved AS (SELECT t.fact_id, CASE tier WHEN 0 THEN 'same_name' WHEN 1 THEN 'alias' WHEN 2 THEN 'suffix' ELSE 'no_candidate' END AS strategy,
+ CASE tier WHEN 0 THEN 0.98 WHEN 1 THEN 0.92 WHEN 2 THEN 0.75 ELSE 0.0 END::DOUBLE AS confidence, coalesce(n, 0) AS candidate_count, CASE WHEN n = 1 THEN endpoint END AS endpoint,
+ CASE WHEN tier IS NULL THEN 'unresolved' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS status FROM t LEFT JOIN first_ f USING (fact_id))"""
+
+
+@query(f"WITH {_TIERS} SELECT * FROM resolved")
+def tier_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first tier with a candidate decides."""
+    targets = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fact_id"), F.concat(F.lit("Customer#"), F.lpad((F.col("o_custkey") % 400).cast("string"), 9, "0")).alias("value"), F.concat(F.lit("N"), F.col("o_custkey") % 30).alias("alias"))
+    customer, nation, supplier = (table(spark, sf_dir, t) for t in ("customer", "nation", "supplier"))
+    named = targets.join(customer.where("c_acctbal > 0"), F.col("c_name") == F.col("value")).select("fact_id", F.concat(F.lit("c"), "c_custkey").alias("endpoint"))
+    alias = targets.join(nation.withColumn("alias", F.concat(F.lit("N"), "n_nationkey")), "alias").select("fact_id", F.concat(F.lit("n"), "n_nationkey").alias("endpoint"))
+    # a suffix is matched by an equal key, never by trying all pairs
+    tail = supplier.withColumn("tail", F.lpad((F.col("s_suppkey") % 100).cast("string"), 2, "0"))
+    suffix = targets.withColumn("tail", F.substring("value", -2, 2)).join(tail, "tail").select("fact_id", F.concat(F.lit("s"), "s_suppkey").alias("endpoint"))
+    return G.resolve_tiers(targets, ["fact_id"], [("same_name", 0.98, named), ("alias", 0.92, alias), ("suffix", 0.75, suffix)]).drop("value", "alias")
+
+
+@query(f"WITH {_TIERS} SELECT count(*) AS facts, sum((status = 'unresolved')::INT)::BIGINT AS unresolved, sum((status = 'ambiguous')::INT)::BIGINT AS ambiguous, sum((status = 'resolved')::INT)::BIGINT AS resolved FROM resolved")
+def tier_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by reason, as columns."""
+    r = tier_resolution(spark, sf_dir)
+    return r.agg(F.count(F.lit(1)).alias("facts"), *[F.count_if(F.col("status") == s).alias(s) for s in ("unresolved", "ambiguous", "resolved")])
+
+
+@query("""WITH once AS (SELECT p_brand, p_size, min(p_partkey) AS parent FROM part WHERE p_partkey % 10 = 0 GROUP BY ALL HAVING count(*) = 1)
+SELECT p_partkey AS child, parent FROM part JOIN once USING (p_brand, p_size) WHERE p_partkey % 10 <> 0""")
+def override_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members that match exactly one member of equal shape."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    child = part.where("p_partkey % 10 <> 0").withColumnRenamed("p_partkey", "child")
+    return G.unique_matches(child, part.where("p_partkey % 10 = 0").withColumnRenamed("p_partkey", "parent"), ["p_brand", "p_size"], "child", "parent")
+
+
+@query(f"WITH {_EDGES} SELECT target AS source, source AS target, 'tested_by' AS kind FROM edges WHERE kind = 'calls' AND starts_with(source, 'o')")
+def reverse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived edges of the other direction."""
+    return G.reversed_edges(_edges(spark, sf_dir), (F.col("kind") == "calls") & F.col("source").startswith("o"), "tested_by")
+
+
+# --- evidence -------------------------------------------------------------------------------------------------------
+
+_KINDS = "CASE item_kind WHEN 0 THEN 'exact' WHEN 1 THEN 'lexical' WHEN 2 THEN 'graph' ELSE 'test' END"
+_EVIDENCE = f"""ev AS (SELECT doc_id, lang, source, n_chars % 4 AS item_kind, {_KINDS.replace("item_kind", "n_chars % 4")} AS kind, (n_chars % 1000) / 1000.0 AS score, (n_chars % 3 + 1)::INT AS distance,
+ ['primary', 'caller', 'test', 'dependency'][1 + (doc_id % 4)] AS role FROM documents)"""
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_chars")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("exact", "lexical", "graph", "test")]), (n % 4 + 1).cast("int"))
+    role = F.element_at(F.array(*[F.lit(k) for k in ("primary", "caller", "test", "dependency")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", kind.alias("kind"), ((n % 1000) / 1000.0).alias("score"), (n % 3 + 1).cast("int").alias("distance"), role.alias("role"), F.col("n_chars"))
+
+
+@query(f"WITH {_EVIDENCE} SELECT lang, source, min(doc_id) AS ordinal, list_sort(list_distinct(list(role))) AS roles, list_sort(list_distinct(list(kind || ':' || doc_id)))[1:32] AS evidence FROM ev GROUP BY lang, source")
+def candidate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of one candidate merged, at most 32 items."""
+    return E.merge(_evidence(spark, sf_dir), ["lang", "source"], "doc_id", "role", F.concat_ws(":", "kind", "doc_id"))
+
+
+_SIGNALS = f"""{_EVIDENCE}, sig AS (SELECT lang, source, {", ".join(f"coalesce(max(CASE WHEN kind = '{k}' THEN score * {'CASE distance WHEN 2 THEN 0.5 ELSE 1.0 END' if k in ('graph', 'test') else '1.0'} END), 0.0)::DOUBLE AS {k}" for k in ("exact", "graph", "lexical", "test"))} FROM ev GROUP BY lang, source),
+scored AS (SELECT *, exact * 0.45 + graph * 0.20 + lexical * 0.25 + test * 0.10 AS base FROM sig),
+ranked AS (SELECT lang, source, exact, lexical, round(CASE WHEN source = 'src3' THEN base + (1 - base) * 0.05 ELSE base END, 9) AS score FROM scored)"""
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sig = E.signals(_evidence(spark, sf_dir), ["lang", "source"], distance="distance")
+    return sig.withColumn("score", F.round(E.weighted(F.col("source") == "src3"), 9))
+
+
+@query(f"WITH {_SIGNALS} SELECT lang, source, round(score, 6) AS score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, source) AS rank FROM ranked")
+def score_pivot_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strongest signals by kind, weighted, boosted and ranked."""
+    ranked = E.rank(_scored(spark, sf_dir), ["lang"], F.desc("score"), F.col("source"))
+    return ranked.select("lang", "source", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {_SIGNALS}, o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, source) AS k FROM ranked),
+two AS (SELECT lang, max(CASE WHEN k = 1 THEN score END) AS top, max(CASE WHEN k = 2 THEN score END) AS second, max(CASE WHEN k = 1 THEN exact END) AS exact, max(CASE WHEN k = 1 THEN lexical END) AS lexical, max(CASE WHEN k = 1 THEN source END) AS src FROM o GROUP BY lang),
+fam AS (SELECT ev.lang, count(DISTINCT kind) AS families FROM ev JOIN two ON two.lang = ev.lang AND ev.source = two.src GROUP BY ev.lang),
+roles AS (SELECT lang, len(list_intersect(list_distinct(list(role)), ['dependency', 'caller', 'interface'])) / 3.0 AS coverage FROM ev GROUP BY lang),
+c AS (SELECT lang, top, second, CASE WHEN second IS NULL THEN 1.0 ELSE least(greatest(top - second, 0) / 0.20, 1.0) END AS sep, coalesce(top - second <= 0.05, false) AS amb, exact, lexical, families, coverage FROM two JOIN fam USING (lang) JOIN roles USING (lang)),
+d AS (SELECT *, CASE WHEN amb THEN 0.35 WHEN exact > 0 THEN 0.95 WHEN lexical >= 0.7 THEN 0.85 WHEN lexical > 0 THEN 0.80 ELSE 0.40 END AS cert, [0.0, 0.25, 0.65, 0.90, 1.0][1 + least(families, 4)] AS agr FROM c)
+SELECT lang, amb AS ambiguous, round(sep, 6) AS separation, families, round(coverage, 6) AS coverage, round(least(greatest(0.40 * cert + 0.25 * agr + 0.20 * sep + 0.15 * coverage, 0), 1), 6) AS confidence FROM d""")
+def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence of each request from its two best candidates."""
+    order = (F.desc("score"), F.col("source"))
+    scored, ev = _scored(spark, sf_dir), _evidence(spark, sf_dir)
+    two = E.separation(scored, ["lang"], *order)
+    best = E.rank(scored, ["lang"], *order).where("rank = 1").select("lang", "source", "exact", "lexical")
+    families = ev.join(best.select("lang", "source"), ["lang", "source"]).groupBy("lang").agg(F.countDistinct("kind").alias("families"))
+    wanted = F.array(*[F.lit(r) for r in E.EXPECTED_ROLES["explain"]])
+    roles = ev.groupBy("lang").agg((F.size(F.array_intersect(F.collect_set("role"), wanted)) / F.size(wanted)).alias("coverage"))
+    told = two.join(best, "lang").join(families, "lang").join(roles, "lang")
+    certain = E.certainty(F.col("ambiguous"), F.col("exact"), F.lit(False), F.col("lexical"), F.lit(True))
+    value = E.confidence(certain, E.agreement(F.col("families")), F.col("separation"), F.col("coverage"))
+    return told.select("lang", "ambiguous", F.round("separation", 6).alias("separation"), "families", F.round("coverage", 6).alias("coverage"), F.round(value, 6).alias("confidence"))
+
+
+@query(f"""WITH {_EVIDENCE}, o AS (SELECT *, row_number() OVER (PARTITION BY lang, role ORDER BY score DESC, doc_id) AS in_role FROM ev),
+c AS (SELECT * FROM o WHERE in_role <= CASE role WHEN 'primary' THEN 3 WHEN 'test' THEN 4 ELSE 6 END)
+SELECT doc_id, lang, role, in_role, row_number() OVER (PARTITION BY lang ORDER BY in_role, CASE role WHEN 'primary' THEN 0 WHEN 'dependency' THEN 5 WHEN 'caller' THEN 6 ELSE 7 END) AS turn FROM c""")
+def role_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of each role up to its cap, roles taking turns."""
+    caps = F.when(F.col("role") == "primary", 3).when(F.col("role") == "test", 4).otherwise(6)
+    rows = E.capped_round_robin(_evidence(spark, sf_dir), ["lang"], "role", caps, E.role_priority(F.col("role")), F.desc("score"), F.col("doc_id"))
+    return rows.select("doc_id", "lang", "role", "in_role", "turn")
+
+
+def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", T.token_estimate(F.col("text")).alias("tokens"), T.content_hash(F.col("text")).alias("hash"))
+
+
+@query("""WITH t AS (SELECT doc_id, lang, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(length(text) // 4, 1, length(text) - length(replace(text, chr(10), '')) + 1) END AS tokens FROM documents),
+u AS (SELECT *, sum(tokens) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM t)
+SELECT doc_id, lang, tokens::INT AS tokens, upto FROM u WHERE upto <= 12000""")
+def prefix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest beginning within a budget."""
+    return E.within_budget(_priced(spark, sf_dir), ["lang"], "tokens", 12_000, F.col("doc_id")).select("doc_id", "lang", "tokens", "upto")
+
+
+@query("""WITH RECURSIVE p AS (SELECT doc_id, lang, sha256(text) AS hash, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(length(text) // 4, 1, length(text) - length(replace(text, chr(10), '')) + 1) END AS cost FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM p), c AS (SELECT * FROM o WHERE k <= 200),
+fold(lang, k, used, taken) AS (SELECT lang, 0::BIGINT, 0::BIGINT, []::VARCHAR[] FROM (SELECT DISTINCT lang FROM c)
+ UNION ALL SELECT f.lang, c.k, CASE WHEN f.used + c.cost <= 10544 AND NOT list_contains(f.taken, c.hash) THEN f.used + c.cost ELSE f.used END,
+ CASE WHEN f.used + c.cost <= 10544 AND NOT list_contains(f.taken, c.hash) THEN list_append(f.taken, c.hash) ELSE f.taken END FROM fold f JOIN c ON c.lang = f.lang AND c.k = f.k + 1)
+SELECT lang, max(used) AS used, max(len(taken))::BIGINT AS items FROM fold GROUP BY lang""")
+def greedy_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates (the 200 first of each request) taken in order while they fit; 12,000 less reserve."""
+    rows = E.rank(_priced(spark, sf_dir), ["lang"], F.col("doc_id")).where("rank <= 200")
+    items = rows.select("lang", F.col("rank").alias("position"), F.col("tokens").alias("cost"), "hash")
+    reserve = min(12_000, int(12_000 * 0.10) + 256)
+    taken = E.greedy_budget(items, "lang", 12_000 - reserve)
+    return taken.groupBy("lang").agg(F.max("used").alias("used"), F.count(F.lit(1)).alias("items"))
+
+
+# --- incremental maintenance, impact --------------------------------------------------------------------------------
+
+_CHANGES = """scanned AS (SELECT 'd' || doc_id AS path, CASE WHEN doc_id % 10 = 1 THEN sha256(text || '!') ELSE sha256(text) END AS hash FROM documents WHERE doc_id % 7 <> 0),
+stored AS (SELECT 'd' || doc_id AS path, sha256(text) AS hash, CASE WHEN doc_id % 50 = 2 THEN 'failed' ELSE 'parsed' END AS status, CASE WHEN doc_id % 97 = 3 THEN 1 ELSE 2 END AS version FROM documents WHERE doc_id % 3 <> 0),
+changes AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'new' WHEN a.path IS NULL THEN 'deleted' WHEN b.version <> 2 THEN 'changed' WHEN b.status = 'failed' AND a.hash <> b.hash THEN 'changed' WHEN b.status = 'failed' THEN 'unchanged' WHEN a.hash <> b.hash THEN 'changed' ELSE 'unchanged' END AS change FROM scanned a FULL JOIN stored b ON a.path = b.path)"""
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("d"), "doc_id").alias("path")
+    text = F.when(F.col("doc_id") % 10 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    scanned = d.where("doc_id % 7 <> 0").select(path, T.content_hash(text).alias("hash"))
+    stored = d.where("doc_id % 3 <> 0").select(path, T.content_hash(F.col("text")).alias("hash"), F.when(F.col("doc_id") % 50 == 2, "failed").otherwise("parsed").alias("status"), F.when(F.col("doc_id") % 97 == 3, 1).otherwise(2).alias("version"))
+    return I.changes(scanned, stored, version=2)
+
+
+@query(f"WITH {_CHANGES} SELECT path, change FROM changes")
+def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scan finds new, changed, unchanged or gone."""
+    return _changes(spark, sf_dir).select("path", "change")
+
+
+@query(f"WITH {_CHANGES}, issues(prefix) AS (VALUES ('d1'), ('d70')) SELECT path, EXISTS (SELECT 1 FROM issues WHERE starts_with(path, prefix)) AS protected FROM changes WHERE change = 'deleted'")
+def deletion_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: deletions below a folder that could not be read are held back."""
+    return I.protected(_changes(spark, sf_dir).where("change = 'deleted'").select("path"), ["d1", "d70"])
+
+
+@query("""WITH changed AS (SELECT p_brand AS key FROM part WHERE p_partkey % 200 = 0 UNION SELECT p_type FROM part WHERE p_partkey % 300 = 0)
+SELECT p_partkey AS fact_id FROM part WHERE p_brand IN (SELECT key FROM changed) OR p_type IN (SELECT key FROM changed) OR p_partkey % 500 = 0""")
+def affected_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts whose keys meet the changed keys, or whose own file changed."""
+    part = table(spark, sf_dir, "part")
+    facts = part.select(F.col("p_partkey").alias("fact_id"), F.array("p_brand", "p_type").alias("keys"), (F.col("p_partkey") % 500 == 0).alias("own"))
+    changed = part.where("p_partkey % 200 = 0").select(F.col("p_brand").alias("key")).union(part.where("p_partkey % 300 = 0").select("p_type"))
+    return I.affected(facts, "fact_id", "keys", changed, F.col("own"))
+
+
+@query("SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 5 = 0)")
+def known_hash_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was not seen before."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("hash"))
+    return d.join(d.where("doc_id % 5 = 0").select("hash"), "hash", "left_anti").select("doc_id")
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
+def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependants of kept rows stay, those of removed rows go."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    kept = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    gone = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return orders.join(kept, "o_custkey", "left_semi").join(gone, "o_orderkey", "left_anti").select("o_orderkey", "o_custkey")
+
+
+@query("""SELECT user_id, arg_max(event_id, (ts, event_id)) AS run_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS runs, sum((event_type = 'error')::INT)::BIGINT AS failed FROM events GROUP BY user_id""")
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest run of each owner, and counters."""
+    at = F.struct("ts", "event_id")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", at).alias("run_id"), F.max_by("event_type", at).alias("state"), F.count(F.lit(1)).alias("runs"), F.count_if(F.col("event_type") == "error").alias("failed"))
+
+
+@query("""SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM conversations) AS chunks, (SELECT count(*) FROM benchmark) AS facts, (SELECT count(*) FROM labels WHERE quality = 0) AS stale, (SELECT coalesce(max(turn), 1) FROM conversations) AS end_line""")
+def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of an index."""
+    count = lambda t, name, c=F.lit(True): table(spark, sf_dir, t).agg(F.count_if(c).alias(name))
+    one = count("documents", "files").crossJoin(count("conversations", "chunks")).crossJoin(count("benchmark", "facts")).crossJoin(count("labels", "stale", F.col("quality") == 0))
+    return one.crossJoin(table(spark, sf_dir, "conversations").agg(F.coalesce(F.max("turn"), F.lit(1)).alias("end_line")))  # rows of one each
+
+
+@query("""SELECT event_type, count(*) AS n, quantile_disc(value, 0.95) AS p95, quantile_cont(value, 0.5) AS median, avg((value > 50)::INT) AS hit_rate FROM events GROUP BY event_type""")
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest-rank p95, median, hit rate."""
+    hit = F.avg(F.when(F.col("value") > 50, 1.0).otherwise(0.0))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.expr("percentile(value, 0.5)").alias("median"), hit.alias("hit_rate"))
+
+
+@query("""SELECT event_type AS reason, count(*) AS n FROM events GROUP BY event_type""")
+def skip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by reason."""
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_IMPACT = """changed AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 49), expected AS (SELECT p_partkey AS k FROM part WHERE p_size < 25)"""
+
+
+@query(f"""WITH {_IMPACT} SELECT 'unrelated_change' AS code, 'p' || k AS path FROM changed WHERE k NOT IN (SELECT k FROM expected) AND (SELECT count(*) FROM expected) > 0
+UNION ALL SELECT 'schema_contract_changed', 'p' || k FROM changed JOIN part ON p_partkey = k WHERE p_size = 10
+UNION ALL SELECT 'missing_regression_test', '' WHERE NOT EXISTS (SELECT 1 FROM changed WHERE k < 0)""")
+def impact_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risks of a change from the sets of changed, expected and tested paths."""
+    changed = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("k")).distinct()
+    part = table(spark, sf_dir, "part")
+    expected = part.where("p_size < 25").select(F.col("p_partkey").alias("k"))
+    schema = changed.join(part.where("p_size = 10").select(F.col("p_partkey").alias("k")), "k", "left_semi")
+    return I.risks(changed, expected, {"schema_contract_changed": schema}, changed.where("k < 0"))
