@@ -65,7 +65,7 @@ def blobs(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def steps(texts: list[bytes | None], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+def steps(texts: list[bytes | str | None], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts of about `limit` bytes."""
     at, size = 0, 0
     for i, t in enumerate(texts):

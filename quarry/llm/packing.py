@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import small_batches, steps, text_size
-from quarry.llm.tokens import encoder
+from quarry.llm.tokens import BATCH, encoder
 
 #: Documents whose pieces are packed together, on average; groups at least.
 GROUP_DOCS, LEAST_GROUPS = 12_000, 8
@@ -141,7 +141,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: i
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             rows: list[tuple] = []
-            for i, j in steps([t.encode() for t in texts]):
+            for i, j in steps(texts, BATCH):
                 for key, x in zip(ids[i:j], e.encode(texts[i:j]), strict=True):
                     wide = np.append(x, e.kind.type(end_id)).astype("<u4")
                     rows += [(key, k, at, n, zlib.crc32(wide[at : at + n].tobytes())) for k, (at, n) in enumerate(cut(len(wide), room))]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import parts, small_batches, steps, text_size, work_dir
-from quarry.llm.tokens import encoder
+from quarry.llm.tokens import BATCH, encoder
 
 MAGIC = b"QTOKSH01"
 #: Texts from which the dictionary is trained (those of least hash of the id), its bytes, the level of compression.
@@ -159,7 +159,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
         for batch in batches:
             ids.extend(batch.column("doc_id").to_pylist())
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for i, j in steps([t.encode() for t in texts]):
+            for i, j in steps(texts, BATCH):
                 for x in e.encode(texts[i:j]):
                     out.add(np.concatenate((x, end)))
                     total += len(x) + 1
