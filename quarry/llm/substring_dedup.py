@@ -26,6 +26,22 @@ BLOCK_BYTES, BUCKET_ROWS = 4 << 20, 500_000
 SENT = "bucket long, block long, data binary"
 
 
+#: What is sent of a fingerprint beside its bucket: three bytes, at the last level twelve.
+FINAL = np.dtype([("low", "<u4"), ("second", "<u8")])
+
+
+def _dump(rows: np.ndarray) -> bytes:
+    return rows.tobytes() if rows.dtype == FINAL else rows.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _load(data: bytes, final: bool) -> np.ndarray:
+    if final:
+        return np.frombuffer(data, FINAL)
+    wide = np.zeros((len(data) // 3, 4), np.uint8)
+    wide[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return wide.view("<u4").ravel()
+
+
 def levels(window: int, least: int = 8) -> list[int]:
     """Window lengths: each at most twice the one before, the last one the wanted one."""
     out = [window]
@@ -37,7 +53,7 @@ def levels(window: int, least: int = 8) -> list[int]:
 def _fingerprints(words: Words, length: int, final: bool, buckets: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
     """For each place: bucket and rest as one number; at the last level, a second number; whether the window lies in one text."""
     h, inside = words.windows(length)
-    key = ((h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+    key = ((h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF if final else 0xFFFFFF))
     if not final:
         return key, None, inside
     return key, words.windows(length, 1)[0] ^ (h >> np.uint64(32)), inside
@@ -61,26 +77,24 @@ def _pack(block: int, keys: list[np.ndarray], seconds: list[np.ndarray] | None)
     bucket = (key >> np.uint64(32)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     at = [0, *cuts.tolist(), len(key)] if len(key) else [0]
-    low = key.astype(np.uint32)
+    low = key.astype("<u4")
     if second is not None:
-        both = np.empty(len(key), dtype=[("low", "<u4"), ("second", "<u8")])
+        both = np.empty(len(key), dtype=FINAL)
         both["low"], both["second"] = low, second[~third]
         low = both
     return pa.table(
         {
             "bucket": pa.array([int(bucket[i]) for i in at[:-1]], pa.int64()),
             "block": pa.array([block] * (len(at) - 1), pa.int64()),
-            "data": pa.array([low[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary()),
+            "data": pa.array([_dump(low[i:j]) for i, j in zip(at, at[1:], strict=False)], pa.binary()),
         }
     )
 
 
 def _repeated(table: pa.Table, final: bool) -> pa.Table:
     """Of a bucket's fingerprints, those that occur twice, for each block that sent them."""
-    kind = np.dtype([("low", "<u4"), ("second", "<u8")]) if final else np.dtype("<u4")
-    data = table.column("data").to_pylist()
-    each = [np.frombuffer(d, kind) for d in data]
-    rows = np.concatenate(each) if each else np.zeros(0, kind)
+    each = [_load(d, final) for d in table.column("data").to_pylist()]
+    rows = np.concatenate(each)
     source = np.repeat(np.arange(len(each)), [len(x) for x in each])
     order = np.lexsort((source, rows["second"], rows["low"])) if final else np.lexsort((source, rows))
     rows, source = rows[order], source[order]
@@ -100,7 +114,7 @@ def _repeated(table: pa.Table, final: bool) -> pa.Table:
         {
             "bucket": pa.array([buckets[i] for i in keep], pa.int64()),
             "block": pa.array([blocks[i] for i in keep], pa.int64()),
-            "data": pa.array([rows[cuts[i] : cuts[i + 1]].tobytes() for i in keep], pa.binary()),
+            "data": pa.array([_dump(rows[cuts[i] : cuts[i + 1]]) for i in keep], pa.binary()),
         }
     )
 
@@ -117,10 +131,9 @@ class _Answer:
     """What came back for a block."""
 
     def __init__(self, table: pa.Table, final: bool):
-        kind = np.dtype([("low", "<u4"), ("second", "<u8")]) if final else np.dtype("<u4")
         keys, seconds = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for bucket, data in zip(table.column("bucket").to_pylist(), table.column("data").to_pylist(), strict=True):
-            x = np.frombuffer(data, kind)
+            x = _load(data, final)
             keys.append((x["low"] if final else x).astype(np.uint64) | np.uint64(bucket << 32))
             if final:
                 seconds.append(x["second"])
@@ -184,8 +197,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", keep_t
     spark = docs.sparkSession
     small_batches(spark)
     n, size = text_size(docs, text)
-    blocks = max(math.ceil(size / BLOCK_BYTES), 2 * parts(spark))
-    buckets = max(math.ceil(size / 6 / BUCKET_ROWS), 2 * parts(spark))
+    blocks = max(math.ceil(size / BLOCK_BYTES), parts(spark))
+    buckets = max(math.ceil(size / 6 / BUCKET_ROWS), parts(spark))
     lengths = levels(window)
     others = [c for c in docs.columns if c != text]
     # a block is a function of the row itself: lost executors or retries deal the same way
