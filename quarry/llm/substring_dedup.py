@@ -190,7 +190,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", keep_t
     """Every row of docs with `n_words`, `n_removed`, `kept_sha256` and, if keep_text, `kept_text` in place of the text.
 
     A word goes if it lies in a run of `window` words that starts at any other place too, in this row or another; all
-    copies go, and windows are judged on the input. Kept words are joined by one space. A null or empty text has no
+    copies go, and windows are judged on the input. Kept words are joined by one space, and their hash is of that; a text
+    that loses nothing is its own kept_text, white space and all. A null or empty text has no
     words; rows are told apart by row, so repeated doc_ids or whole rows count as separate texts; other columns pass
     through unchanged; an empty table gives an empty one. Texts shorter than the window lose nothing.
     """
@@ -223,12 +224,13 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", keep_t
             for k in range(j - i):
                 a, b = words.first[k], words.first[k + 1]
                 own, mask = (texts[i + k] or b"").split(), gone[a:b]
-                left = b" ".join(compress(own, (~mask).tolist())) if mask.any() else b" ".join(own)
+                some = mask.any()
+                left = b" ".join(compress(own, (~mask).tolist())) if some else b" ".join(own)
                 n_words.append(b - a)
                 n_removed.append(int(mask.sum()))
                 shas.append(hashlib.sha256(left).hexdigest())
                 if keep_text:
-                    kept.append(left)
+                    kept.append(left if some else texts[i + k])
         out = {"rest": table.column("rest"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
         if keep_text:
             out["kept_text"] = pa.array(kept, pa.binary()).cast(pa.string())
