@@ -7,9 +7,10 @@ is kept. Only the darts of the first ranks, some hundred for any text, need to b
 ranks follow. Two texts agree on a coordinate with the chance of their weighted Jaccard similarity.
 
 Equal texts are one node. Nodes that share a band are candidates. In each bucket every node is compared to the most
-central one (whose bands are shared most), so a group of n near copies costs n comparisons; connected ones are merged.
-What then still lies apart in a bucket is compared too, first with other leaders while there is much of it, at last every
-pair from different components: no link between two candidates is lost, and copies aren't expanded into pairs.
+central one, its leader (whose bands are shared most), so a group of n near copies costs n comparisons; linked ones are
+merged. Rows that then lie outside the main component of a leader's buckets are compared with all rows of these buckets,
+in blocks of bounded size whose intersections are matrix products, so no row is made for a pair: no link between two
+candidates is lost, and no group meets in one task.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ BANDS, ROWS = 24, 4
 EXTRA = 2.5
 #: Rows (of 8 bytes) up to which a counted table is sent to every executor.
 BROADCAST_ROWS = 1_000_000
-#: Rounds with other leaders, made only while more than so many pairs for each node wait.
-ROUNDS, WAITING = 3, 8
+#: Rows on each side of a block comparison, on average; elements that its matrices hold at once.
+BLOCK, COLUMNS = 512, 4096
 
 
 def shingles(texts: list[bytes | None], weights: str = "set") -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +100,48 @@ def _bands(texts: list[bytes | None], bands: int, rows: int, weights: str) -> li
     return [row if ok else None for row, ok in zip(joined.tolist(), some.tolist(), strict=True)]
 
 
+def _compare(table: pa.Table, threshold: float) -> pa.Table:
+    """Links between far rows and rows of other components in each unit; for a far row and another component one is enough.
+
+    Intersections are products of 0/1 matrices over the elements that more than one row has, some thousand at a time.
+    """
+    unit, far = table.column("unit").to_numpy(), table.column("far").to_numpy(zero_copy_only=False)
+    node, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
+    sets = table.column("s").combine_chunks()
+    flat, cut = sets.values.to_numpy(), sets.offsets.to_numpy()
+    out: list[tuple[int, int]] = []
+    order = np.argsort(unit, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
+        size = cut[rows + 1] - cut[rows]
+        where = np.repeat(np.arange(len(rows)), size)
+        elements = np.concatenate([flat[cut[r] : cut[r + 1]] for r in rows.tolist()])
+        kinds, code, count = np.unique(elements, return_inverse=True, return_counts=True)
+        new = np.cumsum(count > 1) - 1
+        some = count[code] > 1
+        code, where = new[code[some]], where[some]
+        a, b = np.flatnonzero(far[rows]), np.flatnonzero(~far[rows])
+        if not len(a) or not len(b):
+            continue
+        both = np.zeros((len(a), len(b)), np.float32)
+        by = np.argsort(code, kind="stable")
+        code, where = code[by], where[by]
+        total = int(new[-1]) + 1 if len(new) else 0
+        for at in range(0, total, COLUMNS):
+            i, j = np.searchsorted(code, [at, at + COLUMNS])
+            part = np.zeros((len(rows), min(COLUMNS, total - at)), np.float32)
+            part[where[i:j], code[i:j] - at] = 1
+            both += part[a] @ part[b].T
+        union = size[a][:, None] + size[b][None, :] - both
+        ca, cb = comp[rows][a], comp[rows][b]
+        x, y = np.nonzero((both >= threshold * union) & (ca[:, None] != cb[None, :]))
+        seen: dict[tuple[int, int], int] = {}
+        for p, q in zip(x.tolist(), y.tolist(), strict=True):
+            seen.setdefault((p, int(cb[q])), q)
+        own = node[rows]
+        out += [(int(own[a[p]]), int(own[b[q]])) for (p, _), q in seen.items()]
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -122,7 +165,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, weights: str = "set", doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row of docs: doc_id, `class_id` (the least doc_id of its class) and `text_hash`, its node.
+    """Per row of docs: doc_id, `class_id` (the least doc_id of its class), `text_hash` (its node) and `class_node` (the class's).
 
     A class is a connected component of the texts under links of similarity >= threshold; equal texts are one class,
     null and empty ones too (null counts as empty), and texts without words are like equal texts only. Rows with an equal
@@ -169,40 +212,41 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, weights: str = "set
 
     links = stage(verified(pairs), "near-links")
     comps = connected(links)
-    seen = pairs
-    for turn in range(ROUNDS + 1):
-        placed = stage(shared.join(comps, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp")), "near-placed")
-        by = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        open_ = by.where("comps > 1").select("band", ((F.col("n") * F.col("n") - F.col("kk")) / 2).alias("waiting"))
-        waiting = open_.agg(F.sum("waiting")).first()[0] or 0
-        if not waiting:
-            break
-        apart = placed.join(open_.select("band"), "band")
-        last = turn == ROUNDS or waiting <= WAITING * n_involved
-        if last:  # every pair of one bucket and different components
-            other = apart.select("band", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
-            new = apart.join(other, "band").where("comp < comp2")
-        else:
-            chosen = apart.groupBy("band").agg(F.min_by(F.struct(F.col("node").alias("node2"), F.col("comp").alias("comp2")), F.xxhash64("node", F.lit(turn))).alias("x")).select("band", "x.*")
-            new = apart.join(chosen, "band").where("comp <> comp2")
-        new = new.select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
-        new = stage(new, "near-pairs")
-        links = stage(links.union(verified(new)), "near-links")
-        comps = connected(links)
-        if last:
-            break
-        seen = seen.union(new)
+    # members of a leader's buckets that lie in different components are compared in blocks
+    groups = shared.join(led, "band").select("leader", "node").distinct()
+    placed = stage(groups.join(comps, "node", "left").select("leader", "node", F.coalesce("comp", "node").alias("comp")), "near-placed")
+    sizes = placed.groupBy("leader", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("leader").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("comp", "k").alias("main")).where("comps > 1")
+    apart = placed.join(sizes, "leader")
+    blocks_of = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    apart = apart.select("leader", "node", "comp", (F.col("comp") != F.col("main")).alias("far"), blocks_of(F.col("n") - F.col("most")).alias("rows"), blocks_of(F.col("n")).alias("cols"))
+    apart = apart.join(sets, "node")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    far = apart.where("far").select("leader", "node", "comp", "s", "far", own(F.col("rows"), 1).alias("i"), F.explode(every(F.col("cols"))).alias("j"))
+    all_ = apart.select("leader", "node", "comp", "s", F.lit(False).alias("far"), F.explode(every(F.col("rows"))).alias("i"), own(F.col("cols"), 2).alias("j"))
+    n_apart = apart.count()
+    if n_apart:
+        spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_apart // BLOCK)
+        units = far.unionByName(all_).withColumn("unit", F.xxhash64("leader", "i", "j"))
+        new = units.drop("leader", "i", "j").withColumn("deal", F.pmod("unit", F.lit(spread))).groupBy("deal").applyInArrow(lambda t: _compare(t, threshold), "a long, b long")
+        comps = connected(links.union(new))
 
     rows_ = signed.select("doc_id", "node")
     homes = comps.groupBy("node").agg(F.min("comp").alias("comp"))
     least = rows_.groupBy("node").agg(F.min("doc_id").alias("m")).join(homes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = least.groupBy("comp").agg(F.min("m").alias("class_id"))
-    named = least.join(first, "comp").select("node", "class_id")
-    return rows_.join(named, "node").select("doc_id", "class_id", F.col("node").alias("text_hash"))
+    named = least.join(first, "comp").select("node", "class_id", "comp")
+    return rows_.join(named, "node").select("doc_id", "class_id", F.col("node").alias("text_hash"), F.col("comp").alias("class_node"))
 
 
 def keep_one(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of every class the row of least id (of equal ids the one of least text hash, and one of equal rows), with docs' columns."""
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("text_hash").alias("text_hash"))
-    on = docs[doc_id].eqNullSafe(first["class_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == first["text_hash"])
-    return docs.join(first, on, "left_semi").dropDuplicates([doc_id, text])
+    """Of every class the row of least id (null last; of equal ids the one of least text hash, of equal rows one), with docs' columns."""
+    own = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
+    first = classes.groupBy("class_node").agg(F.min(own).alias("kept"))
+    rows = classes.groupBy("doc_id", "text_hash", "class_node").agg(F.count(F.lit(1)).alias("n")).join(first, "class_node")
+    judged = stage(rows.select("doc_id", "text_hash", "n", (own == F.col("kept")).alias("stays")), "near-judged")
+    gone = judged.where("not stays").select(F.col("doc_id").alias("of"), F.col("text_hash").alias("as"))
+    counts = judged.agg(F.count_if(~F.col("stays")).alias("gone"), F.max(F.when(F.col("stays"), F.col("n"))).alias("most")).first()
+    on = docs[doc_id].eqNullSafe(F.col("of")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("as"))
+    left = docs.join(_small(gone, counts["gone"] or 0), on, "left_anti")
+    return left if (counts["most"] or 1) == 1 else left.dropDuplicates([doc_id, text])
