@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.incremental import keep as written
+
 EDGE_ORDER = ["kind", "source", "target", "edge_id"]
 
 
@@ -55,11 +57,11 @@ def neighbours(edges: DataFrame, frontier: DataFrame, direction: str) -> DataFra
     return {"outgoing": out, "incoming": into, "both": out.unionByName(into)}[direction]
 
 
-def traverse(edges: DataFrame, roots: DataFrame, depth: int, limit: int = 500, direction: str = "both", kinds: list[str] | None = None, keep=lambda df, name: df) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+def traverse(edges: DataFrame, roots: DataFrame, depth: int, limit: int = 500, direction: str = "both", kinds: list[str] | None = None, keep=written) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
     """Breadth first from roots (job, node) over edges (edge_id, source, target, kind): (edges by job with level, nodes with distance).
 
     At most `limit` edges for each job, in canonical order within a level; a job stops at the level that exceeds it.
-    `keep` cuts lineage between levels (a checkpoint or a written table). No kinds, or an empty list, means all.
+    `keep` cuts lineage between levels, by default through a written table. No kinds, or an empty list, means all.
     """
     if not 1 <= depth <= 5 or not 1 <= limit <= 500:
         raise ValueError("depth is 1 to 5 and limit 1 to 500")
