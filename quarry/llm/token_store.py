@@ -133,7 +133,7 @@ class ShardReader:
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes all documents in ascending order of id (null first; equal ids by text) and returns the shards' manifest.
+    """Writes all documents in ascending order of id (null first; equal ids by a hash of the text) and returns the shards' manifest.
 
     A null text counts as empty: its ids are the end id alone. The manifest has, for each shard in order, `shard`, `path`,
     `dictionary` (path), `doc_ids`, `n_docs`, `n_tokens`; it lies as Parquet in the folder. An empty table gives no shard.
@@ -173,7 +173,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
     from pyspark.sql.types import _parse_datatype_string
 
     kind = to_arrow_schema(_parse_datatype_string(schema))
-    laid = docs.repartitionByRange(n_shards, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # the ranges are cut by keys that a sample carries to the driver: ids and hashes, not texts
+    keyed = docs.withColumn("hash", F.xxhash64("text"))
+    laid = keyed.repartitionByRange(n_shards, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
     laid.mapInArrow(write, schema).write.parquet(f"{folder}/manifest")
     return spark.read.schema(schema).parquet(f"{folder}/manifest")
 
