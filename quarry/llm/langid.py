@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import blobs, small_batches, steps
 
-#: Texts of a language that its profile is learnt from at most, those of least hash of the id.
+#: Texts of a language that its profile is learnt from at most: of least hash of the id, an eighth of them for each of 32 shares.
 SAMPLE = 400
 #: n-grams in a profile, and of a text.
 RANKS = 400
@@ -142,7 +142,10 @@ def predict(model: Model, texts: list[bytes | None]) -> tuple[list[str], np.ndar
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """A model from rows with language and text: of each language SAMPLE texts at most, those of least hash of the id."""
     small = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id).alias("h"))
-    few = small.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= SAMPLE)
+    # first the least of each of 32 shares of a language, so that a frequent one is not ranked by one task
+    share = small.withColumn("share", F.pmod("h", F.lit(32)))
+    few = share.withColumn("k", F.row_number().over(Window.partitionBy("lang", "share").orderBy("h", "doc_id"))).where(F.col("k") <= SAMPLE // 8)
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= SAMPLE)
     picked = few.select("lang", "doc_id").distinct().collect()  # bounded: SAMPLE for each language
     if not picked:
         return fit({})
