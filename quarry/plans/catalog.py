@@ -547,3 +547,6 @@ def impact_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = part.where("p_size < 25").select(F.col("p_partkey").alias("k"))
     schema = changed.join(part.where("p_size = 10").select(F.col("p_partkey").alias("k")), "k", "left_semi")
     return I.risks(changed, expected, {"schema_contract_changed": schema}, changed.where("k < 0"))
+
+
+from quarry.plans import catalog_more  # noqa: E402, F401  registers more queries
