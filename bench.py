@@ -11,7 +11,7 @@ ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
-HEADLINES = (
+HEADLINES = os.environ.get("BENCH_ONLY", "").split() or (
     "search_projection fts_bm25_topk fts_batch exact_then_fts token_estimate stable_ids dedup_content_hash run_length_collapse context_lines "
     "narrowest_container interval_overlap graph_edges graph_traverse_limited tier_resolution override_self_join candidate_merge score_pivot_rank "
     "confidence role_caps prefix_budget greedy_budget change_detection affected_facts cascade run_log metrics"

@@ -17,10 +17,18 @@ def resolve_tiers(targets: DataFrame, key: list[str], tiers: list[tuple[str, flo
 
     Each tier is (strategy, confidence, rows of key and endpoint). Adds strategy, confidence, candidate_count, endpoint
     (null unless resolved) and status to every target. The tiers are united and reduced in one aggregation by key.
+
+    A tier whose candidates were counted beforehand has one row for each key, with `candidates`, their number, and any
+    one of them: a name that very many symbols bear then costs one row for a target, not all of them.
     """
-    parts = [df.select(*key, F.lit(i).alias("tier"), F.col("endpoint")) for i, (_, _, df) in enumerate(tiers)]
-    united = reduce(DataFrame.unionByName, parts)
-    per_tier = united.groupBy(*key, "tier").agg(F.countDistinct("endpoint").alias("candidate_count"), F.min("endpoint").alias("endpoint"))
+
+    def part(i: int, df: DataFrame) -> DataFrame:
+        counted = F.col("candidates") if "candidates" in df.columns else F.lit(0)
+        return df.select(*key, F.lit(i).alias("tier"), F.col("endpoint"), counted.cast("long").alias("candidates"))
+
+    united = reduce(DataFrame.unionByName, [part(i, df) for i, (_, _, df) in enumerate(tiers)])
+    count = F.greatest(F.countDistinct("endpoint"), F.max("candidates"))
+    per_tier = united.groupBy(*key, "tier").agg(count.alias("candidate_count"), F.min("endpoint").alias("endpoint"))
     first = per_tier.groupBy(*key).agg(F.min_by(F.struct("tier", "candidate_count", "endpoint"), "tier").alias("x")).select(*key, "x.*")
     names = F.element_at(F.array(*[F.lit(t[0]) for t in tiers]), F.col("tier") + 1)
     sure = F.element_at(F.array(*[F.lit(float(t[1])) for t in tiers]), F.col("tier") + 1)

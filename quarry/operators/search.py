@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators.incremental import keep
 
 #: BM25 constants, and the weights of path, name, qualified name, signature and body.
 K1, B = 1.2, 0.75
@@ -35,27 +36,39 @@ def _weighing(weight: float):  # noqa: ANN202
     return lambda token: F.struct(token.alias("token"), F.lit(float(weight)).alias("w"))
 
 
-def bm25_scan(docs: DataFrame, fields: dict[str, float], terms: list[str], tokenize=T.tokens) -> DataFrame:  # noqa: ANN001
-    """docs with `bm25` for rows that match all terms; statistics are over all docs."""
-    counted = docs
-    for name in fields:
-        counted = counted.withColumn(f"_t_{name}", tokenize(F.col(name)))
+def spread(df: DataFrame) -> DataFrame:
+    """A few large input splits dealt out to all cores before work on texts; inputs of many splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def bm25_scan(docs: DataFrame, fields: dict[str, float], terms: list[str], tokenize=T.tokens, columns: list[str] | None = None) -> DataFrame:  # noqa: ANN001
+    """The columns of docs (all, unless named) with `bm25`, for rows that match all terms; statistics are over all docs.
+
+    Texts are read and tokenized once: what is kept of a row for the second look are its counts and the columns.
+    """
+    columns = columns or docs.columns
+    arrays = docs.select(*columns, *[tokenize(F.col(name)).alias(f"_t_{name}") for name in fields])
     length = sum((F.size(f"_t_{name}") for name in fields), F.lit(0))
     sums = [sum((F.lit(w) * F.size(F.filter(f"_t_{name}", _begins(t))) for name, w in fields.items()), F.lit(0.0)).alias(f"_f{i}") for i, t in enumerate(terms)]
-    rows = counted.select(*docs.columns, length.alias("_length"), *sums)
+    rows = keep(arrays.select(*columns, length.alias("_length"), *sums), "counts")
     totals = rows.agg(F.count(F.lit(1)).alias("_docs"), F.avg("_length").alias("_mean"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(terms))])
     joined = rows.crossJoin(F.broadcast(totals))  # one row of totals
     for i in range(len(terms)):
         joined = joined.where(F.col(f"_f{i}") > 0)
     score = sum((_part(_idf(F.col(f"_n{i}"), F.col("_docs")), F.col(f"_f{i}"), F.col("_length"), F.col("_mean")) for i in range(len(terms))), F.lit(0.0))
-    return joined.select(*docs.columns, score.alias("bm25"))
+    return joined.select(*columns, score.alias("bm25"))
+
 
+def build_postings(docs: DataFrame, key: str, fields: dict[str, float], tokenize=T.tokens, prefixes: list[str] | None = None) -> DataFrame:  # noqa: ANN001
+    """(key, token, f, length): each document's distinct tokens with their weighted counts and the document's length.
 
-def build_postings(docs: DataFrame, key: str, fields: dict[str, float], tokenize=T.tokens) -> DataFrame:  # noqa: ANN001
-    """(key, token, f, length): each document's distinct tokens with their weighted counts and the document's length."""
+    With prefixes, only tokens that begin with one of them are kept: an index for the queries at hand.
+    """
     field_tokens = F.concat(*[F.transform(tokenize(F.col(name)), _weighing(w)) for name, w in fields.items()])
     held = docs.select(F.col(key).alias("key"), field_tokens.alias("t"))
-    return held.select("key", F.size("t").alias("length"), F.explode_outer("t").alias("x")).groupBy("key", F.col("x.token").alias("token"), "length").agg(F.sum("x.w").alias("f"))
+    wanted = F.col("t") if prefixes is None else F.filter("t", lambda x: T.any_of([x["token"].startswith(p) for p in prefixes]))
+    return held.select("key", F.size("t").alias("length"), F.explode_outer(wanted).alias("x")).groupBy("key", F.col("x.token").alias("token"), "length").agg(F.sum("x.w").alias("f"))
 
 
 def bm25_postings(postings: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:

@@ -74,8 +74,8 @@ s AS (SELECT doc_id, i0 * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / mean)) + i1
 @query(f"{_BM25} SELECT doc_id, round(bm25 * 1e6, 3) AS micro, round(0.75 + 0.2 * bm25 / (1 + bm25), 6) AS score FROM s")
 def fts_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 of every document that has all prefix terms."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    found = S.bm25_scan(docs, {"source": 8.0, "lang": 6.0, "text": 1.0}, SEARCH_TERMS, T.ascii_tokens)
+    docs = S.spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    found = S.bm25_scan(docs, {"source": 8.0, "lang": 6.0, "text": 1.0}, SEARCH_TERMS, T.ascii_tokens, ["doc_id"])
     return found.select("doc_id", F.round(F.col("bm25") * 1e6, 3).alias("micro"), F.round(T.rank_score(F.col("bm25")), 6).alias("score"))
 
 
@@ -98,9 +98,10 @@ p AS (SELECT query_id, doc_id, len(terms) AS wanted, (CASE WHEN ln((nd - n + 0.5
 SELECT query_id, doc_id, round(sum(p) * 1e6, 2) AS micro FROM p GROUP BY query_id, doc_id, wanted HAVING count(*) = wanted""")
 def fts_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several queries in one job over an inverted index."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    postings = S.build_postings(docs, "doc_id", {"text": 1.0}, T.ascii_tokens)
-    queries = spark.createDataFrame([(0, ["the", "on"]), (1, ["er"]), (2, ["ge", "ein"])], "query_id int, terms array<string>")
+    docs = S.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    asked = [(0, ["the", "on"]), (1, ["er"]), (2, ["ge", "ein"])]
+    postings = I.keep(S.build_postings(docs, "doc_id", {"text": 1.0}, T.ascii_tokens, sorted({t for _, terms in asked for t in terms})), "postings")
+    queries = spark.createDataFrame(asked, "query_id int, terms array<string>")
     found = S.bm25_postings(postings, S.statistics(postings), queries)
     return found.select("query_id", F.col("key").alias("doc_id"), F.round(F.col("bm25") * 1e6, 2).alias("micro"))
 
@@ -329,8 +330,8 @@ def tier_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = targets.join(customer.where("c_acctbal > 0"), F.col("c_name") == F.col("value")).select("fact_id", F.concat(F.lit("c"), "c_custkey").alias("endpoint"))
     alias = targets.join(nation.withColumn("alias", F.concat(F.lit("N"), "n_nationkey")), "alias").select("fact_id", F.concat(F.lit("n"), "n_nationkey").alias("endpoint"))
     # a suffix is matched by an equal key, never by trying all pairs
-    tail = supplier.withColumn("tail", F.lpad((F.col("s_suppkey") % 100).cast("string"), 2, "0"))
-    suffix = targets.withColumn("tail", F.substring("value", -2, 2)).join(tail, "tail").select("fact_id", F.concat(F.lit("s"), "s_suppkey").alias("endpoint"))
+    tail = supplier.withColumn("tail", F.lpad((F.col("s_suppkey") % 100).cast("string"), 2, "0")).groupBy("tail").agg(F.countDistinct("s_suppkey").alias("candidates"), F.min(F.concat(F.lit("s"), "s_suppkey")).alias("endpoint"))
+    suffix = targets.withColumn("tail", F.substring("value", -2, 2)).join(tail, "tail").select("fact_id", "endpoint", "candidates")
     return G.resolve_tiers(targets, ["fact_id"], [("same_name", 0.98, named), ("alias", 0.92, alias), ("suffix", 0.75, suffix)]).drop("value", "alias")
 
 

@@ -115,26 +115,37 @@ def build_graph(index: Index) -> Graph:
 
     t = targets.where("kind = 'symbol'")
     allowed = ~F.col("relation").isin("inherits", "implements", "uses_schema") | F.col("symbol_kind").isin(TYPE_KINDS)
-    by_name = t.withColumn("name", F.col("value")).join(s, "name").where(allowed)
-    here = F.col("file") == F.col("source_file")
+    by_file = [t["source_file"] == s["file"], t["value"] == s["name"]]
+    local = t.join(s, by_file).where(allowed)
     leafless = F.regexp_replace("source_qn", r"\.[^.]*$", "")
     value = lambda *parts: F.concat_ws(".", *parts)
-    typed = by_name.where(F.col("receiver").isNotNull() & F.col("qualifier").isNotNull() & _ends(F.col("qn"), value("receiver", "value")))
-    scope = by_name.where(F.col("qualifier").isin("self", "this", "super") & F.col("source_qn").contains(".") & here & _ends(F.col("qn"), value(leafless, F.col("value"))))
+    # a receiver's type is the owner of its members, so names are joined together with the owner's leaf
+    owned = s.withColumn("owner", F.regexp_extract("qn", r"([^.]+)\.[^.]+$", 1))
+    received = t.where("receiver is not null and qualifier is not null").withColumn("owner_leaf", F.substring_index("receiver", ".", -1))
+    typed = received.join(owned, [received["value"] == owned["name"], received["owner_leaf"] == owned["owner"]]).where(allowed & _ends(F.col("qn"), value("receiver", "value")))
+    scope = local.where(F.col("qualifier").isin("self", "this", "super") & F.col("source_qn").contains(".") & _ends(F.col("qn"), value(leafless, F.col("value"))))
     member = t.where("qualifier is not null").join(bindings, [t["source_file"] == bindings["at"], t["qualifier"] == bindings["alias"]])
     in_file = s.withColumnRenamed("file", "to")
     member = member.drop(t["alias"]).join(in_file.withColumnRenamed("name", "value"), ["to", "value"]).where(allowed)
     member = member.where(F.col("wild") | (F.col("expected") == F.col("value")) | _ends(F.col("qn"), value("expected", "value"))).withColumn("file", F.col("to"))
     plain = t.where("qualifier is null").join(bindings, [t["source_file"] == bindings["at"], t["value"] == bindings["alias"]]).drop(t["alias"])
     plain = plain.join(in_file.withColumnRenamed("name", "expected"), ["to", "expected"]).where(allowed).withColumn("file", F.col("to"))
-    same_qualified = by_name.where(F.col("qualifier").isNotNull() & here & _ends(F.col("qn"), value("qualifier", "value")))
-    tiers = [("typed_receiver", 0.99, typed), ("receiver_scope", 1.0, scope), ("import_alias_member", 0.98, member), ("import_alias_symbol", 0.98, plain), ("same_file_qualified", 0.96, same_qualified), ("same_file_name", 0.92, by_name.where(here)), ("repository_unique_name", 0.75, by_name)]
-    symbol = G.resolve_tiers(t, key, [(n, c, d.select(*key, end)) for n, c, d in tiers])
+    same_qualified = local.where(F.col("qualifier").isNotNull() & _ends(F.col("qn"), value("qualifier", "value")))
+    # of a name in the whole repository only the number of its symbols matters, and which one if it is the only one
+    is_type = F.col("symbol_kind").isin(TYPE_KINDS)
+    names = s.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "symbol")).alias("any"), F.count_if(is_type).alias("n_types"), F.min(F.when(is_type, F.struct("file", "symbol"))).alias("any_type"))
+    typed_only = F.col("relation").isin("inherits", "implements", "uses_schema")
+    everywhere = t.join(names, t["value"] == names["name"]).select(*key, F.when(typed_only, F.col("any_type")).otherwise(F.col("any")).alias("endpoint"), F.when(typed_only, F.col("n_types")).otherwise(F.col("n")).alias("candidates")).where("candidates > 0")
+    tiers = [("typed_receiver", 0.99, typed), ("receiver_scope", 1.0, scope), ("import_alias_member", 0.98, member), ("import_alias_symbol", 0.98, plain), ("same_file_qualified", 0.96, same_qualified), ("same_file_name", 0.92, local)]
+    symbol = G.resolve_tiers(t, key, [*[(n, c, d.select(*key, end)) for n, c, d in tiers], ("repository_unique_name", 0.75, everywhere)])
 
     c = targets.where("kind = 'configuration'")
-    constants = c.withColumn("name", F.col("value")).join(s.where("symbol_kind = 'constant'"), "name")
+    constant = s.where("symbol_kind = 'constant'")
+    near = c.join(constant, [c["source_file"] == constant["file"], c["value"] == constant["name"]])
+    known = constant.groupBy("name").agg(F.count(F.lit(1)).alias("candidates"), F.min(F.struct("file", "symbol")).alias("endpoint"))
+    far = c.join(known, c["value"] == known["name"]).select(*key, "endpoint", "candidates")
     usage = c.where("source_symbol is not null").select(*key, F.struct(F.col("source_file").alias("file"), F.col("source_symbol").alias("symbol")).alias("endpoint"))
-    settings = G.resolve_tiers(c, key, [("same_file_configuration", 1.0, constants.where(here).select(*key, end)), ("repository_configuration", 0.85, constants.select(*key, end)), ("configuration_usage", 1.0, usage)])
+    settings = G.resolve_tiers(c, key, [("same_file_configuration", 1.0, near.select(*key, end)), ("repository_configuration", 0.85, far), ("configuration_usage", 1.0, usage)])
 
     resolved = keep(reduce(DataFrame.unionByName, [module, symbol, settings]), "resolved")
     label = T.bounded(F.concat_ws(".", "qualifier", "value"))
@@ -174,7 +185,7 @@ def search(index: Index, query: str, limit: int = 20) -> DataFrame:
     q = F.lit(query.strip())
     exact = docs.where((F.col("entity_type") == "symbol") & ((F.col("name") == q) | (F.col("qualified_name") == q))).withColumn("score", T.exact_score(q, F.col("qualified_name"))).withColumn("strength", F.lit(0.0))
     fields = {"relative_path": 2.0, "name": 8.0, "qualified_name": 6.0, "signature": 4.0, "body": 1.0}
-    found = S.bm25_scan(docs, fields, [t.lower() for t in terms])
+    found = S.bm25_scan(docs, fields, [t.lower() for t in terms])  # its documents are parts of source files, small enough to keep
     text = found.withColumn("score", F.round(T.rank_score(F.col("bm25")), 6)).withColumn("strength", -F.col("bm25")).drop("bm25")
     text = text.orderBy("strength", *order).limit(2 * limit)
     shown = S.exact_then_text(exact, text, ["entity_type", "entity_id"], ["strength", *order], limit)
