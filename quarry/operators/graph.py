@@ -75,24 +75,36 @@ def traverse(edges: DataFrame, roots: DataFrame, depth: int, limit: int = 500, d
         raise ValueError("depth is 1 to 5 and limit 1 to 500")
     if kinds:
         edges = edges.where(F.col("kind").isin(*kinds))
-    nodes = roots.select("job", "node").distinct().withColumn("distance", F.lit(0))
-    frontier = roots.select("job", "node").distinct()
-    taken = neighbours(edges, frontier, direction).where("false").drop("reached").withColumn("level", F.lit(0))
-    done = roots.select("job").where("false")
+    start = roots.select("job", "node").distinct()
+    columns, levels = edges.columns, []
+
+    def reached() -> DataFrame:
+        """Nodes so far with their distance: roots, and the far ends of the edges taken at each level."""
+        far = [new.where("fits").select("job", F.explode("reached").alias("node"), "level") for new in levels]
+        told = reduce(DataFrame.unionByName, far, start.withColumn("level", F.lit(0)))
+        return told.groupBy("job", "node").agg(F.min("level").alias("distance"))
+
+    def taken() -> DataFrame:
+        return reduce(DataFrame.unionByName, [new.where("fits").select("job", *columns, "level") for new in levels])
+
+    frontier = start
     for level in range(1, depth + 1):
-        used = taken.groupBy("job").agg(F.count(F.lit(1)).alias("used"))
-        met = neighbours(edges, frontier, direction)
-        fresh = met.drop("reached").distinct().join(taken.select("job", "edge_id"), ["job", "edge_id"], "left_anti")
-        ranked = fresh.withColumn("_r", F.row_number().over(Window.partitionBy("job").orderBy(*[F.asc_nulls_first(c) for c in EDGE_ORDER])))
-        room = ranked.join(used, "job", "left").withColumn("_room", F.lit(limit) - F.coalesce("used", F.lit(0)))
-        new = keep(room.where("_r <= _room").drop("_r", "_room", "used").withColumn("level", F.lit(level)), f"edges-{level}")
-        done = done.unionByName(room.where("_r > _room").select("job").distinct())
-        reached = met.join(new.select("job", "edge_id"), ["job", "edge_id"], "left_semi").select("job", F.col("reached").alias("node")).distinct()
-        frontier = keep(reached.join(nodes.select("job", "node"), ["job", "node"], "left_anti"), f"frontier-{level}")
-        nodes = nodes.unionByName(frontier.withColumn("distance", F.lit(level)))
-        taken = taken.unionByName(new)
-        frontier = frontier.join(done, "job", "left_anti")
-    return taken, nodes
+        met = neighbours(edges, frontier, direction).groupBy("job", *columns).agg(F.collect_set("reached").alias("reached"))
+        room = F.lit(limit)
+        if levels:
+            met = met.join(taken().select("job", "edge_id"), ["job", "edge_id"], "left_anti")
+            met = met.join(taken().groupBy("job").agg(F.count(F.lit(1)).alias("used")), "job", "left")
+            room = room - F.coalesce("used", F.lit(0))
+        order = Window.partitionBy("job").orderBy(*[F.asc_nulls_first(c) for c in EDGE_ORDER])
+        # one row beyond the limit tells that there are more
+        first = met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit + 1)
+        new = first.withColumn("_room", room).where(F.col("_r") <= F.col("_room") + 1)
+        new = new.select("job", *columns, "reached", (F.col("_r") <= F.col("_room")).alias("fits"), F.lit(level).alias("level"))
+        levels.append(keep(new, f"edges-{level}"))
+        frontier = reached().where(F.col("distance") == level).select("job", "node")
+        ended = reduce(DataFrame.unionByName, [x.where("not fits").select("job") for x in levels]).distinct()
+        frontier = frontier.join(ended, "job", "left_anti")
+    return taken(), reached()
 
 
 def supporting_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
