@@ -522,11 +522,11 @@ def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.crossJoin(table(spark, sf_dir, "conversations").agg(F.coalesce(F.max("turn"), F.lit(1)).alias("end_line")))  # rows of one each
 
 
-@query("""SELECT event_type, count(*) AS n, quantile_disc(value, 0.95) AS p95, quantile_cont(value, 0.5) AS median, avg((value > 50)::INT) AS hit_rate FROM events GROUP BY event_type""")
+@query("""SELECT event_type, count(*) AS n, quantile_disc(value, 0.95) AS p95, round(quantile_cont(value, 0.5), 6) AS median, round(avg((value > 50)::INT), 6) AS hit_rate FROM events GROUP BY event_type""")
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank p95, median, hit rate."""
     hit = F.avg(F.when(F.col("value") > 50, 1.0).otherwise(0.0))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.expr("percentile(value, 0.5)").alias("median"), hit.alias("hit_rate"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.round(F.expr("percentile(value, 0.5)"), 6).alias("median"), F.round(hit, 6).alias("hit_rate"))
 
 
 @query("""SELECT event_type AS reason, count(*) AS n FROM events GROUP BY event_type""")
@@ -551,3 +551,12 @@ def impact_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from quarry.plans import catalog_more  # noqa: E402, F401  registers more queries
+
+#: Columns that DuckDB numbers or divides in wider types than the engine does.
+_TYPES = {
+    "search_projection": {"end_line": "INTEGER"}, "fts_bm25_topk": {"position": "INTEGER"}, "exact_then_fts": {"score": "DOUBLE", "position": "INTEGER"},
+    "context_lines": {"line": "INTEGER", "skipped": "INTEGER"}, "narrowest_container": {"width": "DOUBLE"}, "score_pivot_rank": {"rank": "INTEGER"},
+    "role_caps": {"in_role": "INTEGER", "turn": "INTEGER"}, "diagnostics_cap": {"position": "INTEGER"}, "seed_selection": {"seed": "INTEGER"}, "canonical_order": {"position": "INTEGER"},
+}
+for _name, _casts in _TYPES.items():
+    ORACLES[_name] = f"SELECT * REPLACE ({', '.join(f'{c}::{t} AS {c}' for c, t in _casts.items())}) FROM ({ORACLES[_name]}) AS result"
