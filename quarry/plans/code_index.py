@@ -14,7 +14,7 @@ from quarry.functions import text as T
 from quarry.functions.normalize import normalize
 from quarry.operators import graph as G
 from quarry.operators import search as S
-from quarry.operators.incremental import keep
+from quarry.operators.incremental import changes, keep, replace_files
 from quarry.sources import extract, scan
 
 #: Kinds of symbols that are types.
@@ -39,11 +39,14 @@ class Graph:
     diagnostics: DataFrame
 
 
-def build_index(spark: SparkSession, root: str, repository_id: str) -> Index:
-    """Scans and extracts a tree once (the extraction is written, so that every table reads it) and lays out the tables."""
-    scanned = scan.scan(spark, root, scan.ignore_layers(root))
+def _extract(scanned: DataFrame, repository_id: str) -> DataFrame:
+    """Extraction written once, so that every table reads it."""
+    return keep(extract.extract_files(scanned).withColumn("file_id", T.stable_id(F.lit("file"), F.lit(repository_id), F.col("relative_path"))), "extracted")
+
+
+def _tables(extracted: DataFrame, repository_id: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """files, symbols, chunks and facts of extracted files."""
     repo = F.lit(repository_id)
-    extracted = keep(extract.extract_files(scanned).withColumn("file_id", T.stable_id(F.lit("file"), repo, F.col("relative_path"))), "extracted")
     db = lambda kind, column: T.stable_id(F.lit(f"db-{kind}"), repo, column)
     base = ["file_id", "relative_path", "language"]
     symbols = extracted.select(*base, F.explode("symbols").alias("x")).select(*base, "x.*").withColumn("local_id", F.col("id")).withColumn("id", db("symbol", F.col("local_id")))
@@ -52,9 +55,37 @@ def build_index(spark: SparkSession, root: str, repository_id: str) -> Index:
     source = F.when(F.col("x.source_symbol_id").isNotNull(), db("symbol", F.col("x.source_symbol_id")))
     facts = extracted.select(*base, F.explode("facts").alias("x")).select(*base, "x.*", source.alias("owner_id")).withColumn("local_id", F.col("id")).withColumn("id", db("fact", F.col("local_id"))).drop("source_symbol_id").withColumnRenamed("owner_id", "source_symbol_id")
     files = extracted.select("file_id", "relative_path", "language", "content_hash", "parse_status", "error_count", F.size("symbols").alias("symbol_count"), F.size("chunks").alias("chunk_count"), F.size("facts").alias("fact_count"), _last_line().alias("end_line"))
+    return files, symbols, chunks, facts
+
+
+def build_index(spark: SparkSession, root: str, repository_id: str) -> Index:
+    """Scans and extracts a whole tree and lays out the tables."""
+    scanned = scan.scan(spark, root, scan.ignore_layers(root))
+    files, symbols, chunks, facts = _tables(_extract(scanned, repository_id), repository_id)
     return Index(repository_id, files, symbols, chunks, facts, search_documents(files, symbols, chunks, facts), scan.skip_counts(scanned))
 
 
+def update_index(spark: SparkSession, root: str, before: Index, retry_failed: bool = False) -> tuple[Index, DataFrame]:
+    """The index after a scan of the same tree, and (path, change): only new and changed files are extracted.
+
+    Rows of deleted files go. A file that can't be read as text keeps the rows of its last good version and is `stale`.
+    The new tables are written, so the old index may be dropped.
+    """
+    scanned = keep(scan.scan(spark, root, scan.ignore_layers(root)), "scanned")
+    wanted = scanned.where("skip is null").select(F.col("relative_path").alias("path"), F.col("content_hash").alias("hash"))
+    stored = before.files.select(F.col("relative_path").alias("path"), F.col("content_hash").alias("hash"), F.col("parse_status").alias("status"), F.lit(1).alias("version"))
+    change = keep(changes(wanted, stored, 1, retry_failed=retry_failed).select("path", "change"), "changes")
+    todo = scanned.join(change.where("change in ('new', 'changed')").select(F.col("path").alias("relative_path")), "relative_path", "left_semi")
+    files, symbols, chunks, facts = _tables(_extract(todo, before.repository_id), before.repository_id)
+    ids = before.files.select("file_id", F.col("relative_path").alias("path")).join(change, "path")
+    parsed, deleted = files.select("file_id"), ids.where("change = 'deleted'").select("file_id")
+    failed = files.where("parse_status = 'failed'").select("file_id").join(before.files.select("file_id"), "file_id", "left_semi")
+    new = [keep(replace_files(old, fresh, parsed, deleted, failed), "table") for old, fresh in ((before.files, files), (before.symbols, symbols), (before.chunks, chunks), (before.facts, facts))]
+    kept = new[0].join(failed.withColumn("_failed", F.lit(True)), "file_id", "left")
+    new[0] = kept.withColumn("parse_status", F.when(F.col("_failed"), "stale").otherwise(F.col("parse_status"))).drop("_failed")
+    return Index(before.repository_id, *new, search_documents(*new), scan.skip_counts(scanned)), change
+
+
 def _last_line() -> Column:
     last = lambda c: F.array_max(F.transform(c, lambda x: x["end_line"]))
     return F.coalesce(F.greatest(last("symbols"), last("chunks"), last("facts")), F.lit(1))
