@@ -7,6 +7,8 @@ import dataclasses
 import json
 import sys
 
+from quarry.settings import EXIT_CODES
+
 
 def _session():  # noqa: ANN202
     from pyspark.sql import SparkSession
@@ -62,13 +64,14 @@ def main(argv: list[str] | None = None) -> int:
             hit = index.symbols.where((index.symbols["id"] == args.what) | (index.symbols["name"] == args.what) | (index.symbols["qualified_name"] == args.what)).select("id").union(index.files.where((index.files["file_id"] == args.what) | (index.files["relative_path"] == args.what)).select("file_id"))
             nodes = [r[0] for r in hit.distinct().limit(2).collect()]
             if len(nodes) != 1:
-                raise ValueError("graph_query_invalid" if nodes else "graph_target_not_found")
+                raise ValueError("graph_query_invalid")
             taken, reached = G.traverse(code_index.edges_of(code_index.build_graph(index)), spark.createDataFrame([("0", nodes[0])], "job string, node string"), args.depth, args.limit, args.direction, args.kind)
             show({"edges": [r.asDict() for r in taken.drop("job").collect()], "nodes": [r.asDict() for r in reached.drop("job").collect()]})
         return 0
     except ValueError as e:
-        show({"error": str(e)})
-        return 2
+        code = getattr(e, "code", str(e))
+        show({"error": code})
+        return EXIT_CODES.get(code, 1)
 
 
 if __name__ == "__main__":

@@ -14,8 +14,9 @@ from pathlib import Path
 
 #: Error codes and their exit status.
 EXIT_CODES = {
-    "configuration_invalid": 2, "repository_invalid": 3, "repository_not_found": 4, "repository_locked": 5, "index_failed": 6, "index_stale": 7,
-    "search_query_invalid": 8, "graph_query_invalid": 9, "graph_target_not_found": 10, "context_request_invalid": 11, "context_retrieval_failed": 12, "mcp_request_invalid": 13,
+    "configuration_invalid": 2, "context_budget_invalid": 2, "context_request_invalid": 2, "context_retrieval_failed": 7, "database_not_initialized": 5, "database_unavailable": 5,
+    "graph_query_invalid": 2, "index_failed": 7, "internal_error": 1, "invalid_path": 2, "mcp_request_invalid": 2, "parser_unavailable": 6, "patch_impact_failed": 7,
+    "path_outside_repository": 2, "repository_locked": 4, "repository_not_found": 3, "search_query_invalid": 2,
 }
 #: Least and most of each number.
 BOUNDS = {"max_file_size_bytes": (1, 100_000_000), "binary_probe_bytes": (1, 1 << 20), "max_candidates": (1, 1000), "max_queries": (1, 50), "max_context_tokens": (256, 100_000), "lock_seconds": (0, 60)}
@@ -78,7 +79,7 @@ class Registry:
     def add(self, path: str) -> dict:
         at = os.path.realpath(path)
         if not os.path.isdir(at):
-            raise EngineError("repository_invalid", path)
+            raise EngineError("invalid_path", path)
         rows = self.list()
         if known := next((r for r in rows if r["path"] == at), None):
             return known

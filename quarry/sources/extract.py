@@ -24,9 +24,8 @@ MAX_CLASS_BYTES = 20_000
 _KEY = r"['\"](?P<key>[A-Za-z_][A-Za-z0-9_.:-]{0,127})['\"]"
 CONFIGURATION = {
     "python": [r"(?:\bos\.)?getenv\(\s*" + _KEY, r"\bos\.environ(?:\.get\(\s*|\[\s*)" + _KEY, r"\b(?:config|settings)\.get\(\s*" + _KEY],
-    "javascript": [r"\bprocess\.env\.(?P<key>[A-Za-z_][A-Za-z0-9_]{0,127})", r"\bprocess\.env\[\s*" + _KEY, r"\b(?:config|settings)\.get\(\s*" + _KEY],
-    "dart": [r"\bPlatform\.environment\[\s*" + _KEY, r"\b(?:String|bool|int)\.fromEnvironment\(\s*" + _KEY, r"\b(?:config|settings)\.get\(\s*" + _KEY],
-    "go": [r"\bos\.(?:Getenv|LookupEnv)\(\s*" + _KEY],
+    "javascript": [r"\bprocess\.env\.(?P<key>[A-Za-z_][A-Za-z0-9_]{0,127})\b", r"\bprocess\.env\[\s*" + _KEY + r"\s*\]", r"\b(?:config|settings|Deno\.env)\.get\(\s*" + _KEY],
+    "dart": [r"\b(?:String|bool|int)\.fromEnvironment\(\s*" + _KEY],
 }
 CONFIGURATION["typescript"] = CONFIGURATION["tsx"] = CONFIGURATION["javascript"]
 

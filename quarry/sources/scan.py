@@ -20,8 +20,8 @@ LANGUAGES = {
     ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "tsx", ".dart": "dart", ".go": "go",
 }
 EXCLUDED = (
-    ".git .hg .svn .idea .vscode .venv venv env node_modules __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox "
-    ".dart_tool build dist target vendor coverage .next"
+    ".dart_tool .git .hg .mypy_cache .next .nox .nuxt .pytest_cache .ruff_cache .svn .tox .venv "
+    "__pycache__ build coverage dist node_modules target vendor venv"
 ).split()
 GENERATED_NAMES = r"\.(freezed\.dart|g\.dart|gen\.dart|generated\.dart|min\.js)$"
 GENERATED_HEADERS = r"@generated|generated code|do not edit"
