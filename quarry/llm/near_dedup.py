@@ -32,7 +32,7 @@ EXTRA = 2.5
 #: Rows (of 8 bytes) up to which a counted table is sent to every executor.
 BROADCAST_ROWS = 1_000_000
 #: Rows on each side of a block comparison, on average; elements that its matrices hold at once.
-BLOCK, COLUMNS = 512, 4096
+BLOCK, COLUMNS = 256, 4096
 
 
 def shingles(texts: list[bytes | None], weights: str = "set") -> tuple[np.ndarray, np.ndarray]:
