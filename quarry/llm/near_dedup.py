@@ -216,7 +216,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, weights: str = "set
     groups = shared.join(led, "band").select("leader", "node").distinct()
     placed = stage(groups.join(comps, "node", "left").select("leader", "node", F.coalesce("comp", "node").alias("comp")), "near-placed")
     sizes = placed.groupBy("leader", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("leader").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("comp", "k").alias("main")).where("comps > 1")
-    apart = placed.join(sizes, "leader")
+    sizes = stage(sizes, "near-sizes")
+    apart = placed.join(_small(sizes, sizes.count()), "leader")
     blocks_of = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     apart = apart.select("leader", "node", "comp", (F.col("comp") != F.col("main")).alias("far"), blocks_of(F.col("n") - F.col("most")).alias("rows"), blocks_of(F.col("n")).alias("cols"))
     apart = apart.join(sets, "node")
