@@ -1,8 +1,8 @@
 """Packing token sequences of at most a given length: best fit, then a local search that swaps pieces between bins.
 
 Documents are cut only if they are longer than a bin. Pieces are dealt into groups by hash; each group is packed by
-best fit in descending order, and then one-for-one and two-for-one exchanges and moves between the underfull bins are
-made while they raise the sum of squared fills, until bins run empty and go. Groups hold some ten thousand pieces, so
+best fit in descending order, and then moves, one-for-one exchanges and exchanges of two for one in both directions are
+made between the underfull bins until none raises the sum of squared fills; bins that run empty go. Groups hold some ten thousand pieces, so
 the unfilled rest of a group's last bins is a small part of it.
 """
 
@@ -46,80 +46,95 @@ def best_fit(sizes: list[int], room: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: list[int], room: int, rounds: int = 20) -> list[list[int]]:
-    """Moves and exchanges between underfull bins that raise the sum of squared fills; bins that run empty go.
+def local_search(bins: list[list[int]], sizes: list[int], room: int) -> list[list[int]]:
+    """Moves and exchanges between underfull bins until none raises the sum of squared fills; bins that run empty go.
 
-    Every change makes the fuller of two bins fuller still. Of a bin's partners those are tried that have, by size,
-    what is wanted, so a round takes time in proportion to the underfull bins' pieces times their distinct sizes.
+    If a bin gains d from a bin of fill c, the sum rises if its own fill plus d is above c. Steps are a piece for nothing,
+    one for a larger one, one for two of one bin, and two for one of another bin; the largest d is taken. Pieces of equal
+    size are alike. Arrays hold for every size, and for every sum of two pieces of a bin, a lower bound of its holders'
+    fills, so all d of one piece or pair are looked at together; what they let through is held against every holder.
     """
     done = [b for b in bins if sum(sizes[i] for i in b) == room]
-    open_ = [b for b in bins if sum(sizes[i] for i in b) < room]
-    for _ in range(rounds):
-        open_ = [b for b in open_ if b]
-        fill = [sum(sizes[i] for i in b) for b in open_]
-        order = sorted(range(len(open_)), key=lambda b: -fill[b])
-        rank = {b: k for k, b in enumerate(order)}
-        where: dict[int, set[tuple[int, int]]] = {}  # size: (bin, piece)
-        for b, own in enumerate(open_):
-            for i in own:
-                where.setdefault(sizes[i], set()).add((b, i))
-        present = sorted(where)
+    open_: list[dict[int, list[int]]] = []  # size: pieces
+    for b in bins:
+        own: dict[int, list[int]] = {}
+        for i in b:
+            own.setdefault(sizes[i], []).append(i)
+        if b and sum(sizes[i] for i in b) < room:
+            open_.append(own)
+    fill = [sum(s * len(x) for s, x in own.items()) for own in open_]
+    none = 1 << 40
+    ones: list[set[int]] = [set() for _ in range(2 * room + 1)]  # size: bins
+    twos: list[set[tuple[int, int, int]]] = [set() for _ in range(2 * room + 1)]  # sum: (bin, smaller, larger)
+    least_one, least_two = np.full(2 * room + 1, none), np.full(2 * room + 1, none)
+    gains = np.arange(room + 1)
+
+    def pairs(b: int) -> list[tuple[int, int]]:
+        have = sorted(open_[b])
+        return [(s, t) for k, s in enumerate(have) for t in have[k:] if s != t or len(open_[b][s]) > 1]
+
+    def enter(b: int) -> None:
+        for s in open_[b]:
+            ones[s].add(b)
+            least_one[s] = min(least_one[s], fill[b])
+        for s, t in pairs(b):
+            twos[s + t].add((b, s, t))
+            least_two[s + t] = min(least_two[s + t], fill[b])
+
+    def leave(b: int) -> None:
+        for s in open_[b]:
+            ones[s].discard(b)
+        for s, t in pairs(b):
+            twos[s + t].discard((b, s, t))
+
+    def best(b: int, given: int, above: int, of_two: bool) -> tuple[int, int, tuple[int, ...]] | None:
+        """(d, bin, its sizes) of the largest d over `above` that bin b can gain for pieces of size `given`."""
+        least, left = (least_two if of_two else least_one), room - fill[b]
+        fits = np.flatnonzero(least[given + above + 1 : given + left + 1] < fill[b] + gains[above + 1 : left + 1])
+        for d in (fits[::-1] + above + 1).tolist():
+            at = given + d
+            low, who = none, None
+            for h in twos[at] if of_two else ones[at]:
+                c = h[0] if of_two else h
+                if c != b and fill[c] < low:
+                    low, who = fill[c], h
+            own = fill[b] if not of_two and at in open_[b] or of_two and any(h[0] == b for h in twos[at]) else none
+            least[at] = min(low, own)
+            if low < fill[b] + d:
+                return (d, who[0], who[1:]) if of_two else (d, who, (at,))
+        return None
+
+    for b in range(len(open_)):
+        enter(b)
+    changed = True
+    while changed:
         changed = False
-
-        def shift(i: int, a: int, b: int) -> None:
-            open_[a].remove(i)
-            open_[b].append(i)
-            where[sizes[i]].discard((a, i))
-            where[sizes[i]].add((b, i))
-            fill[a] -= sizes[i]
-            fill[b] += sizes[i]
-
-        def lower(size: int, b: int, not_: int = -1) -> tuple[int, int] | None:
-            """A piece of that size in a less full bin."""
-            return next(((c, i) for c, i in where.get(size, ()) if c != b and i != not_ and (fill[c], -rank[c]) < (fill[b], -rank[b])), None)
-
-        for b in order:
-            while fill[b] < room and open_[b]:
-                left, step = room - fill[b], None
-                # a move of the largest piece that fits
-                for s in reversed(present):
-                    if s <= left and (got := lower(s, b)):
-                        step = [(got[1], got[0], b)]
-                        break
-                # an exchange of one for a larger one, the fullest result first
-                if not step:
-                    for i in open_[b]:
-                        for d in range(left, 0, -1):
-                            if got := lower(sizes[i] + d, b):
-                                step = [(got[1], got[0], b), (i, b, got[0])]
-                                break
-                        if step:
-                            break
-                # two for one: two of another bin that together are larger than one of this
-                if not step and len(present) <= 400:
-                    for i in open_[b]:
-                        for s in present:
-                            if s >= sizes[i] + left:
-                                break
-                            one = lower(s, b)
-                            if not one:
-                                continue
-                            two = next((j for j in open_[one[0]] if j != one[1] and sizes[i] < s + sizes[j] <= sizes[i] + left), None)
-                            if two is not None:
-                                step = [(one[1], one[0], b), (two, one[0], b), (i, b, one[0])]
-                                break
-                        if step:
+        for b in sorted(range(len(open_)), key=lambda b: -fill[b]):
+            while open_[b] and fill[b] < room:
+                d, step = 0, None
+                for given, of_two in [((), False), *[((s,), two) for s in sorted(open_[b]) for two in (False, True)], *[(p, False) for p in pairs(b)]]:
+                    got = best(b, sum(given), d, of_two)
+                    if got:
+                        d, step = got[0], (given, got[1], got[2])
+                        if d == room - fill[b]:
                             break
                 if not step:
                     break
-                for move in step:
-                    shift(*move)
+                given, c, taken = step
+                leave(b)
+                leave(c)
+                for which, source, target in ((given, b, c), (taken, c, b)):
+                    for s in which:
+                        i = open_[source][s].pop()
+                        if not open_[source][s]:
+                            del open_[source][s]
+                        open_[target].setdefault(s, []).append(i)
+                fill[b] += d
+                fill[c] -= d
+                enter(b)
+                enter(c)
                 changed = True
-        done += [b for k, b in enumerate(open_) if b and fill[k] == room]
-        open_ = [b for k, b in enumerate(open_) if b and fill[k] < room]
-        if not changed or not open_:
-            break
-    return done + [b for b in open_ if b]
+    return done + [[i for x in own.values() for i in x] for own in open_ if own]
 
 
 def cut(n: int, room: int) -> list[tuple[int, int]]:

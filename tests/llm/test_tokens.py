@@ -89,6 +89,32 @@ def test_local_search_empties_bins():
         assert all(sum(sizes[i] for i in b) <= 100 for b in packed)
 
 
+def raising_steps(bins, sizes, room):
+    """Moves and exchanges (one for one, two for one, one for two) between two bins that raise the sum of squared fills."""
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    ones = [{sizes[i] for i in b} for b in bins]
+    twos = [{sizes[i] + sizes[j] for k, i in enumerate(b) for j in b[k + 1 :]} for b in bins]
+    found = []
+    for b in range(len(bins)):
+        for c in range(len(bins)):
+            if b != c and fill[b] < room:
+                gains = {x - y for x in ones[c] for y in (0, *ones[b], *twos[b])} | {x - y for x in twos[c] for y in ones[b]}
+                found += [(b, c, d) for d in gains if 0 < d <= room - fill[b] and fill[c] < fill[b] + d]
+    return found
+
+
+def test_local_search_leaves_no_raising_step():
+    sizes = [1815, 1000, 1000, 910, 910, 900, 900, *range(3300, 4001)]  # 910 and 910 for 1815 is the only step
+    packed = packing.local_search([[0, 1, 2], [3, 4, 5, 6], *[[i] for i in range(7, len(sizes))]], sizes, 4096)
+    assert sorted(i for b in packed for i in b) == list(range(len(sizes)))
+    assert [1, 2, 3, 4] in [sorted(b) for b in packed] and not raising_steps(packed, sizes, 4096)
+    rng = random.Random(5)
+    sizes = [max(1, min(1023, int(rng.lognormvariate(5.9, 0.4)))) for _ in range(1000)]
+    packed = packing.local_search(packing.best_fit(sizes, 1024), sizes, 1024)
+    assert sorted(i for b in packed for i in b) == list(range(1000)) and all(sum(sizes[i] for i in b) <= 1024 for b in packed)
+    assert not raising_steps(packed, sizes, 1024)
+
+
 def test_media_round_trip(spark):
     rows = documents()
     got = media.analyse_media(media.to_media(spark.createDataFrame(rows, SCHEMA))).collect()
