@@ -31,6 +31,21 @@ def test_wrapper_finds_template_and_groups():
     assert "+(p # /p)" in keys and not any(k.startswith("?") for k in keys)
 
 
+def test_slots_of_the_wrapper_decide():
+    # one place, three slots: the notice stands in every third page only, and one page has the notice's words as its own text
+    notes = [f"<body><h2>{i} title</h2>{'<p>Notice</p>' if i % 3 == 0 else ''}<hr><div>x{i}</div><p>{'Notice' if i == 1 else f'text {i}'}</p></body>" for i in range(15)]
+    wrapper = html_extract.infer(notes)
+    assert [html_extract.extract(notes[i], wrapper) for i in (0, 1, 3)] == ["0 title\nx0\ntext 0", "1 title\nx1\nNotice", "3 title\nx3\ntext 3"]
+    # in articles too a text that all pages have at its slot is template; copies of one article keep their text
+    articles = [f"<article><h1>{i}</h1><p>long {i}</p><div>Share this</div></article>" for i in range(6)]
+    assert html_extract.extract(articles[2], html_extract.infer(articles)) == "2\nlong 2"
+    copies = [f"<nav>{i}</nav><article><h1>A</h1><p>b</p></article>" for i in range(6)]
+    assert html_extract.extract(copies[2], html_extract.infer(copies)) == "A\nb"
+    # a menu without marks is one repeated group of several constant texts
+    menus = [f"<ul><li>Home</li><li>About</li><li>Contact</li></ul><p>text {i}</p>" for i in range(5)]
+    assert html_extract.extract(menus[3], html_extract.infer(menus)) == "text 3"
+
+
 def test_main_text_of_tables(spark):
     rows = [(1, "http://a.com/1", PAGE), (1, "http://a.com/1", PAGE), (2, None, "<p>x</p>"), (3, "nope", None), (None, "http://a.com/2", ""), (4, "http://A.com:80/3", "<p>" + "long " * 50_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'c' AS rest", "'d' AS host", "1 AS wrapper", "2 AS text")
