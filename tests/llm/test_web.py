@@ -55,6 +55,21 @@ def test_main_text_of_tables(spark):
     assert html_extract.main_text(pages.where("false")).count() == 0
 
 
+def test_all_pages_of_a_host_count(spark):
+    # a notice on 5 of 400 pages, a text that 5 of 400 pages lack, a host of three pages, and a menu group of 15 nodes
+    rows = [(i, f"http://a.com/{i}", f"<body><h2>{i} t</h2>{'<p>Notice</p>' if i % 80 == 7 else ''}<hr><div>{'rare' if i % 80 == 9 else 'Often'}</div><p>text {i}</p></body>") for i in range(400)]
+    rows += [(1000 + i, f"http://b.com/{i}", f"<div>Top</div><h2>{i}</h2>") for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {r.page_id: r.text for r in html_extract.main_text(pages).collect()}
+    want = {i: f"{i} t\n{'rare' if i % 80 == 9 else 'Often'}\ntext {i}" for i in range(400)} | {1000 + i: f"{i}" for i in range(3)}
+    assert got == want
+    item = "<div>" + "".join(f"<h{k}>a</h{k}>" for k in range(1, 6)) + "</div>"
+    assert [n[0] for n in html_extract.fold(html_extract.layout(item * 3)[1])] == ["+"]
+    host = [r[2] for r in rows[:400]]
+    wrapper = html_extract.infer(host)
+    assert [html_extract.extract(p, wrapper) for p in host] == [want[i] for i in range(400)]
+
+
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
