@@ -110,6 +110,30 @@ def array_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", size(F.array_distinct(F.concat("a", "b"))).alias("either"), size(F.array_intersect("a", "b")).alias("both_"), size(F.array_except("a", "b")).alias("only_a"))
 
 
+@query("""WITH e AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS x FROM documents)
+SELECT CASE WHEN regexp_full_match(x, '[A-Za-z_][A-Za-z0-9_.:-]{0,127}') THEN x END AS key, lower(split_part(x, '.', -1)) AS leaf, count(*) AS n, count(DISTINCT doc_id) AS docs FROM e GROUP BY ALL""")
+def configuration_keys_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As configuration_keys, over all words of the texts: how often, and in how many of them."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")  # texts are dealt once, their words then stay
+    x = d.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("x"))
+    keys = x.select("doc_id", T.configuration_key(F.col("x")).alias("key"), F.lower(F.substring_index("x", ".", -1)).alias("leaf"))
+    return keys.groupBy("doc_id", "key", "leaf").agg(F.count(F.lit(1)).alias("n")).groupBy("key", "leaf").agg(F.sum("n").alias("n"), F.count("doc_id").alias("docs"))
+
+
+@query("""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents), e AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT doc_id, x, min(i) FILTER (i % 2 = 1) AS a, min(i) FILTER (i % 2 = 0) AS b FROM e GROUP BY doc_id, x)
+SELECT doc_id, count(*) AS either, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS both_, count(*) FILTER (b IS NULL) AS only_a,
+ sha256(string_agg(x, ' ' ORDER BY a IS NULL, coalesce(a, b))) AS either_sha, sha256(coalesce(string_agg(x, ' ' ORDER BY a) FILTER (a IS NOT NULL AND b IS NOT NULL), '')) AS both_sha,
+ sha256(coalesce(string_agg(x, ' ' ORDER BY a) FILTER (b IS NULL), '')) AS only_a_sha FROM g GROUP BY doc_id""")
+def array_sets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H3-H5: ordered union, intersection and difference of the words at odd and at even places of whole texts."""
+    w = F.split(F.coalesce("text", F.lit("")), " ")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.filter(w, lambda x, i: i % 2 == 0).alias("a"), F.filter(w, lambda x, i: i % 2 == 1).alias("b"))
+    d = d.select("doc_id", F.array_distinct(F.concat("a", "b")).alias("either"), F.array_intersect("a", "b").alias("both_"), F.array_except("a", "b").alias("only_a"))
+    sets = ("either", "both_", "only_a")
+    return d.select("doc_id", *[F.size(c).cast("long").alias(c) for c in sets], *[F.sha2(F.array_join(c, " "), 256).alias(f"{c.rstrip('_')}_sha") for c in sets])
+
+
 @query("""WITH o AS (SELECT o_orderkey, o_custkey AS a, o_orderkey % 3 + 1 AS n FROM orders)
 SELECT o_orderkey AS id, 'o' || o_orderkey || '.py' AS relative_path, a::INT AS old_start, (a + 1)::INT AS new_start, (a + 1)::INT AS changed_from, (a + 1 + n - 1)::INT AS changed_to FROM o WHERE o_orderkey % 5 <> 0""")
 def diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
