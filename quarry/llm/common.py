@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that one vectorised step handles at once (a longer single text is handled alone).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
+#: Powers of a base that a worker keeps; longer tables are made for one text and let go.
+KEPT_POWERS = 1 << 20
 #: A word is a run of bytes other than space and the five ASCII controls 9 to 13.
 WHITE = bytes([9, 10, 11, 12, 13, 32])
 
@@ -28,8 +32,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share; own folder only if that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/quarry-work"
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, an own folder serves a local master, whose threads share the machine; a cluster raises an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master", "").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file:///tmp/quarry-work"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -50,6 +61,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def row_hash(df: DataFrame, names: list[str] | None = None) -> F.Column:
+    """A hash of whole rows; columns that hold maps or variants, which Spark does not hash, count by their JSON."""
+    columns = [f for f in df.schema if names is None or f.name in names]
+    odd = lambda kind: "map<" in kind or "variant" in kind
+    quoted = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    return F.xxhash64(*[F.to_json(F.struct(quoted(f.name))) if odd(f.dataType.simpleString()) else quoted(f.name) for f in columns])
+
+
+def with_fields(fields: list[StructField], ddl: str) -> StructType:
+    """The schema of fields that pass through, names and nested types as they are, and of new ones."""
+    return StructType([*fields, *StructType.fromDDL(ddl).fields])
+
+
 def text_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and bytes of text."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text)).alias("b")).first()
@@ -88,11 +112,59 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, dtype=np.uint64)
             p[0] = 1
-            pair.append(np.multiply.accumulate(p))
-        _powers[which] = have = (pair[0], pair[1])
+            np.multiply.accumulate(p, out=p)
+            pair.append(p)
+        have = (pair[0], pair[1])
+        if size <= KEPT_POWERS:
+            _powers[which] = have
     return have
 
 
+def release() -> None:
+    """Gives the worker's free memory back to the system: workers outlive their tasks and stand beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not every C library has it
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, after whose last batch the worker's free memory is given back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
+def lean_group(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """f on a group, after which the worker's free memory is given back."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return f(table)
+        finally:
+            release()
+
+    return run
+
+
+def lean_cogroup(f: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """f on two groups of one key, after which the worker's free memory is given back."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return f(left, right)
+        finally:
+            release()
+
+    return run
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of 64-bit words whose output bits all depend on all input bits."""
     x = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & _MASK)

@@ -84,7 +84,7 @@ def by_hand(url, rules, default="allow"):
     return host, path, best and best[2], best[3] if best else default
 
 
-def test_rules_equal_plain_matching(spark):
+def test_rules_equal_plain_matching(spark, monkeypatch):
     rng = random.Random(8)
     labels = ["com", "net", "example", "www", "a", "exampl", "examplee", "m", "x-y"]
     urls = [f"{rng.choice(['http', 'https'])}://{'.'.join(rng.choice(labels) for _ in range(rng.randint(1, 4)))}{rng.choice(['', '/', '/en/', '/en', '/es/x', '/fr/a?b=/en/', '?q', '#f', '/EN/'])}" for _ in range(800)]
@@ -94,6 +94,15 @@ def test_rules_equal_plain_matching(spark):
     for rules in (RULES, more):
         got = url_filter.judge(pages, spark.createDataFrame(rules, "verdict string, host string, path string")).collect()
         assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: by_hand(u, rules) for i, u in enumerate(urls)}
+        # more rules than every task may get, ranges and parts of ranges of few rows
+        for name, value in (("BROADCAST_RULES", 0), ("RANGE_ROWS", 40), ("SAMPLE", 50)):
+            monkeypatch.setattr(url_filter, name, value)
+        got = url_filter.judge(pages, spark.createDataFrame(rules, "verdict string, host string, path string")).collect()
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: by_hand(u, rules) for i, u in enumerate(urls)}
+        assert len(got) == len(urls)
+        monkeypatch.undo()
+    odd = pages.selectExpr("page_id", "url", "map('a', page_id) AS pairs", "'z' AS verdict")
+    assert url_filter.judge(odd, spark.createDataFrame(RULES, "verdict string, host string, path string")).columns == ["page_id", "url", "pairs", "host", "path", "rule", "verdict"]
     none = spark.createDataFrame([], "verdict string, host string, path string")
     assert {r.verdict for r in url_filter.judge(pages, none, default="block").collect()} == {"block"}
     assert url_filter.judge(pages.where("false"), none).count() == 0
@@ -135,7 +144,40 @@ def test_contained_items_equal_brute_force(spark):
     assert decontaminate.search(frame, bench.where("false")).count() == 0
 
 
+def test_short_items_lose_nothing(spark):
+    rng = random.Random(12)
+    items = [(i, prose(rng, 5 + i % 7)) for i in range(60)]
+    docs = []
+    for i in range(300):
+        words = items[i % 60][1].split(" ")
+        if len(words) == 9:
+            words[-1] = "other"  # four of five shingles stay
+        docs.append((i, f"{prose(rng, 200)} {' '.join(words)} {prose(rng, 200)}"))
+    found = decontaminate.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert {(i, i % 60) for i in range(300)} <= got
+
+
 def test_main_path_has_no_python(spark):
     docs = spark.createDataFrame(documents(), SCHEMA)
     plan = decontaminate.search(docs, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_generated_templates(spark):
+    """Hosts with random templates, without articles or telling names: what varies is main text, what all pages share is not."""
+    rng = random.Random(21)
+    rows, want, alone = [], {}, 0
+    for h in range(12):
+        around = [f"<{t}>{prose(rng, 3)}</{t}>" for t in rng.choices(["div", "h4", "section", "p"], k=rng.randint(2, 6))]
+        for i in range(rng.randint(5, 30)):
+            texts = [f"{prose(rng, rng.randint(3, 20))} {h} {i} {k}" for k in range(rng.randint(1, 5))]
+            middle = "".join(f"<p>{t}</p>" for t in texts)
+            cut = len(around) // 2
+            html = f"<body>{''.join(around[:cut])}<div class='x{h}'><h2>{h} {i}</h2>{middle}</div>{''.join(around[cut:])}</body>"
+            rows.append((len(rows), f"http://h{h}.org/{i}", html))
+            want[rows[-1][0]] = "\n".join([f"{h} {i}", *texts])
+            alone += html_extract.extract(html, None) != want[rows[-1][0]]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert {r.page_id: r.text for r in html_extract.main_text(pages).collect()} == want
+    assert alone == len(rows)  # without its wrapper no page comes out right
