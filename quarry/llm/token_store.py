@@ -16,17 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import parts, small_batches, steps, text_size, work_dir
+from quarry.llm.common import lean, parts, small_batches, steps, text_size, work_dir
 from quarry.llm.tokens import BATCH, encoder
 
 MAGIC = b"QTOKSH01"
-#: Texts from which the dictionary is trained (those of least hash of the id), its bytes, the level of compression.
-SAMPLE, DICT_BYTES, LEVEL = 600, 64 << 10, 3
-#: Bytes of text in a shard, about.
-SHARD_BYTES = 32 << 20
+#: Texts from which the dictionary is trained (those of least hash of the id) and bytes of the longest that may be among
+#: them: it is short documents that a dictionary helps. Then its own bytes and the level of compression.
+SAMPLE, SAMPLE_BYTES, DICT_BYTES, LEVEL = 600, 64 << 10, 64 << 10, 3
+#: Bytes of text and documents in a shard, about; shards whose totals one task adds up.
+SHARD_BYTES, SHARD_DOCS, SHARD_BLOCK = 32 << 20, 200_000, 1024
 
 
 def _fs(path: str):
@@ -57,10 +58,9 @@ def train(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str, text: str)
     """A dictionary from the id arrays of SAMPLE texts; empty if they are too few to train one."""
     import zstandard
 
-    spark = docs.sparkSession
-    ids = docs.select(doc_id).where(F.col(doc_id).isNotNull()).distinct().orderBy(F.xxhash64(doc_id), doc_id).limit(SAMPLE)
-    rows = [r[0] for r in docs.join(F.broadcast(ids), doc_id, "left_semi").orderBy(doc_id, text).select(text).limit(SAMPLE).collect()]
-    del spark
+    short = docs.where(F.col(doc_id).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES))
+    ids = short.select(doc_id).orderBy(F.xxhash64(doc_id), doc_id).limit(SAMPLE).distinct()
+    rows = [r[0] for r in short.join(F.broadcast(ids), doc_id, "left_semi").orderBy(doc_id, text).select(text).limit(SAMPLE).collect()]
     e = encoder(tokenizer)
     samples = [np.append(x, e.kind.type(end_id)).tobytes() for x in e.encode([t or "" for t in rows])]
     try:
@@ -149,7 +149,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
     system.create_dir(at, recursive=True)
     dict_path = f"{folder}/{hashlib.sha256(dictionary).hexdigest()}.dict"
     _put(dict_path, dictionary, "driver")
-    n_shards = max(parts(spark), -(-size // SHARD_BYTES))
+    n_shards = max(parts(spark), -(-size // SHARD_BYTES), -(-n // SHARD_DOCS))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,19 +176,28 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
     # the ranges are cut by keys that a sample carries to the driver: ids and hashes, not texts
     keyed = docs.withColumn("hash", F.xxhash64("text"))
     laid = keyed.repartitionByRange(n_shards, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
-    laid.mapInArrow(write, schema).write.parquet(f"{folder}/manifest")
+    laid.mapInArrow(lean(write), schema).write.parquet(f"{folder}/manifest")
     return spark.read.schema(schema).parquet(f"{folder}/manifest")
 
 
+def _starts(manifest: DataFrame) -> DataFrame:
+    """(shard, base): ids in all shards before it, by sums within blocks of shards and over the blocks."""
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    told = manifest.select("shard", "n_tokens", F.floor(F.col("shard") / SHARD_BLOCK).alias("block"))
+    blocks = told.groupBy("block").agg(F.sum("n_tokens").alias("total"))
+    # one small row for each SHARD_BLOCK shards
+    blocks = blocks.select("block", F.coalesce(F.sum("total").over(before(Window.orderBy("block"))), F.lit(0)).alias("base"))
+    inside = told.withColumn("inside", F.coalesce(F.sum("n_tokens").over(before(Window.partitionBy("block").orderBy("shard"))), F.lit(0)))
+    return inside.join(blocks, "block").select("shard", (F.col("inside") + F.col("base")).alias("base"))
+
+
 def read_tokens(manifest: DataFrame) -> DataFrame:
-    """Per document, from the shards: doc_id, `start` (ids before it in the whole store), `n_tokens`, `ids_crc32`, `ids`."""
-    spark = manifest.sparkSession
-    base, rows = 0, []
-    # one small row for each shard of some MB: the running sum of their totals is made here
-    for shard, n in sorted(tuple(r) for r in manifest.select("shard", "n_tokens").collect()):
-        rows.append((shard, base))
-        base += n
-    starts = spark.createDataFrame(rows, "shard long, base long")
+    """Per document, from the shards: doc_id, `start` (ids before it in the whole store), `n_tokens`, `ids_crc32`, `ids`.
+
+    Documents come as they were stored: null ids, empty texts (the end id alone) and repeated rows each with an own place. An
+    empty manifest gives no rows.
+    """
+    n_shards = manifest.count()
     id_type = manifest.schema["doc_ids"].dataType.elementType.simpleString()
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +215,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 if held:
                     yield _rows(held, batch.schema.field("doc_ids").type.value_type)
 
-    joined = manifest.join(F.broadcast(starts), "shard").select("shard", "path", "dictionary", "doc_ids", "base")
-    return joined.repartition(max(1, min(len(rows), 100_000)), "shard").mapInArrow(load, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    joined = manifest.join(_starts(manifest), "shard").select("shard", "path", "dictionary", "doc_ids", "base")
+    return joined.repartition(max(1, min(n_shards, 100_000)), "shard").mapInArrow(lean(load), f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
 def _rows(held: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
