@@ -19,15 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import blobs, small_batches
+from quarry.llm.common import blobs, lean, small_batches, steps, with_fields, work_dir
 
 FRAME, HOP, RATE = 384, 192, 8000
 #: First bins of the bands, and the end.
 BANDS = (2, 12, 36, 90, 193)
 #: Frames either way in which a peak is the strongest, later peaks that one is paired with, frames between at most.
 REACH, FAN, SPAN = 3, 4, 24
-#: Frames that are transformed at once.
-STEP = 4096
+#: Frames that are transformed at once; bytes of sounds that are handed on together.
+STEP, HELD = 4096, 4 << 20
 
 
 def encode_wav(payload: bytes, rate: int = RATE) -> bytes:
@@ -92,29 +92,43 @@ def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replaces the text column by `n_bytes` and `media`: its UTF-8 bytes, padded with spaces, as a WAV file.
 
     A null text counts as empty, and an empty one gives one block of 192 samples. Other columns pass through unchanged,
-    rows stay as they are, an empty table gives an empty one.
+    own ones named n_bytes or media are replaced; repeated rows stay; an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
-    others = [c for c in docs.columns if c != text]
+    others = [c for c in docs.columns if c not in (text, "n_bytes", "media")]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [t or b"" for t in blobs(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array([len(d) for d in data], pa.int64()), pa.array([encode_wav(pad(d)) for d in data], pa.binary())], ["rest", "n_bytes", "media"])
+            for i, j in steps(data, HELD):
+                own = data[i:j]
+                yield pa.RecordBatch.from_arrays([batch.column("rest").slice(i, j - i), pa.array([len(d) for d in own], pa.int64()), pa.array([encode_wav(pad(d)) for d in own], pa.binary())], ["rest", "n_bytes", "media"])
 
     laid = docs.select(F.col(text).alias("text"), F.struct(*others).alias("rest") if others else F.lit(0).alias("rest"))
-    done = laid.mapInArrow(make, f"rest {laid.schema['rest'].dataType.simpleString()}, n_bytes long, media binary")
+    done = laid.mapInArrow(lean(make), with_fields([laid.schema["rest"]], "n_bytes long, media binary"))
     return done.select(*[F.col(f"rest.`{c}`").alias(c) for c in others], "n_bytes", "media")
 
 
+def store_media(sounds: DataFrame, folder: str | None = None) -> DataFrame:
+    """Writes a table with a media column as Parquet, in a folder that all machines share, and returns what is read from it.
+
+    Nulls, repeated rows and all columns stay as they are; an empty table is stored as an empty one.
+    """
+    folder = folder or work_dir(sounds.sparkSession, "media")
+    sounds.write.option("compression", "zstd").parquet(folder)
+    return sounds.sparkSession.read.schema(sounds.schema).parquet(folder)
+
+
 def analyse_media(sounds: DataFrame, media: str = "media") -> DataFrame:
     """Replaces a WAV column by what is read back from it and its fingerprint.
 
     Adds `payload_bytes`, `payload_sha256`, `tail_crc32` (last 16 bytes), `media_bytes`, `media_sha256`, `prints`
-    (array of longs) and `feature`, a digest of them. A null sound gives nulls.
+    (array of longs) and `feature`, a digest of them. A null sound gives nulls; equal sounds give equal values; other
+    columns pass through, own ones with these names are replaced; an empty table gives an empty one.
     """
-    others = [c for c in sounds.columns if c != media]
+    small_batches(sounds.sparkSession)
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "prints", "feature"]
+    others = [c for c in sounds.columns if c not in (media, *names)]
 
     def one(m: bytes | None) -> tuple:
         if m is None:
@@ -128,10 +142,12 @@ def analyse_media(sounds: DataFrame, media: str = "media") -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(zip(*map(one, blobs(batch.column("media"))), strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([batch.column("rest"), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["rest", *names])
+            sounds = blobs(batch.column("media"))
+            for i, j in steps(sounds, HELD):
+                columns = list(zip(*map(one, sounds[i:j]), strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column("rest").slice(i, j - i), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["rest", *names])
 
     laid = sounds.select(F.col(media).alias("media"), F.struct(*others).alias("rest") if others else F.lit(0).alias("rest"))
     schema = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, prints array<long>, feature string"
-    done = laid.mapInArrow(look, f"rest {laid.schema['rest'].dataType.simpleString()}, {schema}")
+    done = laid.mapInArrow(lean(look), with_fields([laid.schema["rest"]], schema))
     return done.select(*[F.col(f"rest.`{c}`").alias(c) for c in others], *names)

@@ -1,9 +1,10 @@
-"""Packing token sequences of at most a given length: best fit, then a local search that swaps pieces between bins.
+"""Packing token sequences of at most a given length by a local search that swaps pieces between bins.
 
-Documents are cut only if they are longer than a bin. Pieces are dealt into groups by hash; each group is packed by
-best fit in descending order, and then moves, one-for-one exchanges and exchanges of two for one in both directions are
-made between the underfull bins until none raises the sum of squared fills; bins that run empty go. Groups hold some ten thousand pieces, so
-the unfilled rest of a group's last bins is a small part of it.
+Documents are cut only if they are longer than a bin. Pieces are dealt into groups by hash. A group's pieces are laid into
+bins in two ways, as they come and by best fit in descending order; from each start moves, one-for-one exchanges and
+exchanges of two for one in both directions are made between the underfull bins until none raises the sum of squared fills;
+bins that run empty go. The end with fewer bins holds. Groups hold some ten thousand pieces, so the unfilled rest of a
+group's last bins is a small part of it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small_batches, steps, text_size
+from quarry.llm.common import lean, lean_group, row_hash, small_batches, steps, text_size, with_fields
 from quarry.llm.tokens import BATCH, encoder
 
 #: Documents whose pieces are packed together, on average; groups at least.
@@ -46,6 +47,24 @@ def best_fit(sizes: list[int], room: int) -> list[list[int]]:
     return bins
 
 
+def next_fit(sizes: list[int], room: int) -> list[list[int]]:
+    """Bins filled one after the other with sizes as they come."""
+    bins: list[list[int]] = []
+    left = 0
+    for i, s in enumerate(sizes):
+        if s > left:
+            bins.append([])
+            left = room
+        bins[-1].append(i)
+        left -= s
+    return bins
+
+
+def packed(sizes: list[int], room: int) -> list[list[int]]:
+    """The fewest bins that the search finds from its two starts; of equal numbers those from pieces as they come."""
+    return min((local_search(start(sizes, room), sizes, room) for start in (next_fit, best_fit)), key=len)
+
+
 def local_search(bins: list[list[int]], sizes: list[int], room: int) -> list[list[int]]:
     """Moves and exchanges between underfull bins until none raises the sum of squared fills; bins that run empty go.
 
@@ -146,7 +165,11 @@ def cut(n: int, room: int) -> list[tuple[int, int]]:
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per piece of every document: doc_id, piece, start, length, ids_crc32. A null text counts as empty."""
+    """Per piece of every document: doc_id, piece, start, length, ids_crc32.
+
+    A null or empty text is the end id alone; texts of any length are encoded whole; repeated rows give repeated pieces;
+    other columns are not carried; an empty table gives an empty one.
+    """
     small_batches(docs.sparkSession)
     laid = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     id_type = laid.schema["doc_id"].dataType.simpleString()
@@ -163,7 +186,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: i
             c = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c[0], batch.schema.field("doc_id").type), pa.array(c[1], pa.int32()), *[pa.array(x, pa.int64()) for x in c[2:]]], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return laid.mapInArrow(make, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
+    return laid.mapInArrow(lean(make), f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, n_docs: int, room: int = 1024) -> DataFrame:
@@ -174,24 +197,23 @@ def pack(pieces: DataFrame, n_docs: int, room: int = 1024) -> DataFrame:
     """
     groups = max(LEAST_GROUPS, -(-n_docs // GROUP_DOCS))
     named = [c for c in pieces.columns if c not in ("sequence_id", "offset", "pack_group")]
-    laid = pieces.select(*named, F.pmod(F.xxhash64(*named), F.lit(groups)).alias("pack_group"))
+    laid = pieces.select(*named, F.pmod(row_hash(pieces, named), F.lit(groups)).alias("pack_group"))
 
     def fill(table: pa.Table) -> pa.Table:
         group, sizes = table.column("pack_group")[0].as_py(), table.column("length").to_pylist()
         full = [[i] for i, s in enumerate(sizes) if s == room]
         rest = [i for i, s in enumerate(sizes) if s < room]
         small = [sizes[i] for i in rest]
-        packed = local_search(best_fit(small, room), small, room)
         sequence, offset = [0] * len(sizes), [0] * len(sizes)
-        for k, b in enumerate([*full, *[[rest[i] for i in b] for b in packed]]):
+        for k, b in enumerate([*full, *[[rest[i] for i in b] for b in packed(small, room)]]):
             at = 0
             for i in b:
                 sequence[i], offset[i] = group << 32 | k, at
                 at += sizes[i]
         return table.drop_columns(["pack_group"]).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.schema if f.name != "pack_group")
-    return laid.groupBy("pack_group").applyInArrow(fill, f"{schema}, sequence_id long, offset long")
+    schema = with_fields([f for f in laid.schema if f.name != "pack_group"], "sequence_id long, offset long")
+    return laid.groupBy("pack_group").applyInArrow(lean_group(fill), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

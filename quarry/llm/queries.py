@@ -40,7 +40,7 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sounds = media.to_media(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    sounds = media.store_media(media.to_media(read(spark, sf_dir, "documents").select("doc_id", "text")))
     return media.analyse_media(sounds).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 

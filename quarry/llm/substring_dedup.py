@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, blobs, parts, small_batches, steps, text_size
+from quarry.llm.common import Words, blobs, lean_cogroup, lean_group, parts, row_hash, small_batches, steps, text_size, with_fields
 
 #: Bytes of text in a block, and fingerprints in a bucket, on average.
 BLOCK_BYTES, BUCKET_ROWS = 4 << 20, 500_000
@@ -193,7 +193,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", keep_t
     copies go, and windows are judged on the input. Kept words are joined by one space, and their hash is of that; a text
     that loses nothing is its own kept_text, white space and all. A null or empty text has no
     words; rows are told apart by row, so repeated doc_ids or whole rows count as separate texts; other columns pass
-    through unchanged; an empty table gives an empty one. Texts shorter than the window lose nothing.
+    through unchanged, but own ones with the names of the new columns are replaced; an empty table gives an empty one. Texts
+    shorter than the window lose nothing.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -201,19 +202,19 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", keep_t
     blocks = max(math.ceil(size / BLOCK_BYTES), parts(spark))
     buckets = max(math.ceil(size / 6 / BUCKET_ROWS), parts(spark))
     lengths = levels(window)
-    others = [c for c in docs.columns if c != text]
+    others = [c for c in docs.columns if c not in (text, "n_words", "n_removed", "kept_sha256", "kept_text")]
     # a block is a function of the row itself: lost executors or retries deal the same way
-    row = F.struct(F.col(text).alias("text"), F.xxhash64(*docs.columns).alias("of"), F.struct(*others).alias("rest") if others else F.lit(0).alias("rest"))
+    row = F.struct(F.col(text).alias("text"), row_hash(docs).alias("of"), F.struct(*others).alias("rest") if others else F.lit(0).alias("rest"))
     laid = docs.select(row.alias("row")).select(F.pmod(F.col("row.of"), F.lit(blocks)).alias("block"), "row.text", "row.rest")
 
     def ask(level: int, got: DataFrame | None) -> DataFrame:
         if got is None:
-            return laid.groupBy("block").applyInArrow(lambda t: _candidates(t, None, level, lengths, buckets), SENT)
-        return laid.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(lambda t, g: _candidates(t, g, level, lengths, buckets), SENT)
+            return laid.groupBy("block").applyInArrow(lean_group(lambda t: _candidates(t, None, level, lengths, buckets)), SENT)
+        return laid.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(lean_cogroup(lambda t, g: _candidates(t, g, level, lengths, buckets)), SENT)
 
     got: DataFrame | None = None
     for level in range(len(lengths)):
-        got = ask(level, got).groupBy("bucket").applyInArrow(_final if level == len(lengths) - 1 else _early, SENT)
+        got = ask(level, got).groupBy("bucket").applyInArrow(lean_group(_final if level == len(lengths) - 1 else _early), SENT)
 
     def finish(table: pa.Table, back: pa.Table) -> pa.Table:
         texts, answer = blobs(table.column("text")), _Answer(back, True)
@@ -236,7 +237,6 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", keep_t
             out["kept_text"] = pa.array(kept, pa.binary()).cast(pa.string())
         return pa.table(out)
 
-    rest = laid.schema["rest"].dataType.simpleString()
-    schema = f"rest {rest}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
-    done = laid.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(finish, schema)
+    schema = with_fields([laid.schema["rest"]], "n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else ""))
+    done = laid.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(lean_cogroup(finish), schema)
     return done.select(*([F.col(f"rest.`{c}`").alias(c) for c in others]), *[c for c in done.columns if c != "rest"])

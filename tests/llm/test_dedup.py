@@ -134,3 +134,10 @@ def test_signatures_agree_as_similar():
 def test_counted_weights_tell_repeats_apart():
     of, h = near_dedup.shingles([b"a b c d e a b c d e a b c d e"], "count")
     assert len(set(h.tolist())) == len(h) == 11
+
+
+def test_clashing_and_map_columns_of_substrings(spark):
+    docs = spark.createDataFrame([(i, "same words " * 30) for i in range(3)], "doc_id long, text string").selectExpr("*", "1 AS n_words", "'k' AS kept_text", "2 AS n_removed", "'s' AS kept_sha256", "map('a', array(1)) AS pairs")
+    got = substring_dedup.remove_repeats(docs, window=35)
+    assert sorted(got.columns) == sorted(["doc_id", "pairs", "n_words", "n_removed", "kept_sha256", "kept_text"])
+    assert {(r.n_words, r.n_removed) for r in got.collect()} == {(60, 60)}

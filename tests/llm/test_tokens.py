@@ -115,9 +115,81 @@ def test_local_search_leaves_no_raising_step():
     assert not raising_steps(packed, sizes, 1024)
 
 
+def fewest(sizes, room):
+    """The least number of bins, by trying every place of every piece."""
+    best = len(sizes)
+
+    def place(k, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if k == len(sizes):
+            best = len(fills)
+            return
+        for i in range(len(fills)):
+            if fills[i] + sizes[k] <= room and fills[i] not in fills[:i]:
+                place(k + 1, [*fills[:i], fills[i] + sizes[k], *fills[i + 1 :]])
+        place(k + 1, [*fills, sizes[k]])
+
+    place(0, [])
+    return best
+
+
+def test_search_saves_bins_and_nears_the_fewest():
+    rng = random.Random(6)
+    over = 0
+    for _ in range(60):
+        sizes = sorted((rng.randint(5, 70) for _ in range(11)), reverse=True)
+        rng.shuffle(sizes)
+        over += len(packing.packed(sizes, 100)) - fewest(sizes, 100)
+    assert over <= 3
+    for spread in (0.4, 0.8):
+        sizes = [max(1, min(1023, int(rng.lognormvariate(5.8, spread)))) for _ in range(3000)]
+        start = packing.next_fit(sizes, 1024)
+        found = packing.local_search(start, sizes, 1024)
+        assert len(found) < 0.9 * len(start) and len(found) <= 1.02 * -(-sum(sizes) // 1024)
+        assert len(packing.packed(sizes, 1024)) <= min(len(found), len(packing.best_fit(sizes, 1024)))
+
+
+def test_packing_of_clashing_and_map_columns(spark):
+    pieces = spark.createDataFrame([(i % 3, 10 + i % 2) for i in range(9)], "doc_id int, length int").selectExpr("*", "map('a', doc_id) AS pairs", "1 AS sequence_id", "'x' AS offset", "2 AS pack_group")
+    got = packing.pack(pieces, 9, 64)
+    assert got.columns == ["doc_id", "length", "pairs", "sequence_id", "offset"] and got.count() == 9
+
+
+def test_media_of_clashing_columns_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a", 5, b"x", "f"), (1, "a", 5, b"x", "f"), (None, None, None, None, None)], "doc_id int, text string, n_bytes int, media binary, feature string").selectExpr("*", "map('k', 1) AS pairs", "1 AS rest")
+    stored = media.store_media(media.to_media(docs))
+    got = media.analyse_media(stored)
+    assert sorted(got.columns) == sorted(["doc_id", "pairs", "rest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "prints", "feature"])
+    assert sorted(r.n_bytes for r in got.collect()) == [0, 1, 1]
+    assert media.analyse_media(media.store_media(media.to_media(docs.where("false")))).count() == 0
+    assert media.analyse_media(spark.createDataFrame([(1, None)], "doc_id int, media binary")).first().feature is None
+
+
+def plain_prints(samples):
+    """Peaks and their pairs by a transform written out as sums."""
+    x = [s - 128 for s in samples]
+    n = max(1, -(-len(x) // media.HOP))
+    x += [0] * (n * media.HOP + media.FRAME - media.HOP - len(x))
+    window = np.hanning(media.FRAME).astype(np.float32)
+    waves = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME // 2 + 1), np.arange(media.FRAME)) / media.FRAME)
+    power = [np.abs(waves @ (np.array(x[i * media.HOP : i * media.HOP + media.FRAME]) * window)) ** 2 for i in range(n)]
+    best = [[(max(range(a, b), key=lambda k: p[k]), max(p[a:b])) for a, b in zip(media.BANDS, media.BANDS[1:], strict=False)] for p in power]
+    peaks = [(i, best[i][k][0]) for i in range(n) for k in range(4) if best[i][k][1] > 1 and all(best[i][k][1] >= best[j][k][1] for j in range(max(0, i - media.REACH), min(n, i + media.REACH + 1)))]
+    return [t << 32 | f << 20 | g << 8 | (u - t) for i, (t, f) in enumerate(peaks) for u, g in peaks[i + 1 : i + 1 + media.FAN] if u - t <= media.SPAN]
+
+
+def test_prints_equal_a_plain_transform():
+    rng = random.Random(11)
+    for n in (192, 192 * 7, 192 * 50):
+        samples = bytes(rng.choice(b"abc def ghi. \n") for _ in range(n))
+        assert media.fingerprint(samples).tolist() == plain_prints(samples)
+
+
 def test_media_round_trip(spark):
     rows = documents()
-    got = media.analyse_media(media.to_media(spark.createDataFrame(rows, SCHEMA))).collect()
+    got = media.analyse_media(media.store_media(media.to_media(spark.createDataFrame(rows, SCHEMA)))).collect()
     import hashlib
 
     assert len(got) == len(rows)
