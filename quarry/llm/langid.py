@@ -3,6 +3,9 @@
 A language's profile is its most frequent n-grams of 1 to 3 letters (words padded by a mark), by descending count. A
 text's own most frequent n-grams are compared to each profile by the out-of-place distance: the sum over the text's
 n-grams of how far their ranks lie apart, at most the profile's length each. The nearest profile is the prediction.
+
+Profiles are learnt from all labelled texts: each task counts the n-grams of its own texts by language, Spark adds these
+counts, and only the first ranks of each language leave the cluster.
 """
 
 from __future__ import annotations
@@ -15,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import blobs, small_batches, steps
+from quarry.llm.common import blobs, lean, small_batches, steps, with_fields
 
-#: Texts of a language that its profile is learnt from at most: of least hash of the id, an eighth of them for each of 32 shares.
-SAMPLE = 400
 #: n-grams in a profile, and of a text.
 RANKS = 400
+#: Languages of a model: those with most labelled texts.
+LANGUAGES = 1000
+#: Counts that a task holds before it hands them on; texts by languages that one step compares.
+HELD, CELLS = 500_000, 1 << 21
 UNDETERMINED = "und"
 
 _letters: np.ndarray | None = None
@@ -78,7 +83,7 @@ def grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     h = g * np.uint64(0x9E3779B97F4A7C15)
     word = (o << np.uint64(44)) | (h >> np.uint64(20))
     word.sort()
-    edge = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    edge = np.flatnonzero(np.concatenate((np.ones(min(1, len(word)), bool), word[1:] != word[:-1])))
     count = np.diff(np.append(edge, len(word)))
     word = word[edge]
     return (word >> np.uint64(44)).astype(np.int64), word & np.uint64((1 << 44) - 1), count
@@ -86,29 +91,24 @@ def grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 @dataclass
 class Model:
-    """Languages in order; the hashed n-grams of any profile, ascending; rank of each in each profile (RANKS: absent)."""
+    """Languages in order; the hashed n-grams of any profile, ascending; from `at[i]` on the languages and ranks that have n-gram i."""
 
     languages: list[str]
     known: np.ndarray
-    ranks: np.ndarray
-
-
-def fit(samples: dict[str, list[str]]) -> Model:
-    top: dict[str, np.ndarray] = {}
-    for lang in sorted(samples):
-        total: dict[int, int] = {}
-        data = [t.encode() for t in samples[lang]]
-        for i, j in steps(data):
-            _, g, n = grams([b"\n".join(data[i:j])])
-            for a, b in zip(g.tolist(), n.tolist(), strict=True):
-                total[a] = total.get(a, 0) + b
-        top[lang] = np.array(sorted(total, key=lambda a: (-total[a], a))[:RANKS], np.uint64)
+    at: np.ndarray
+    language: np.ndarray
+    rank: np.ndarray
+
+
+def model_of(top: dict[str, list[int]]) -> Model:
+    """A model from the n-grams of each language, most frequent first."""
     languages = sorted(top)
-    known = np.unique(np.concatenate([*top.values(), np.zeros(0, np.uint64)]))
-    ranks = np.full((len(languages), len(known) + 1), RANKS, np.int64)
-    for k, lang in enumerate(languages):
-        ranks[k, np.searchsorted(known, top[lang])] = np.arange(len(top[lang]))
-    return Model(languages, known, ranks)
+    gram = np.array([g for name in languages for g in top[name]], np.uint64)
+    language = np.array([k for k, name in enumerate(languages) for _ in top[name]], np.int64)
+    rank = np.array([r for name in languages for r in range(len(top[name]))], np.int64)
+    order = np.argsort(gram, kind="stable")
+    known, first = np.unique(gram[order], return_index=True)
+    return Model(languages, known, np.append(first, len(gram)), language[order], rank[order])
 
 
 def predict(model: Model, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
@@ -116,22 +116,22 @@ def predict(model: Model, texts: list[bytes | None]) -> tuple[list[str], np.ndar
     own, g, n = grams(texts)
     if not model.languages or not len(own):
         return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-    at = np.minimum(np.searchsorted(model.known, g), len(model.known) - 1)
-    index = np.where(model.known[at] == g, at, len(model.known)).astype(np.uint64)
     # by text, count descending, then n-gram (unknown ones last)
-    bits = np.uint64(int(len(model.known)).bit_length())
-    word = (own.astype(np.uint64) << np.uint64(44)) | ((np.uint64((1 << 24) - 1) - np.minimum(n, (1 << 24) - 1).astype(np.uint64)) << np.uint64(20)) | index
-    assert bits <= 20
-    word.sort()
-    own, index = (word >> np.uint64(44)).astype(np.int64), (word & np.uint64((1 << 20) - 1)).astype(np.int64)
-    begin = np.searchsorted(own, np.arange(len(texts)))
-    rank = np.arange(len(own)) - begin[own]
+    at = np.minimum(np.searchsorted(model.known, g), max(len(model.known) - 1, 0))
+    index = np.where(model.known[at] == g, at, len(model.known)) if len(model.known) else np.zeros(len(g), np.int64)
+    order = np.lexsort((index, -n, own))
+    own, index = own[order], index[order]
+    rank = np.arange(len(own)) - np.searchsorted(own, np.arange(len(texts)))[own]
     own, index, rank = own[rank < RANKS], index[rank < RANKS], rank[rank < RANKS]
     used = np.bincount(own, minlength=len(texts))
-    away = np.empty((len(model.languages), len(texts)))
-    for k in range(len(model.languages)):
-        there = model.ranks[k][index]
-        away[k] = np.bincount(own, np.where(there == RANKS, RANKS, np.abs(there - rank)), minlength=len(texts))
+    # every n-gram is RANKS out of place, but for the profiles that have it
+    some = index < len(model.known)
+    own, index, rank = own[some], index[some], rank[some]
+    many = model.at[index + 1] - model.at[index]
+    place = np.repeat(model.at[index] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+    nearer = RANKS - np.abs(model.rank[place] - np.repeat(rank, many))
+    cells = model.language[place] * len(texts) + np.repeat(own, many)
+    away = (RANKS * used[None, :] - np.bincount(cells, nearer, len(model.languages) * len(texts)).reshape(len(model.languages), len(texts))).astype(float)
     best = away.argmin(axis=0)
     near = away.min(axis=0)
     rest = np.partition(away, 1, axis=0)[1] if len(away) > 1 else RANKS * np.maximum(used, 1).astype(float)
@@ -139,22 +139,46 @@ def predict(model: Model, texts: list[bytes | None]) -> tuple[list[str], np.ndar
     return [model.languages[b] if u else UNDETERMINED for b, u in zip(best.tolist(), used.tolist(), strict=True)], score
 
 
-def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """A model from rows with language and text: of each language SAMPLE texts at most, those of least hash of the id."""
-    small = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id).alias("h"))
-    # first the least of each of 32 shares of a language, so that a frequent one is not ranked by one task
-    share = small.withColumn("share", F.pmod("h", F.lit(32)))
-    few = share.withColumn("k", F.row_number().over(Window.partitionBy("lang", "share").orderBy("h", "doc_id"))).where(F.col("k") <= SAMPLE // 8)
-    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= SAMPLE)
-    picked = few.select("lang", "doc_id").distinct().collect()  # bounded: SAMPLE for each language
-    if not picked:
-        return fit({})
-    wanted = docs.sparkSession.createDataFrame([tuple(r) for r in picked], few.select("lang", "doc_id").schema)
-    rows = docs.select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    samples: dict[str, list[str]] = {}
-    for r in sorted(rows.join(F.broadcast(wanted), ["lang", "doc_id"], "left_semi").collect(), key=lambda r: (r["lang"], str(r["doc_id"]), r["text"])):
-        samples.setdefault(r["lang"], []).append(r["text"])
-    return fit({k: v[:SAMPLE] for k, v in samples.items()})
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's n-gram counts by language."""
+    names = ["lang", "gram", "n"]
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
+
+    def handed() -> Iterator[pa.RecordBatch]:
+        for lang, found in held.items():
+            gram, turn = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+            total = np.bincount(turn, np.concatenate([n for _, n in found])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(total)], names)
+        held.clear()
+
+    for batch in batches:
+        langs, texts = batch.column("lang").to_pylist(), blobs(batch.column("text"))
+        for lang in sorted(set(langs)):
+            own = [t for k, t in zip(langs, texts, strict=True) if k == lang]
+            for i, j in steps(own):
+                _, g, n = grams([b"\n".join(own[i:j])])
+                held.setdefault(lang, []).append((g, n))
+                size += len(g)
+                if size > HELD:
+                    yield from handed()
+                    size = 0
+    yield from handed()
+
+
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+    """A model from all rows with language and text, repeated ones as often as they stand; none of them gives a model without languages."""
+    small_batches(docs.sparkSession)
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    counts = known.mapInArrow(lean(_counts), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    first = counts.withColumn("k", place).where(F.col("k") <= RANKS)
+    # the names with most texts, so that what goes to the driver has a bound whatever stands in the column
+    named = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("texts")).orderBy(F.desc("texts"), "lang").limit(LANGUAGES)
+    top: dict[str, list[int]] = {}
+    for r in sorted(first.join(F.broadcast(named), "lang").select("lang", "k", "gram").collect()):
+        top.setdefault(r["lang"], []).append(r["gram"])
+    return model_of(top)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -171,11 +195,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             texts = blobs(batch.column("text"))
             langs, scores = [], [np.zeros(0)]
-            for i, j in steps(texts, 1 << 20):
-                a, b = predict(model, texts[i:j])
-                langs += a
-                scores.append(b)
+            for i, j in steps(texts):
+                few = max(1, CELLS // max(1, len(model.languages)))
+                for k in range(i, j, few):
+                    a, b = predict(model, texts[k : min(k + few, j)])
+                    langs += a
+                    scores.append(b)
             yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(langs, pa.string()), pa.array(np.concatenate(scores), pa.float64())], ["rest", "lang_pred", "score"])
 
-    done = laid.mapInArrow(look, f"rest {laid.schema['rest'].dataType.simpleString()}, lang_pred string, score double")
+    done = laid.mapInArrow(lean(look), with_fields([laid.schema["rest"]], "lang_pred string, score double"))
     return done.select(*[F.col(f"rest.`{c}`").alias(c) for c in others], "lang_pred", "score")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, blobs, crc_bucket, small_batches, stage, steps
+from quarry.llm.common import Words, blobs, crc_bucket, lean, small_batches, stage, steps, with_fields
 
 #: Labelled texts that are learnt from at most (those of least hash of the id), and every how manieth of them calibrates.
 SAMPLE, CALIBRATE = 12_000, 3
@@ -138,15 +138,20 @@ def _fold(rows: DataFrame, step, size: int) -> np.ndarray:  # noqa: ANN001
                 total += step(x, np.array(batch.column("y").to_pylist(), float))
         yield pa.RecordBatch.from_pydict({"total": [total.tobytes()]})
 
-    return sum((np.frombuffer(r[0]) for r in rows.mapInArrow(run, "total binary").collect()), np.zeros(size))
+    return sum((np.frombuffer(r[0]) for r in rows.mapInArrow(lean(run), "total binary").collect()), np.zeros(size))
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model | None:
-    """A model from the labelled rows; None if there are none. Of repeated labels the largest holds; null ones are left out."""
+    """A model from the labelled rows; None if there are none.
+
+    Of repeated labels of an id the largest holds, and of repeated ids the text of least hash (a null text is like an empty
+    one); null labels and ids are left out. Other columns are ignored.
+    """
     small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).alias("y"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(some), "doc_id")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,9 +159,9 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             x = [statistics(texts[i:j]) for i, j in steps(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("y").cast(pa.float64()), pa.array([r.tolist() for r in np.concatenate(x)] if x else [], pa.list_(pa.float64()))], ["part", "y", "x"])
 
-    # at most SAMPLE rows (more only by repeated ids) of some twenty numbers, in eight partitions
+    # at most SAMPLE rows of some twenty numbers, in eight partitions
     part = (crc_bucket("doc_id", 1 << 20) % CALIBRATE == 0).alias("part")
-    seen = stage(rows.select(part, "y", "text").mapInArrow(look, "part boolean, y double, x array<double>").repartition(8), "quality-sample")
+    seen = stage(rows.select(part, "y", "text").mapInArrow(lean(look), "part boolean, y double, x array<double>").repartition(8), "quality-sample")
     fit, check = seen.where("not part"), seen.where("part")
     d = len(statistics([b""])[0])
     sums = _fold(fit, lambda x, y: np.concatenate((x.sum(0), (x**2).sum(0), [len(x)])), 2 * d + 1)
@@ -201,5 +206,5 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                 out.append(np.full(j - i, 0.5) if model is None else model.score(statistics(texts[i:j])))
             yield pa.RecordBatch.from_arrays([batch.column("rest"), batch.column("text"), pa.array(np.concatenate(out))], ["rest", "text", "score"])
 
-    done = laid.mapInArrow(look, f"rest {laid.schema['rest'].dataType.simpleString()}, text string, score double")
+    done = laid.mapInArrow(lean(look), with_fields([laid.schema["rest"]], "text string, score double"))
     return done.select(*[F.col(f"rest.`{c}`").alias(c) for c in others], F.col("text").alias(text), "score")
