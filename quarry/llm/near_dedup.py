@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, blobs, mix, small_batches, stage, steps
+from quarry.llm.common import Words, blobs, lean, lean_group, mix, small_batches, stage, steps
 
 WIDTH = 5
 #: 24 bands of 4 coordinates: a pair of similarity 0.8 shares no band with a chance of 3 in a million.
@@ -178,11 +178,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, weights: str = "set
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, out = blobs(batch.column("text")), []
-            for i, j in steps(texts, 1 << 20):
+            for i, j in steps(texts):
                 out += _bands(texts[i:j], bands, rows, weights)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
 
-    signed = stage(d.mapInArrow(sign, f"doc_id {id_type}, node long, bands array<long>"), "near-signed")
+    signed = stage(d.mapInArrow(lean(sign), f"doc_id {id_type}, node long, bands array<long>"), "near-signed")
     told = signed.select(F.explode("bands").alias("band"), "node").distinct()
     sizes = told.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stage(told.join(sizes, "band"), "near-buckets")
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, weights: str = "set
     involved = stage(shared.select("node").distinct(), "near-nodes")
     n_involved = involved.count()
     texts = d.select("node", "text").join(_small(involved, n_involved), "node", "left_semi")
-    sets = stage(texts.mapInArrow(elements, "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s")), "near-sets")
+    sets = stage(texts.mapInArrow(lean(elements), "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s")), "near-sets")
 
     def verified(some: DataFrame) -> DataFrame:
         x = some.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, weights: str = "set
     if n_apart:
         spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_apart // BLOCK)
         units = far.unionByName(all_).withColumn("unit", F.xxhash64("leader", "i", "j"))
-        new = units.drop("leader", "i", "j").withColumn("deal", F.pmod("unit", F.lit(spread))).groupBy("deal").applyInArrow(lambda t: _compare(t, threshold), "a long, b long")
+        new = units.drop("leader", "i", "j").withColumn("deal", F.pmod("unit", F.lit(spread))).groupBy("deal").applyInArrow(lean_group(lambda t: _compare(t, threshold)), "a long, b long")
         comps = connected(links.union(new))
 
     rows_ = signed.select("doc_id", "node")

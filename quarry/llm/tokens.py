@@ -15,10 +15,10 @@ import numpy as np
 
 from quarry.llm.common import mix, powers
 
-#: Parts that a worker remembers at most (later ones are learnt for each batch alone) and slots of their table.
-MEMORY, SLOTS = 1_500_000, 1 << 22
+#: Parts that a worker remembers at most (later ones are learnt for each batch alone) and slots of their table: some 30 MB.
+MEMORY, SLOTS = 600_000, 1 << 20
 #: Bytes of text that are best encoded together.
-BATCH = 3 << 20
+BATCH = 1 << 20
 #: New parts that are encoded in one line.
 LINE = 512
 
