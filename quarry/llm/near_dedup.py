@@ -235,7 +235,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, weights: str = "set
     rows_ = signed.select("doc_id", "node")
     homes = comps.groupBy("node").agg(F.min("comp").alias("comp"))
     least = rows_.groupBy("node").agg(F.min("doc_id").alias("m")).join(homes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    first = least.groupBy("comp").agg(F.min("m").alias("class_id"))
+    # written, so that Spark may split the join's other side where a class is large
+    first = stage(least.groupBy("comp").agg(F.min("m").alias("class_id")), "near-classes")
     named = least.join(first, "comp").select("node", "class_id", "comp")
     return rows_.join(named, "node").select("doc_id", "class_id", F.col("node").alias("text_hash"), F.col("comp").alias("class_node"))
 
@@ -243,9 +244,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, weights: str = "set
 def keep_one(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Of every class the row of least id (null last; of equal ids the one of least text hash, of equal rows one), with docs' columns."""
     own = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
-    first = classes.groupBy("class_node").agg(F.min(own).alias("kept"))
-    rows = classes.groupBy("doc_id", "text_hash", "class_node").agg(F.count(F.lit(1)).alias("n")).join(first, "class_node")
-    judged = stage(rows.select("doc_id", "text_hash", "n", (own == F.col("kept")).alias("stays")), "near-judged")
+    first = classes.groupBy("class_node").agg(F.min(own).alias("kept")).select(F.col("kept.doc_id").alias("k"), F.col("kept.text_hash").alias("h"))
+    # rows meet what is kept by their own id and text, never by class: a class may hold a third of all rows
+    rows = classes.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    met = rows.join(stage(first, "near-kept"), F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")), "left")
+    judged = stage(met.select("doc_id", "text_hash", "n", F.col("h").isNotNull().alias("stays")), "near-judged")
     gone = judged.where("not stays").select(F.col("doc_id").alias("of"), F.col("text_hash").alias("as"))
     counts = judged.agg(F.count_if(~F.col("stays")).alias("gone"), F.max(F.when(F.col("stays"), F.col("n"))).alias("most")).first()
     on = docs[doc_id].eqNullSafe(F.col("of")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("as"))
