@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -32,7 +33,7 @@ ACTIONS = {
     "change": r"\b(?:fix|patch|repair|correct|resolve)\b|\b(?:add|implement|create|write|introduce|insert)\b|\b(?:remove|delete|drop|strip|eliminate)\b"
     r"|\b(?:update|modify|change|edit|adjust)\b|\b(?:display|show|render|style|layout|position|place|hide|toggle|animate)\b",
 }
-_NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
+#: What counts as a qualified name, a name, a quotation and a path in a task.
 _QUALIFIED = r"(?<![.\w])([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+)(?![.\w])"
 _IDENTIFIER = r"(?<![.\w/\\])([A-Za-z_][A-Za-z0-9_]{1,63})(?![.\w/\\])"
 _QUOTED = r"\"([^\"]{1,200})\"|'([^']{1,200})'"
@@ -85,13 +86,21 @@ def match_expression(query: Column) -> Column:
     return F.array_join(F.transform(search_terms(query), lambda t: F.concat(F.lit('"'), t, F.lit('"*'))), " AND ")
 
 
-def tokens(text: Column) -> Column:
-    """Index tokens: runs of letters, digits and underscores, lower-cased."""
-    return _all(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\p{L}\p{N}\p{Co}_]+", 0)
+def _accents() -> tuple[str, str]:
+    """Small Latin letters with marks, and the plain letters that they are built on."""
+    built = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]}
+    plain = {c: d[0] for c, d in built.items() if c == c.lower() and len(d) > 1 and d[0].isascii() and all(map(unicodedata.combining, d[1:]))}
+    return "".join(plain), "".join(plain.values())
+
+
+def folded(text: Column) -> Column:
+    """Lower case, without accents on Latin letters."""
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), *_accents())
 
 
-def ascii_tokens(text: Column) -> Column:
-    return _all(F.lower(F.coalesce(text, F.lit(""))), r"[a-z0-9_]+", 0)
+def tokens(text: Column) -> Column:
+    """Index tokens: runs of letters, digits and underscores, lower-cased and without accents."""
+    return _all(folded(text), r"(?U)[\p{L}\p{N}\p{Co}_]+", 0)
 
 
 def rank_score(bm25: Column) -> Column:
@@ -199,9 +208,10 @@ def _relative(source_path: Column, module: Column) -> Column:
 
 def javascript_module_paths(source_path: Column, module: Column) -> Column:
     """File candidates of a relative module: itself if it has an extension, else with each one, else its index files."""
-    base = _relative(source_path, module)
-    made = F.concat(F.array(*[F.concat(base, F.lit(e)) for e in JS_EXTENSIONS]), F.array(*[F.concat(base, F.lit(f"/index{e}")) for e in JS_EXTENSIONS]))
-    return F.when(~module.rlike(r"^\.\.?/"), _paths()).when(base.rlike(r"\.(js|jsx|mjs|cjs|ts|tsx|mts|cts)$"), F.array(base)).otherwise(made)
+    endings = F.array(*[F.lit(x) for x in [*JS_EXTENSIONS, *[f"/index{e}" for e in JS_EXTENSIONS]]])
+    made = lambda base: F.when(base.rlike(r"\.(js|jsx|mjs|cjs|ts|tsx|mts|cts)$"), F.array(base)).otherwise(F.transform(endings, lambda e: F.concat(base, e)))
+    # a transform over one value, so that the base stands in the plan once
+    return F.when(~module.rlike(r"^\.\.?/"), _paths()).otherwise(F.flatten(F.transform(F.array(_relative(source_path, module)), made)))
 
 
 def dart_module_paths(source_path: Column, module: Column) -> Column:
@@ -211,42 +221,11 @@ def dart_module_paths(source_path: Column, module: Column) -> Column:
     return F.when(module.startswith("dart:"), _paths()).when(module.startswith("package:"), inside).otherwise(F.array(_relative(source_path, module)))
 
 
-def call_target(text: Column) -> Column:
-    """struct(value, qualifier) of a call: innermost parentheses dropped, ?. and :: as dots; last and last but one name."""
-    bare = F.regexp_replace(text, r"\([^()]*\)", "")
-    bare = F.replace(F.replace(bare, F.lit("?."), F.lit(".")), F.lit("::"), F.lit("."))
-    names = _all(bare, _NAME, 0)
-    return F.struct(F.try_element_at(names, F.lit(-1)).alias("value"), F.try_element_at(names, F.lit(-2)).alias("qualifier"))
-
-
-def _listed(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), ","), lambda x: F.trim(x)), lambda x: x != "")
-
-
-def type_targets(text: Column, implements: bool = False) -> Column:
-    """array of struct(value, qualifier): the types named by `(A, B)`, by `extends`/`implements` and `with` clauses, or bare."""
-    t = F.trim(text)
-    keyword = "implements" if implements else "extends"
-    named = F.flatten(F.transform(_all(t, rf"\b{keyword}\s+(.+?)(?=\s+\b(?:with|implements|extends)\b|$)"), _listed))
-    mixed = _paths() if implements else F.flatten(F.transform(_all(t, r"\bwith\s+(.+?)(?=\s+\b(?:implements|extends)\b|$)"), _listed))
-    clauses = F.concat(named, mixed)
-    bare = F.when(t.rlike(r"^[A-Za-z_$][A-Za-z0-9_$.<>?]*$"), F.array(t)).otherwise(_paths())
-    values = F.when(t.rlike(r"(?s)^\(.*\)$"), _listed(F.substring(t, F.lit(2), F.length(t) - 2))).when(F.size(clauses) > 0, clauses).otherwise(bare)
-    names = F.transform(values, lambda v: _all(F.regexp_replace(v, "<.*>", ""), _NAME, 0))
-    found = F.transform(F.filter(names, lambda n: F.size(n) > 0), lambda n: F.struct(F.element_at(n, -1).alias("value"), F.try_element_at(n, F.lit(-2)).alias("qualifier")))
-    return F.array_distinct(found)
-
-
 def configuration_key(text: Column) -> Column:
     """The text if it is a well-formed key, else null."""
     return F.when(text.rlike(r"^[A-Za-z_][A-Za-z0-9_.:-]{0,127}$"), text)
 
 
-def looks_like_route(text: Column) -> Column:
-    t = F.trim(F.lower(text))
-    return t.rlike(r"\.(get|post|put|patch|delete|route)") | t.rlike(r"^@*(get|post|put|patch|delete|route)\(")
-
-
 def is_schema_name(kind: Column, qualified_name: Column) -> Column:
     leaf = F.lower(F.substring_index(qualified_name, ".", -1))
     return kind.isin("class", "interface") & leaf.rlike("(schema|request|response|model|dto)$")

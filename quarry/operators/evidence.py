@@ -32,15 +32,31 @@ def role_priority(role: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in ROLE_PRIORITY.items() for x in kv]), role)
 
 
-def merge(evidence: DataFrame, identity: list[str], ordinal: str, role: str, item: Column, limit: int = MAX_EVIDENCE) -> DataFrame:
-    """One row for each identity: least ordinal, sorted distinct roles, sorted distinct evidence (at most `limit`)."""
-    return evidence.groupBy(*identity).agg(F.min(ordinal).alias("ordinal"), F.array_sort(F.collect_set(role)).alias("roles"), F.slice(F.array_sort(F.collect_set(item)), 1, limit).alias("evidence"))
+def decayed(kind: str, score: str, distance: str | None) -> Column:
+    """A signal in [0, 1]; graph and test signals decay with distance."""
+    decay = F.lit(1.0) if distance is None else F.when(F.col(kind).isin("graph", "test"), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in DEPTH_DECAY.items() for x in kv]), F.col(distance)), F.lit(1.0))).otherwise(1.0)
+    return F.least(F.greatest(F.col(score) * decay, F.lit(0.0)), F.lit(1.0))
+
+
+def merge(evidence: DataFrame, identity: list[str], ordinal: str, role: str, key: list[str], kind: str = "kind", score: str = "score", distance: str | None = None, limit: int = MAX_EVIDENCE) -> DataFrame:
+    """One row for each identity: least ordinal, sorted distinct roles, and its distinct evidence as structs of `key`, sorted.
+
+    Of more than `limit` items the strongest of each kind stays, and then the first ones in order.
+    """
+    own = Window.partitionBy(*identity)
+    items = evidence.select(*identity, *key, F.col(kind).alias("_kind"), decayed(kind, score, distance).alias("_signal"), (F.lit(0) if distance is None else F.coalesce(distance, F.lit(0))).alias("_distance"))
+    items = items.groupBy(*identity, *key, "_kind").agg(F.max("_signal").alias("_signal"), F.min("_distance").alias("_distance"))
+    first = F.row_number().over(Window.partitionBy(*identity, "_kind").orderBy(F.desc("_signal"), "_distance", *key)) > 1
+    kept = items.withColumn("_later", first).withColumn("_k", F.row_number().over(own.orderBy("_later", *key, "_kind"))).where(F.col("_k") <= limit)
+    held = kept.groupBy(*identity).agg(F.array_sort(F.collect_list(F.struct(*key))).alias("evidence"))
+    told = evidence.groupBy(*identity).agg(F.min(ordinal).alias("ordinal"), F.array_sort(F.collect_set(role)).alias("roles"))
+    same = [told[c].eqNullSafe(held[c]) for c in identity]
+    return told.join(held, same).select(*[told[c] for c in identity], "ordinal", "roles", "evidence")
 
 
 def signals(evidence: DataFrame, identity: list[str], kind: str = "kind", score: str = "score", distance: str | None = None) -> DataFrame:
-    """The strongest signal of each kind; graph and test signals decay with distance."""
-    decay = F.lit(1.0) if distance is None else F.when(F.col(kind).isin("graph", "test"), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in DEPTH_DECAY.items() for x in kv]), F.col(distance)), F.lit(1.0))).otherwise(1.0)
-    bound = F.least(F.greatest(F.col(score) * decay, F.lit(0.0)), F.lit(1.0))
+    """The strongest signal of each kind."""
+    bound = decayed(kind, score, distance)
     return evidence.groupBy(*identity).agg(*[F.coalesce(F.max(F.when(F.col(kind) == k, bound)), F.lit(0.0)).alias(k) for k in WEIGHTS])
 
 

@@ -44,18 +44,20 @@ def resolve_tiers(targets: DataFrame, key: list[str], tiers: list[tuple[str, flo
     )
 
 
-def reversed_edges(edges: DataFrame, when: Column, kind: str) -> DataFrame:
-    """Edges of the other direction, of a new kind, from those that fulfil a condition."""
-    return edges.where(when).select(F.col("target").alias("source"), F.col("source").alias("target"), F.lit(kind).alias("kind"))
+def reversed_edges(edges: DataFrame, kind: str, ends: list[tuple[str, str]] = [("source", "target")]) -> DataFrame:  # noqa: B006
+    """Edges of the other direction, of a new kind: each pair of end columns is exchanged, other columns stay."""
+    other = {a: b for pair in ends for a, b in (pair, pair[::-1])}
+    return edges.select(*[F.lit(kind).alias(c) if c == "kind" else F.col(other.get(c, c)).alias(c) for c in edges.columns])
 
 
-def unique_matches(left: DataFrame, right: DataFrame, on: list[str], left_key: str, right_key: str) -> DataFrame:
-    """(left_key, right_key) of left rows with exactly one right row of equal values, without building the pairs.
+def unique_matches(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left rows with the columns of the only right row of equal values; without one, or with several, a left row goes.
 
     Right rows are counted by value before the join, so a value that very many rows share costs one row.
     """
-    once = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.min(right_key).alias(right_key)).where("_n = 1").drop("_n")
-    return left.select(left_key, *on).join(once, on).select(left_key, right_key)
+    rest = [c for c in right.columns if c not in on]
+    once = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*rest)).alias("_x")).where("_n = 1")
+    return left.join(once.select(*on, "_x.*"), on)
 
 
 def neighbours(edges: DataFrame, frontier: DataFrame, direction: str) -> DataFrame:

@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage by a table written in the folder that the cluster shares."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/quarry-work"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file:///tmp/quarry-work"  # threads of one machine
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -49,12 +54,20 @@ def replace_files(table: DataFrame, fresh: DataFrame, parsed: DataFrame, deleted
     return table.join(gone, by, "left_anti").unionByName(fresh.join(failed.select(by), by, "left_anti"))
 
 
-def risks(changed: DataFrame, expected: DataFrame, contracts: dict[str, DataFrame], tests: DataFrame) -> DataFrame:
-    """(code, path): changes outside what was expected (if anything was), touched contracts, and a missing test."""
-    path = F.concat(F.lit("p"), "k").alias("path")
-    some = expected.limit(1).select(F.lit(1).alias("_some"))
-    parts = [changed.join(expected, "k", "left_anti").crossJoin(F.broadcast(some)).select(F.lit("unrelated_change").alias("code"), path)]  # one row or none
-    parts += [rows.select(F.lit(code).alias("code"), path) for code, rows in contracts.items()]
-    none = tests.limit(1).agg(F.count(F.lit(1)).alias("n")).where("n = 0")
-    parts.append(none.select(F.lit("missing_regression_test").alias("code"), F.lit("").alias("path")))
+def risks(symbols: DataFrame, routes: DataFrame, schemas: DataFrame, tests: DataFrame, unrelated: DataFrame, truncated: bool, order: list[str]) -> DataFrame:
+    """(code, relative_path) of a change's risks, from frames with a relative_path.
+
+    Changed symbols without any related test, the first changed route and the first changed schema in `order`, every path
+    outside what was expected, and a diff that was cut. A risk of the whole change has no path.
+    """
+    spark, nowhere = symbols.sparkSession, F.lit(None).cast("string").alias("relative_path")
+    told = lambda code: F.lit(code).alias("code")
+    some, none = symbols.limit(1).agg(F.count(F.lit(1)).alias("a")).where("a > 0"), tests.limit(1).agg(F.count(F.lit(1)).alias("b")).where("b = 0")
+    parts = [some.crossJoin(F.broadcast(none)).select(told("missing_regression_test"), nowhere)]  # one row or none on either side
+    for code, rows in (("route_contract_changed", routes), ("schema_contract_changed", schemas)):
+        first = rows.agg(F.count(F.lit(1)).alias("n"), F.min_by("relative_path", F.struct(*order)).alias("relative_path")).where("n > 0")
+        parts.append(first.select(told(code), "relative_path"))
+    parts.append(unrelated.select(told("unrelated_change"), "relative_path").distinct())
+    if truncated:
+        parts.append(spark.range(1).select(told("analysis_truncated"), nowhere))
     return reduce(DataFrame.unionByName, parts)

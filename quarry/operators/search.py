@@ -17,6 +17,8 @@ from quarry.operators.incremental import keep
 K1, B = 1.2, 0.75
 WEIGHTS = {"path": 2.0, "name": 8.0, "qualified_name": 6.0, "signature": 4.0, "body": 1.0}
 LEAST_IDF = 1e-6
+#: Terms of all queries up to which they are sent to every executor.
+BROADCAST_TERMS = 20_000
 
 
 def _idf(n: Column, docs: Column) -> Column:
@@ -39,7 +41,7 @@ def _weighing(weight: float):  # noqa: ANN202
 def spread(df: DataFrame) -> DataFrame:
     """A few large input splits dealt out to all cores before work on texts; inputs of many splits stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def bm25_scan(docs: DataFrame, fields: dict[str, float], terms: list[str], tokenize=T.tokens, columns: list[str] | None = None) -> DataFrame:  # noqa: ANN001
@@ -74,10 +76,12 @@ def build_postings(docs: DataFrame, key: str, fields: dict[str, float], tokenize
 def bm25_postings(postings: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, key, bm25) for every query; queries are (query_id, terms), stats one row (docs, mean).
 
-    Postings are joined on the first two letters of a term and cut by the prefix, so no product of all pairs is made.
+    Postings meet the terms, which every task gets if they were counted few, on the first letter and are cut by the prefix.
     """
-    terms = queries.select("query_id", F.size("terms").alias("wanted"), F.posexplode("terms").alias("term_no", "term")).withColumn("term", F.lower("term"))
+    terms = queries.select("query_id", F.size("terms").alias("wanted"), F.posexplode("terms").alias("term_no", "term")).withColumn("term", T.folded(F.col("term")))
     head = lambda c: F.substring(c, 1, 1)
+    if terms.count() <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)
     hits = postings.where("token is not null").join(terms, (head(F.col("token")) == head(F.col("term"))) & F.col("token").startswith(F.col("term")))
     each = hits.groupBy("query_id", "wanted", "term_no", "key", "length").agg(F.sum("f").alias("f"))
     n = each.groupBy("query_id", "term_no").agg(F.count(F.lit(1)).alias("n"))

@@ -14,12 +14,12 @@ def collapse_runs(rows: DataFrame, group: list[str], order: list[str], value: st
     return told.groupBy(*group, "run").agg(F.min_by(value, F.struct(*order)).alias(value), *[F.min(c).alias(f"first_{c}") for c in order[:1]], F.count(F.lit(1)).alias("length"))
 
 
-def context_lines(rows: DataFrame, group: list[str], order: list[str], match: Column, around: int = 1, head: int = 8, tail: int = 12) -> DataFrame:
-    """Rows near a match, and the first and last ones of a group; adds `line` (from 1), `n_lines` and `skipped` before it."""
+def context_lines(rows: DataFrame, group: list[str], order: list[str], match: Column, around: int = 1, head: int = 8, tail: int = 12, whole: int = 0) -> DataFrame:
+    """Rows near a match, and the first and last ones of a group, or all of a group of `whole` rows or fewer; adds `line` (from 1), `n_lines` and `skipped` before it."""
     w = Window.partitionBy(*group).orderBy(*order)
     near = F.max(F.when(match, 1).otherwise(0)).over(w.rowsBetween(-around, around))
     told = rows.withColumn("line", F.row_number().over(w)).withColumn("_near", near).withColumn("n_lines", F.count(F.lit(1)).over(Window.partitionBy(*group)))
-    kept = told.where((F.col("_near") == 1) | (F.col("line") <= head) | (F.col("line") > F.col("n_lines") - tail)).drop("_near")
+    kept = told.where((F.col("n_lines") <= whole) | (F.col("_near") == 1) | (F.col("line") <= head) | (F.col("line") > F.col("n_lines") - tail)).drop("_near")
     return kept.withColumn("skipped", F.col("line") - F.coalesce(F.lag("line").over(Window.partitionBy(*group).orderBy("line")), F.lit(0)) - 1)
 
 

@@ -17,6 +17,7 @@ from quarry.operators import graph as G
 from quarry.operators import incremental as I
 from quarry.operators import search as S
 from quarry.operators import sequences as Q
+from quarry.plans import code_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,24 +42,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @query("""
-SELECT 'file' AS entity_type, 'd' || d.doc_id AS entity_id, lang AS kind, source AS name, NULL AS owner, '' AS body,
-       1 + length(text) - length(replace(text, chr(10), '')) AS end_line FROM documents d
-UNION ALL SELECT 'chunk', 'c' || conv_id || '-' || turn, role, NULL, CASE WHEN l.doc_id IS NOT NULL THEN 'd' || l.doc_id END, text,
-       1 + length(text) - length(replace(text, chr(10), '')) FROM conversations LEFT JOIN labels l ON l.doc_id = conv_id
-UNION ALL SELECT 'fact', 'b' || item_id, 'benchmark', NULL, NULL, text, 1 FROM benchmark""")
+WITH f AS (SELECT doc_id, 'd' || doc_id AS file_id, lang, source || '/' || doc_id AS path, 1 + length(text) - length(replace(text, chr(10), '')) AS lines FROM documents),
+s AS (SELECT 'p' || p_partkey AS id, p_partkey AS n, p_type, p_name, p_brand || '.' || p_name AS qn, 'def ' || p_name AS signature, CASE WHEN p_size % 2 = 0 THEN p_type END AS doc, p_size FROM part)
+SELECT 'file' AS entity_type, file_id AS entity_id, file_id, lang AS language, 'file' AS kind, path AS relative_path, NULL AS name, NULL AS qualified_name, NULL AS signature, '' AS body, 1 AS start_line, lines::INT AS end_line FROM f
+UNION ALL SELECT 'symbol', id, file_id, lang, p_type, path, p_name, qn, signature, coalesce(doc, ''), p_size, p_size + 3 FROM s JOIN f ON doc_id = n % 50
+UNION ALL SELECT 'chunk', 'c' || conv_id || '-' || turn, file_id, lang, role, path, p_name, qn, signature, text, turn::INT, turn::INT FROM conversations JOIN f ON doc_id = conv_id % 50 LEFT JOIN s ON n = conv_id * 2
+UNION ALL SELECT 'fact', 'b' || item_id, file_id, lang, 'import', path, NULL, NULL, NULL, text, 1, 1 FROM benchmark JOIN f ON doc_id = item_id % 50""")
 def search_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One search document for every file, part and fact; parts with their owner, if there is one."""
-    lines = 1 + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    none = F.lit(None).cast("string")
-    files = table(spark, sf_dir, "documents").select(F.lit("file").alias("entity_type"), F.concat(F.lit("d"), "doc_id").alias("entity_id"), F.col("lang").alias("kind"), F.col("source").alias("name"), none.alias("owner"), F.lit("").alias("body"), lines.alias("end_line"))
-    owners = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id"), F.concat(F.lit("d"), "doc_id").alias("owner"))
-    parts = table(spark, sf_dir, "conversations").join(owners, "conv_id", "left")
-    chunks = parts.select(F.lit("chunk").alias("entity_type"), F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("entity_id"), F.col("role").alias("kind"), none.alias("name"), "owner", F.col("text").alias("body"), lines.alias("end_line"))
-    facts = table(spark, sf_dir, "benchmark").select(F.lit("fact").alias("entity_type"), F.concat(F.lit("b"), "item_id").alias("entity_id"), F.lit("benchmark").alias("kind"), none.alias("name"), none.alias("owner"), F.col("text").alias("body"), F.lit(1).alias("end_line"))
-    return files.unionByName(chunks).unionByName(facts)
-
-
-_TOKENS = "regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9_]+')"
+    """One search document for every file, symbol, part and fact; parts with the names of their owner, if there is one."""
+    d = table(spark, sf_dir, "documents")
+    lines = (1 + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("int")
+    files = d.select("doc_id", F.concat(F.lit("d"), "doc_id").alias("file_id"), F.col("lang").alias("language"), F.concat_ws("/", "source", "doc_id").alias("relative_path"), lines.alias("end_line"))
+    at = lambda df, key: df.join(files.drop("end_line"), F.col("doc_id") == key % 50)
+    part = at(table(spark, sf_dir, "part"), F.col("p_partkey"))
+    symbols = part.select(F.concat(F.lit("p"), "p_partkey").alias("id"), "file_id", "language", F.col("p_type").alias("kind"), "relative_path", F.col("p_name").alias("name"), F.concat_ws(".", "p_brand", "p_name").alias("qualified_name"), F.concat(F.lit("def "), "p_name").alias("signature"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("docstring"), F.col("p_size").alias("start_line"), (F.col("p_size") + 3).alias("end_line"))
+    turn = F.col("turn").cast("int")
+    chunks = at(table(spark, sf_dir, "conversations"), F.col("conv_id")).select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), F.concat(F.lit("p"), F.col("conv_id") * 2).alias("symbol_id"), "file_id", "language", F.col("role").alias("kind"), "relative_path", F.col("text").alias("source_text"), turn.alias("start_line"), turn.alias("end_line"))
+    facts = at(table(spark, sf_dir, "benchmark"), F.col("item_id")).select(F.concat(F.lit("b"), "item_id").alias("id"), "file_id", "language", F.lit("import").alias("kind"), "relative_path", F.col("text").alias("target_text"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
+    return code_index.search_documents(files, symbols, chunks, facts)
+
+
+_TOKENS = r"regexp_extract_all(strip_accents(lower(coalesce({c}, ''))), '[\p{{L}}\p{{N}}\p{{Co}}_]+')"
 _BM25 = f"""
 WITH d AS (SELECT doc_id, {_TOKENS.format(c="text")} AS b, {_TOKENS.format(c="source")} AS n, {_TOKENS.format(c="lang")} AS q FROM documents),
 f AS (SELECT doc_id, len(b) + len(n) + len(q) AS dl,
@@ -75,7 +79,7 @@ s AS (SELECT doc_id, i0 * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / mean)) + i1
 def fts_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 of every document that has all prefix terms."""
     docs = S.spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
-    found = S.bm25_scan(docs, {"source": 8.0, "lang": 6.0, "text": 1.0}, SEARCH_TERMS, T.ascii_tokens, ["doc_id"])
+    found = S.bm25_scan(docs, {"source": 8.0, "lang": 6.0, "text": 1.0}, SEARCH_TERMS, columns=["doc_id"])
     return found.select("doc_id", F.round(F.col("bm25") * 1e6, 3).alias("micro"), F.round(T.rank_score(F.col("bm25")), 6).alias("score"))
 
 
@@ -88,7 +92,7 @@ def fts_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH q(query_id, terms) AS (VALUES (0, ['the', 'on']), (1, ['er']), (2, ['ge', 'ein'])),
-d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS b FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}\\p{Co}_]+') AS b FROM documents),
 t AS (SELECT count(*)::DOUBLE AS nd, avg(len(b)) AS mean FROM d),
 f AS (SELECT query_id, terms, k, doc_id, len(b) AS dl, len(list_filter(b, lambda x: starts_with(x, terms[k])))::DOUBLE AS f
   FROM d, (SELECT query_id, terms, unnest(range(1, len(terms) + 1)) AS k FROM q)),
@@ -97,10 +101,10 @@ p AS (SELECT query_id, doc_id, len(terms) AS wanted, (CASE WHEN ln((nd - n + 0.5
   * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / mean)) AS p FROM f JOIN n USING (query_id, k), t WHERE f > 0)
 SELECT query_id, doc_id, round(sum(p) * 1e6, 2) AS micro FROM p GROUP BY query_id, doc_id, wanted HAVING count(*) = wanted""")
 def fts_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several queries in one job over an inverted index."""
+    """Several queries in one job over the inverted index of all tokens."""
     docs = S.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     asked = [(0, ["the", "on"]), (1, ["er"]), (2, ["ge", "ein"])]
-    postings = I.keep(S.build_postings(docs, "doc_id", {"text": 1.0}, T.ascii_tokens, sorted({t for _, terms in asked for t in terms})), "postings")
+    postings = I.keep(S.build_postings(docs, "doc_id", {"text": 1.0}), "postings")
     queries = spark.createDataFrame(asked, "query_id int, terms array<string>")
     found = S.bm25_postings(postings, S.statistics(postings), queries)
     return found.select("query_id", F.col("key").alias("doc_id"), F.round(F.col("bm25") * 1e6, 2).alias("micro"))
@@ -158,23 +162,21 @@ def dedup_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.array_sort(F.collect_set("source")).alias("sources"))
 
 
-@query("""SELECT page_id, regexp_replace(lower(regexp_replace(url, '^[^:]*://', '')), '[?#].*$', '') AS path, regexp_matches(lower(trim(url)), '[.](get|post|put|patch|delete|route)') AS route,
-list_contains(string_split(regexp_replace(regexp_replace(url, '^[^:]*://', ''), '[?#].*$', ''), '/'), 'en') AS excluded FROM pages""")
+@query("""SELECT page_id, regexp_replace(lower(regexp_replace(url, '^[^:]*://', '')), '[?#].*$', '') AS path, list_contains(string_split(regexp_replace(regexp_replace(url, '^[^:]*://', ''), '[?#].*$', ''), '/'), 'en') AS excluded FROM pages""")
 def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths of addresses, route marks, excluded folders."""
+    """A3, C11: paths of addresses, excluded folders."""
     bare = F.regexp_replace(F.regexp_replace("url", "^[^:]*://", ""), "[?#].*$", "")
     excluded = F.arrays_overlap(F.split(bare, "/"), F.array(F.lit("en")))
-    return table(spark, sf_dir, "pages").select("page_id", F.lower(bare).alias("path"), T.looks_like_route(F.col("url")).alias("route"), excluded.alias("excluded"))
+    return table(spark, sf_dir, "pages").select("page_id", F.lower(bare).alias("path"), excluded.alias("excluded"))
 
 
 @query("""WITH p AS (SELECT page_id, 'src/' || (page_id % 7) || '/./a/../' || regexp_replace(regexp_replace(url, '^[^:]*://[^/]*/', ''), '[?#].*$', '') AS raw FROM pages)
-SELECT page_id, raw, 'src/' || (page_id % 7) || '/' || trim(regexp_replace(substr(raw, length('src/' || (page_id % 7) || '/./a/../') + 1), '/+', '/', 'g'), '/') AS path, true AS safe FROM p
-WHERE substr(raw, length('src/' || (page_id % 7) || '/./a/../') + 1) <> '' AND NOT regexp_matches(raw, '[.][.]/.*[.][.]')""")
+SELECT page_id, raw, rtrim('src/' || (page_id % 7) || '/' || trim(regexp_replace(substr(raw, length('src/' || (page_id % 7) || '/./a/../') + 1), '/+', '/', 'g'), '/'), '/') AS path, true AS safe FROM p""")
 def normal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """POSIX normal form of relative paths, and whether the result is a safe one."""
     tail = F.regexp_replace(F.regexp_replace("url", "^[^:]*://[^/]*/", ""), "[?#].*$", "")
     raw = F.concat(F.lit("src/"), F.col("page_id") % 7, F.lit("/./a/../"), tail)
-    paths = table(spark, sf_dir, "pages").where((tail != "") & ~tail.contains("..")).select("page_id", raw.alias("raw"))
+    paths = table(spark, sf_dir, "pages").select("page_id", raw.alias("raw"))
     return paths.select("page_id", "raw", T.normal_path(F.col("raw")).alias("path"), T.is_safe_path(T.normal_path(F.col("raw"))).alias("safe"))
 
 
@@ -278,17 +280,25 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir).select("source", "target", "kind", "edge_id")
 
 
-_BFS = f"""WITH RECURSIVE {_EDGES}, both_ AS (SELECT source, target FROM edges UNION ALL SELECT target, source FROM edges WHERE 1 = 1),
-walk(node, distance) AS (SELECT 'o1', 0 UNION SELECT target, distance + 1 FROM walk JOIN edges ON source = node WHERE distance < 4),
-nodes AS (SELECT node, min(distance) AS distance FROM walk GROUP BY node)"""
+_WALK = f"""WITH {_EDGES}, e AS (SELECT *, source || '>' || target AS edge_id FROM edges), jobs AS (SELECT 'c' || c_custkey AS job FROM customer WHERE c_custkey % 20 = 0),
+touch AS (SELECT source AS node, target AS other, * FROM e UNION ALL SELECT target, source, * FROM e),
+l1 AS (SELECT DISTINCT job, edge_id, source, target, kind, other FROM jobs JOIN touch ON node = job),
+l2 AS (SELECT DISTINCT l1.job, t.edge_id, t.source, t.target, t.kind FROM l1 JOIN touch t ON t.node = l1.other WHERE NOT EXISTS (SELECT 1 FROM l1 x WHERE x.job = l1.job AND x.edge_id = t.edge_id)),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY kind, source, target, edge_id) AS k FROM l2),
+taken AS (SELECT job, edge_id, source, target, 1 AS level FROM l1 UNION ALL SELECT job, edge_id, source, target, 2 FROM r2 WHERE k <= 500 - (SELECT count(*) FROM l1 x WHERE x.job = r2.job)),
+ends AS (SELECT job, source AS node, level FROM taken UNION ALL SELECT job, target, level FROM taken UNION ALL SELECT job, job, 0 FROM jobs),
+nodes AS (SELECT job, node, min(level) AS distance FROM ends GROUP BY job, node)"""
+
+
+def _walk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    roots = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("job")).withColumn("node", F.col("job"))
+    return G.traverse(_edges(spark, sf_dir), roots, depth=2, limit=500, direction="both", keep=I.keep)
 
 
-@query(f"{_BFS} SELECT node, distance FROM nodes")
+@query(f"{_WALK} SELECT job, node, distance FROM nodes")
 def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes reached from one root within four steps, with their distances."""
-    roots = spark.createDataFrame([("j", "o1")], "job string, node string")
-    _, nodes = G.traverse(_edges(spark, sf_dir), roots, depth=4, limit=500, direction="outgoing", keep=I.keep)
-    return nodes.groupBy("node").agg(F.min("distance").alias("distance"))
+    """Nodes within two steps of many roots in both directions, with distances; 500 edges for each root."""
+    return _walk(spark, sf_dir)[1].select("job", "node", "distance")
 
 
 @query(f"""WITH {_EDGES}, r AS (SELECT 'r' || r_regionkey AS job FROM region),
@@ -302,12 +312,11 @@ def graph_traverse_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("job", "edge_id", "level")
 
 
-@query(f"{_BFS} SELECT b.node, b.distance, source || '>' || target AS edge_id FROM nodes a JOIN edges ON a.node = source JOIN nodes b ON b.node = target AND b.distance = a.distance + 1")
+@query(f"""{_WALK} SELECT DISTINCT b.job, b.node, b.distance, edge_id FROM taken t JOIN nodes a ON a.job = t.job AND a.node IN (t.source, t.target)
+JOIN nodes b ON b.job = t.job AND b.node = CASE WHEN a.node = t.source THEN t.target ELSE t.source END AND b.distance = a.distance + 1""")
 def supporting_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges by which each node was reached."""
-    roots = spark.createDataFrame([("j", "o1")], "job string, node string")
-    edges, nodes = G.traverse(_edges(spark, sf_dir), roots, depth=4, limit=500, direction="outgoing", keep=I.keep)
-    return G.supporting_edges(edges, nodes).select("node", "distance", "edge_id")
+    return G.supporting_edges(*_walk(spark, sf_dir)).select("job", "node", "distance", "edge_id")
 
 
 _TIERS = """t AS (SELECT o_orderkey AS fact_id, 'Customer#' || lpad((o_custkey % 400)::VARCHAR, 9, '0') AS value, 'N' || (o_custkey % 30) AS alias FROM orders),
@@ -348,13 +357,13 @@ def override_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members that match exactly one member of equal shape."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
     child = part.where("p_partkey % 10 <> 0").withColumnRenamed("p_partkey", "child")
-    return G.unique_matches(child, part.where("p_partkey % 10 = 0").withColumnRenamed("p_partkey", "parent"), ["p_brand", "p_size"], "child", "parent")
+    return G.unique_matches(child, part.where("p_partkey % 10 = 0").withColumnRenamed("p_partkey", "parent"), ["p_brand", "p_size"]).select("child", "parent")
 
 
 @query(f"WITH {_EDGES} SELECT target AS source, source AS target, 'tested_by' AS kind FROM edges WHERE kind = 'calls' AND starts_with(source, 'o')")
 def reverse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived edges of the other direction."""
-    return G.reversed_edges(_edges(spark, sf_dir), (F.col("kind") == "calls") & F.col("source").startswith("o"), "tested_by")
+    return G.reversed_edges(_edges(spark, sf_dir).where("kind = 'calls' and startswith(source, 'o')").drop("edge_id"), "tested_by")
 
 
 # --- evidence -------------------------------------------------------------------------------------------------------
@@ -371,10 +380,16 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", kind.alias("kind"), ((n % 1000) / 1000.0).alias("score"), (n % 3 + 1).cast("int").alias("distance"), role.alias("role"), F.col("n_chars"))
 
 
-@query(f"WITH {_EVIDENCE} SELECT lang, source, min(doc_id) AS ordinal, list_sort(list_distinct(list(role))) AS roles, list_sort(list_distinct(list(kind || ':' || doc_id)))[1:32] AS evidence FROM ev GROUP BY lang, source")
+@query(f"""WITH {_EVIDENCE}, u AS (SELECT lang, source, kind, doc_id, score * CASE WHEN kind IN ('graph', 'test') AND distance = 2 THEN 0.5 ELSE 1.0 END AS signal, distance FROM ev),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, kind ORDER BY signal DESC, distance, doc_id) > 1 AS later FROM u),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY later, kind, doc_id) AS k FROM o),
+h AS (SELECT lang, source, list(kind || ':' || doc_id ORDER BY kind, doc_id) AS evidence FROM p WHERE k <= 32 GROUP BY lang, source),
+t AS (SELECT lang, source, min(doc_id) AS ordinal, list_sort(list_distinct(list(role))) AS roles FROM ev GROUP BY lang, source)
+SELECT t.lang, t.source, ordinal, roles, evidence FROM t JOIN h ON t.lang IS NOT DISTINCT FROM h.lang AND t.source IS NOT DISTINCT FROM h.source""")
 def candidate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence of one candidate merged, at most 32 items."""
-    return E.merge(_evidence(spark, sf_dir), ["lang", "source"], "doc_id", "role", F.concat_ws(":", "kind", "doc_id"))
+    """Evidence of one candidate merged; of more than 32 items the strongest of each kind, then the first."""
+    merged = E.merge(_evidence(spark, sf_dir), ["lang", "source"], "doc_id", "role", ["kind", "doc_id"], distance="distance")
+    return merged.select("lang", "source", "ordinal", "roles", F.transform("evidence", lambda x: F.concat_ws(":", x["kind"], x["doc_id"])).alias("evidence"))
 
 
 _SIGNALS = f"""{_EVIDENCE}, sig AS (SELECT lang, source, {", ".join(f"coalesce(max(CASE WHEN kind = '{k}' THEN score * {'CASE distance WHEN 2 THEN 0.5 ELSE 1.0 END' if k in ('graph', 'test') else '1.0'} END), 0.0)::DOUBLE AS {k}" for k in ("exact", "graph", "lexical", "test"))} FROM ev GROUP BY lang, source),
@@ -538,23 +553,27 @@ def skip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _IMPACT = """changed AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 49), expected AS (SELECT p_partkey AS k FROM part WHERE p_size < 25)"""
 
 
-@query(f"""WITH {_IMPACT} SELECT 'unrelated_change' AS code, 'p' || k AS path FROM changed WHERE k NOT IN (SELECT k FROM expected) AND (SELECT count(*) FROM expected) > 0
-UNION ALL SELECT 'schema_contract_changed', 'p' || k FROM changed JOIN part ON p_partkey = k WHERE p_size = 10
-UNION ALL SELECT 'missing_regression_test', '' WHERE NOT EXISTS (SELECT 1 FROM changed WHERE k < 0)""")
+@query(f"""WITH {_IMPACT}, symbols AS (SELECT 'p' || k AS path, p_size AS n FROM changed JOIN part ON p_partkey = k)
+SELECT 'missing_regression_test' AS code, NULL AS relative_path WHERE EXISTS (SELECT 1 FROM symbols) AND NOT EXISTS (SELECT 1 FROM changed WHERE k < 0)
+UNION ALL SELECT 'route_contract_changed', min(path) FROM symbols WHERE n = 11 HAVING count(*) > 0
+UNION ALL SELECT 'schema_contract_changed', min(path) FROM symbols WHERE n = 10 HAVING count(*) > 0
+UNION ALL SELECT 'unrelated_change', 'p' || k FROM changed WHERE k NOT IN (SELECT k FROM expected)
+UNION ALL SELECT 'analysis_truncated', NULL""")
 def impact_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Risks of a change from the sets of changed, expected and tested paths."""
+    """Risks of a change from its symbols, contracts, tests and paths outside what was expected."""
     changed = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("k")).distinct()
     part = table(spark, sf_dir, "part")
-    expected = part.where("p_size < 25").select(F.col("p_partkey").alias("k"))
-    schema = changed.join(part.where("p_size = 10").select(F.col("p_partkey").alias("k")), "k", "left_semi")
-    return I.risks(changed, expected, {"schema_contract_changed": schema}, changed.where("k < 0"))
+    path = F.concat(F.lit("p"), "k").alias("relative_path")
+    symbols = changed.join(part.select(F.col("p_partkey").alias("k"), "p_size"), "k").select(path, "p_size")
+    unrelated = changed.join(part.where("p_size < 25").select(F.col("p_partkey").alias("k")), "k", "left_anti").select(path)
+    return I.risks(symbols, symbols.where("p_size = 11"), symbols.where("p_size = 10"), changed.where("k < 0").select(path), unrelated, True, ["relative_path"])
 
 
 from quarry.plans import catalog_more  # noqa: E402, F401  registers more queries
 
 #: Columns that DuckDB numbers or divides in wider types than the engine does.
 _TYPES = {
-    "search_projection": {"end_line": "INTEGER"}, "fts_bm25_topk": {"position": "INTEGER"}, "exact_then_fts": {"score": "DOUBLE", "position": "INTEGER"},
+    "fts_bm25_topk": {"position": "INTEGER"}, "exact_then_fts": {"score": "DOUBLE", "position": "INTEGER"},
     "context_lines": {"line": "INTEGER", "skipped": "INTEGER"}, "narrowest_container": {"width": "DOUBLE"}, "score_pivot_rank": {"rank": "INTEGER"},
     "role_caps": {"in_role": "INTEGER", "turn": "INTEGER"}, "diagnostics_cap": {"position": "INTEGER"}, "seed_selection": {"seed": "INTEGER"}, "canonical_order": {"position": "INTEGER"},
 }

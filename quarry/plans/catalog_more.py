@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import targets
 from quarry.functions import text as T
 from quarry.operators import compress as C
 from quarry.operators import evidence as E
@@ -82,14 +83,7 @@ def module_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT page_id, x[-1] AS value, CASE WHEN len(x) > 1 THEN x[-2] END AS qualifier FROM n""")
 def call_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last and last but one name of a call."""
-    return table(spark, sf_dir, "pages").select("page_id", T.call_target(F.col("url")).alias("t")).select("page_id", "t.value", "t.qualifier")
-
-
-@query("""SELECT doc_id, CASE WHEN regexp_full_match(split_part(text, ' ', 1), '[A-Za-z_][A-Za-z0-9_.:-]{0,127}') THEN split_part(text, ' ', 1) END AS key, lower(split_part(split_part(text, ' ', 2), '.', -1)) AS leaf FROM documents""")
-def configuration_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Well-formed configuration keys; the leaf of a qualified name."""
-    first, second = F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))
-    return table(spark, sf_dir, "documents").select("doc_id", T.configuration_key(first).alias("key"), F.lower(F.substring_index(second, ".", -1)).alias("leaf"))
+    return table(spark, sf_dir, "pages").select("page_id", targets.names(targets.called(F.col("url"))).alias("n")).select("page_id", F.try_element_at("n", F.lit(-1)).alias("value"), F.try_element_at("n", F.lit(-2)).alias("qualifier"))
 
 
 @query("""SELECT p_partkey, p_type, (p_size % 2 = 0) AND regexp_matches(lower(split_part(p_name || '.' || ['UserModel', 'x', 'Dto', 'responses'][1 + p_partkey % 4], '.', -1)), '(schema|request|response|model|dto)$') AS is_schema FROM part""")
@@ -100,20 +94,10 @@ def schema_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", "p_type", T.is_schema_name(kind, F.concat("p_name", F.lit("."), leaf)).alias("is_schema"))
 
 
-@query("""WITH d AS (SELECT doc_id, string_split(lower(text), ' ')[1:6] AS a, string_split(lower(text), ' ')[4:10] AS b FROM documents)
-SELECT doc_id, len(list_distinct(list_concat(a, b))) AS either, len(list_distinct(list_intersect(a, b))) AS both_, len(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x)))) AS only_a FROM d""")
-def array_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H3-H5: ordered union, intersection and difference of key lists."""
-    w = F.split(F.lower("text"), " ")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.slice(w, 1, 6).alias("a"), F.slice(w, 4, 7).alias("b"))
-    size = lambda c: F.size(c).cast("long")
-    return d.select("doc_id", size(F.array_distinct(F.concat("a", "b"))).alias("either"), size(F.array_intersect("a", "b")).alias("both_"), size(F.array_except("a", "b")).alias("only_a"))
-
-
 @query("""WITH e AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS x FROM documents)
 SELECT CASE WHEN regexp_full_match(x, '[A-Za-z_][A-Za-z0-9_.:-]{0,127}') THEN x END AS key, lower(split_part(x, '.', -1)) AS leaf, count(*) AS n, count(DISTINCT doc_id) AS docs FROM e GROUP BY ALL""")
-def configuration_keys_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As configuration_keys, over all words of the texts: how often, and in how many of them."""
+def configuration_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Well-formed configuration keys and leaves of qualified names among all words: how often, and in how many texts."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")  # texts are dealt once, their words then stay
     x = d.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("x"))
     keys = x.select("doc_id", T.configuration_key(F.col("x")).alias("key"), F.lower(F.substring_index("x", ".", -1)).alias("leaf"))
@@ -125,7 +109,7 @@ g AS (SELECT doc_id, x, min(i) FILTER (i % 2 = 1) AS a, min(i) FILTER (i % 2 = 0
 SELECT doc_id, count(*) AS either, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS both_, count(*) FILTER (b IS NULL) AS only_a,
  sha256(string_agg(x, ' ' ORDER BY a IS NULL, coalesce(a, b))) AS either_sha, sha256(coalesce(string_agg(x, ' ' ORDER BY a) FILTER (a IS NOT NULL AND b IS NOT NULL), '')) AS both_sha,
  sha256(coalesce(string_agg(x, ' ' ORDER BY a) FILTER (b IS NULL), '')) AS only_a_sha FROM g GROUP BY doc_id""")
-def array_sets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def array_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H3-H5: ordered union, intersection and difference of the words at odd and at even places of whole texts."""
     w = F.split(F.coalesce("text", F.lit("")), " ")
     d = table(spark, sf_dir, "documents").select("doc_id", F.filter(w, lambda x, i: i % 2 == 0).alias("a"), F.filter(w, lambda x, i: i % 2 == 1).alias("b"))
@@ -171,14 +155,14 @@ def next_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("source", "missing", action.alias("next_action"), F.array_compact(F.array(F.when(lacking, "missing_roles"), F.when(stale, "index_stale"))).alias("reasons"))
 
 
-@query("""WITH ranked AS (SELECT p_partkey, lower(p_brand) AS path, (p_size % 10) / 10.0 AS score FROM part WHERE p_partkey % 3 = 0),
-h AS (SELECT l_orderkey, l_linenumber, 'BRAND#' || (10 + l_orderkey % 60) AS path FROM lineitem WHERE l_linenumber = 1)
-SELECT l_orderkey, max(score)::DOUBLE AS score FROM h JOIN ranked ON lower(h.path) = ranked.path GROUP BY l_orderkey""")
+@query("""WITH ranked AS (SELECT p_partkey, lower(p_brand) AS path, (p_size % 10) / 10.0 AS score FROM part),
+h AS (SELECT l_orderkey, l_linenumber, 'BRAND#' || (10 + l_orderkey % 60) AS path FROM lineitem)
+SELECT l_orderkey, l_linenumber, max(score)::DOUBLE AS score FROM h JOIN ranked ON lower(h.path) = ranked.path GROUP BY l_orderkey, l_linenumber""")
 def hunk_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hunks of ranked paths, with the best score of the path."""
-    best = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").groupBy(F.lower("p_brand").alias("path")).agg(F.max((F.col("p_size") % 10) / 10.0).alias("score"))
-    hunk = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", F.lower(F.concat(F.lit("BRAND#"), F.lit(10) + F.col("l_orderkey") % 60)).alias("path"))
-    return hunk.join(best, "path").groupBy("l_orderkey").agg(F.max("score").alias("score"))
+    best = table(spark, sf_dir, "part").groupBy(F.lower("p_brand").alias("path")).agg(F.max((F.col("p_size") % 10) / 10.0).alias("score"))
+    hunk = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lower(F.concat(F.lit("BRAND#"), F.lit(10) + F.col("l_orderkey") % 60)).alias("path"))
+    return hunk.join(best, "path").groupBy("l_orderkey", "l_linenumber").agg(F.max("score").alias("score"))
 
 
 @query("""WITH fresh AS (SELECT o_custkey AS file_id, o_orderkey + 1000000 AS v FROM orders WHERE o_custkey % 10 IN (1, 2)), gone AS (SELECT c_custkey AS f FROM customer WHERE c_custkey % 10 IN (1, 3))
@@ -198,11 +182,11 @@ def json_emission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.to_json(one, {"ignoreNullFields": "false"}).alias("json"))
 
 
-@query("""SELECT conv_id, (sum(length(text) - length(replace(text, chr(10), '')) + 1))::BIGINT AS original_lines FROM conversations WHERE text <> '' GROUP BY conv_id""")
-def output_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M8: line counts of command outputs (whole conversations), as the compression reports them."""
-    whole = table(spark, sf_dir, "conversations").where("text <> ''").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return C.compress(whole, key="conv_id").select("conv_id", F.col("original_lines").cast("long").alias("original_lines"))
+@query()
+def compressed_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations as command outputs, made short: runs collapsed, failures and both ends kept, gaps counted."""
+    whole = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "\n").alias("text"))
+    return C.compress(whole, key="conv_id").select("conv_id", F.sha2("content", 256).alias("content_sha"), F.col("original_lines").cast("long").alias("original_lines"), "repeated")
 
 
 @query("""SELECT n_regionkey, n_nationkey, row_number() OVER (ORDER BY n_regionkey = 1 DESC, n_regionkey, n_nationkey) AS position FROM nation""")

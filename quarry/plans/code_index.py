@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.functions.normalize import normalize
+from quarry.functions.targets import with_targets
 from quarry.operators import graph as G
 from quarry.operators import search as S
 from quarry.operators.incremental import changes, keep, replace_files
@@ -19,7 +17,6 @@ from quarry.sources import extract, scan
 
 #: Kinds of symbols that are types.
 TYPE_KINDS = ["class", "interface", "enum", "mixin", "extension", "type_alias"]
-_TARGETS = "fact_id string, relation string, reason string, targets array<struct<kind:string,value:string,qualifier:string,alias:string,imported_name:string,candidate_paths:array<string>>>"
 
 
 @dataclass
@@ -105,15 +102,8 @@ def search_documents(files: DataFrame, symbols: DataFrame, chunks: DataFrame, fa
 
 def normalized(facts: DataFrame) -> DataFrame:
     """(fact_id, relation, reason, targets) of every fact."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(r["id"], *normalize(r["language"], r["kind"], r["target_text"], r["relative_path"])) for r in batch.to_pylist()]
-            c = list(zip(*rows, strict=True)) or [()] * 4
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("qualifier", pa.string()), ("alias", pa.string()), ("imported_name", pa.string()), ("candidate_paths", pa.list_(pa.string()))]))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), pa.array(c[2], pa.string()), pa.array(c[3], kind)], ["fact_id", "relation", "reason", "targets"])
-
-    return facts.select("id", "language", "kind", "target_text", "relative_path").mapInArrow(run, _TARGETS)
+    told = with_targets(facts.select(F.col("id").alias("fact_id"), "language", "kind", "target_text", "relative_path"))
+    return told.select("fact_id", "relation", "reason", "targets")
 
 
 def _ends(qualified: Column, wanted: Column) -> Column:
@@ -140,7 +130,8 @@ def build_graph(index: Index) -> Graph:
     imports, exports = bound.where("relation = 'imports'").drop("relation"), bound.where("relation = 'exports'").drop("relation")
     opened = imports.withColumn("expected", F.coalesce("imported_name", "alias")).withColumn("wild", F.col("imported_name").isNull())
     again = exports.select(F.col("at").alias("to"), F.col("alias").alias("as"), F.col("imported_name").alias("inner"), F.col("to").alias("next"))
-    hop = opened.join(again, "to").where((F.col("as") == F.col("expected")) | (F.col("as") == "*"))
+    # through a named re-export by file and name, through all star re-exports by file
+    hop = opened.join(again.withColumn("expected", F.col("as")), ["to", "expected"]).unionByName(opened.join(again.where("as = '*'"), "to").select("to", "expected", "at", "alias", "imported_name", "wild", "as", "inner", "next"), allowMissingColumns=True)
     hop = hop.select("at", "alias", F.coalesce("inner", "expected").alias("expected"), F.col("inner").isNull().alias("wild"), F.col("next").alias("to"))
     bindings = keep(opened.select("at", "alias", "expected", "wild", "to").unionByName(hop).distinct(), "bindings")
 
@@ -183,14 +174,14 @@ def build_graph(index: Index) -> Graph:
     hit = resolved.where("status = 'resolved'").select("fact_id", "fact_kind", F.col("relation").alias("kind"), "source_file", "source_symbol", "source_kind", F.col("endpoint.file").alias("target_file"), F.col("endpoint.symbol").alias("target_symbol"), "confidence", F.col("strategy").alias("resolution_strategy"), T.bounded(F.col("target_text")).alias("raw_target"), label.alias("normalized_target"), "relative_path", "start_byte", "target_no")
     kinds = s.select(F.col("symbol").alias("target_symbol"), F.col("symbol_kind").alias("target_kind"))
     calls = hit.where("fact_kind = 'call' and source_kind = 'test'").join(kinds, "target_symbol").where("target_kind <> 'test'").drop("target_kind")
-    tested = calls.select("fact_id", "fact_kind", F.lit("tested_by").alias("kind"), F.col("target_file").alias("source_file"), F.col("target_symbol").alias("source_symbol"), "source_kind", F.col("source_file").alias("target_file"), F.col("source_symbol").alias("target_symbol"), "confidence", "resolution_strategy", "raw_target", "normalized_target", "relative_path", "start_byte", "target_no")
+    tested = G.reversed_edges(calls, "tested_by", [("source_file", "target_file"), ("source_symbol", "target_symbol")])
     own = s.where("symbol_kind = 'method' and contains(qn, '.')").withColumn("owner", F.regexp_replace("qn", r"\.[^.]*$", ""))
     types = s.select(F.col("symbol").alias("type"), F.col("file").alias("type_file"), F.col("qn").alias("type_qn"))
     methods = own.join(types, [own["file"] == types["type_file"], own["owner"] == types["type_qn"]]).select("type", "symbol", "file", "name", "n_parameters", "qn")
     pairs = hit.where("kind in ('inherits', 'implements') and source_symbol is not null and target_symbol is not null").select("fact_id", "fact_kind", "confidence", "relative_path", "start_byte", "target_no", F.col("source_symbol").alias("child"), F.col("target_symbol").alias("parent"), F.col("kind").alias("derived_from"))
     mine = methods.select(F.col("type").alias("child"), F.col("symbol").alias("source_symbol"), F.col("file").alias("source_file"), "name", "n_parameters", F.col("qn").alias("child_qn"))
-    once = methods.groupBy(F.col("type").alias("parent"), "name", "n_parameters").agg(F.count(F.lit(1)).alias("n"), F.min("symbol").alias("target_symbol"), F.min("file").alias("target_file"), F.min("qn").alias("parent_qn")).where("n = 1")
-    over = pairs.join(mine, "child").join(once, ["parent", "name", "n_parameters"])
+    parents = methods.select(F.col("type").alias("parent"), "name", "n_parameters", F.col("symbol").alias("target_symbol"), F.col("file").alias("target_file"), F.col("qn").alias("parent_qn"))
+    over = G.unique_matches(pairs.join(mine, "child"), parents, ["parent", "name", "n_parameters"])
     overrides = over.select("fact_id", "fact_kind", F.lit("overrides").alias("kind"), "source_file", "source_symbol", F.lit("method").alias("source_kind"), "target_file", "target_symbol", "confidence", F.lit("resolved_parent_method_shape").alias("resolution_strategy"), T.bounded(F.col("child_qn")).alias("raw_target"), T.bounded(F.col("parent_qn")).alias("normalized_target"), "relative_path", "start_byte", "target_no")
     every = hit.unionByName(tested).unionByName(overrides)
     text = lambda c: F.coalesce(c, F.lit(""))

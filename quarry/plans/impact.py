@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators import incremental as I
+from quarry.operators import sequences as Q
 from quarry.operators.incremental import keep
 from quarry.plans import code_index, context
 from quarry.sources import diff
@@ -31,14 +32,15 @@ def changed_symbols(index: code_index.Index, hunks: DataFrame) -> DataFrame:
     """Symbols whose lines a hunk's changed lines meet, in the same file; an equal join on the path, then the overlap."""
     h = hunks.select(F.lower("relative_path").alias("p"), "changed_from", "changed_to")
     s = index.symbols.withColumn("p", F.lower("relative_path"))
-    met = s.join(h, "p").where((F.col("start_line") <= F.col("changed_to")) & (F.col("end_line") >= F.col("changed_from")))
+    met = Q.overlapping(s, h, ["p"], ("start_line", "end_line"), ("changed_from", "changed_to"))
     return met.select("id", "relative_path", "kind", "name", "qualified_name", "start_line", "end_line", (F.col("metadata")["is_route"] == "true").alias("is_route")).distinct()
 
 
 def analyze(index: code_index.Index, graph: code_index.Graph, patch: str, expected: list[str] | None = None, max_hunks: int = 1000) -> Impact:
     """The impact of a unified diff. Paths outside `expected` are unrelated changes, if any were expected."""
     spark = index.files.sparkSession
-    hunks = keep(diff.hunks(spark.createDataFrame([(0, patch)], "id int, text string"), max_hunks=max_hunks), "hunks")
+    found = keep(diff.hunks(spark.createDataFrame([(0, patch)], "id int, text string"), max_hunks=max_hunks + 1), "hunks")
+    hunks, truncated = found.where(F.col("hunk_no") <= max_hunks), bool(found.where(F.col("hunk_no") > max_hunks).head(1))
     changed = keep(changed_symbols(index, hunks), "changed")
     nodes = index.symbols.select("id", "relative_path", "kind", "name", "qualified_name")
     r = graph.relationships
@@ -49,17 +51,12 @@ def analyze(index: code_index.Index, graph: code_index.Graph, patch: str, expect
     tests = nodes.join(tested.select(F.col("target_symbol").alias("id")).distinct(), "id", "left_semi")
     routes = changed.where(F.coalesce("is_route", F.lit(False)))
     schemas = changed.where(T.is_schema_name(F.col("kind"), F.col("qualified_name")))
-    code = lambda name: F.lit(name).alias("code")
     paths = hunks.select("relative_path").distinct()
-    parts = [routes.select(code("route_contract_changed"), "relative_path"), schemas.select(code("schema_contract_changed"), "relative_path")]
-    covered = changed.where("kind <> 'test'").join(tested.select(F.col("source_symbol").alias("id")), "id", "left_anti")
-    touched = paths.where(F.col("relative_path").rlike(r"(^|/)tests?/|(^|/)test_|[._]test\.")).limit(1).agg(F.count(F.lit(1)).alias("n")).where("n = 0")
-    parts.append(covered.select(code("missing_regression_test"), "relative_path").distinct().crossJoin(F.broadcast(touched)).drop("n"))  # one row or none
+    unrelated = paths.where(F.lit(False))
     if expected:
         known = spark.createDataFrame([(p.lower(),) for p in expected], "p string")
-        parts.append(paths.join(known, F.lower("relative_path") == F.col("p"), "left_anti").select(code("unrelated_change"), "relative_path"))
-    parts.append(callers.join(paths, "relative_path", "left_anti").select(code("affected_caller_unchanged"), "relative_path").distinct())
-    risks = reduce(DataFrame.union, parts).distinct().orderBy("code", "relative_path")
+        unrelated = paths.join(known, F.lower("relative_path") == F.col("p"), "left_anti")
+    risks = I.risks(changed, routes, schemas, tests, unrelated, truncated, ["relative_path", "start_line", "id"]).orderBy("code", "relative_path")
     return Impact(hunks, changed, callers, tests, routes, schemas, risks)
 
 

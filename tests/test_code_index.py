@@ -1,7 +1,7 @@
 import pytest
 
 from quarry.functions.identity import stable_id
-from quarry.functions.normalize import normalize
+from quarry.functions import targets
 from quarry.operators import compress, graph
 from quarry.plans import code_index
 from quarry.sources import diff, scan
@@ -137,29 +137,49 @@ def test_traverse_is_bounded_and_ends_on_cycles(spark):
         ("dart", "import 'package:app/src/x.dart' as x;", [("lib/src/x.dart", None, "x")]),
     ],
 )
-def test_imports(language, text, expected):
-    _, _, targets = normalize(language, "import", text, "pkg/service.py")
-    assert [(t["candidate_paths"][0], t["imported_name"], t["alias"]) for t in targets] == expected
+def test_imports(spark, language, text, expected):
+    _, _, found = normalized(spark, (language, "import", text, "pkg/service.py"))
+    assert [(t.candidate_paths[0], t.imported_name, t.alias) for t in found] == expected
 
 
-@pytest.mark.parametrize(("text", "expected"), [("Alias().execute", ("execute", "Alias")), ("service?.run", ("run", "service")), ("[1].toString", ("toString", None)), ("plain_call", ("plain_call", None))])
-def test_calls(spark, text, expected):
-    from pyspark.sql import functions as F
+def normalized(spark, fact):
+    facts = spark.createDataFrame([fact], "language string, kind string, target_text string, relative_path string")
+    return tuple(targets.with_targets(facts).select("relation", "reason", "targets").first())
 
-    from quarry.functions import text as T
 
-    _, _, targets = normalize("python", "call", text, "a.py")
-    assert (targets[0]["value"], targets[0]["qualifier"]) == expected
-    row = spark.range(1).select(T.call_target(F.lit(text)).alias("t")).first()["t"]
-    assert (row.value, row.qualifier) == expected
+@pytest.mark.parametrize(("text", "expected"), [("Alias().execute", ("execute", "Alias")), ("service?.run", ("run", "service")), (".toString", ("toString", None)), ("[1].toString", ("toString", None)), ("plain_call", ("plain_call", None)), ("a::b(c.d)", ("b", "a"))])
+def test_calls(spark, text, expected):
+    _, _, found = normalized(spark, ("python", "call", text, "a.py"))
+    assert (found[0].value, found[0].qualifier) == expected
 
 
-def test_other_facts():
-    assert normalize("go", "import", 'import "fmt"', "a.go")[1] == "unsupported_import_syntax"
-    assert normalize("typescript", "export", "export * from './x'", "a.ts")[2][0]["alias"] == "*"
-    assert normalize("python", "decorator", "@x", "a.py") == (None, None, [])
-    assert [t["value"] for t in normalize("dart", "inherits", "extends A<B> with C, D implements E", "a.dart")[2]] == ["A", "C", "D"]
-    assert normalize("python", "configuration", "not ok", "a.py")[1] == "unsupported_configuration_key"
+@pytest.mark.parametrize(
+    ("fact", "expected"),
+    [
+        (("python", "inherits", "(Base, Mixin)", "f.ts"), {"Base", "Mixin"}),
+        (("typescript", "inherits", "extends Base implements Contract", "f.ts"), {"Base"}),
+        (("typescript", "implements", "implements Contract, Auditable", "f.ts"), {"Contract", "Auditable"}),
+        (("dart", "inherits", "extends Base with Mixin", "f.ts"), {"Base", "Mixin"}),
+        (("dart", "inherits", "extends A<B, C<D>> with C, D implements E", "a.dart"), {"A", "C", "D"}),
+        (("python", "schema", "models.UserCreate", "a.py"), {"UserCreate"}),
+    ],
+)
+def test_types(spark, fact, expected):
+    assert {t.value for t in normalized(spark, fact)[2]} == expected
+
+
+def test_other_facts(spark):
+    of = lambda *fact: normalized(spark, fact)
+    assert of("go", "import", 'import "fmt"', "a.go") == (None, "unsupported_import_syntax", [])
+    assert of("typescript", "export", "export * from './x'", "a.ts")[2][0].alias == "*"
+    relation, _, (named,) = of("typescript", "export", "export { fetchUser as publicFetch } from './api';", "src/index.ts")
+    assert (relation, named.imported_name, named.alias) == ("exports", "fetchUser", "publicFetch") and "src/api.ts" in named.candidate_paths
+    assert of("typescript", "export", "export function x() {}", "a.ts") == (None, None, []) == of("python", "decorator", "@x", "a.py")
+    assert of("python", "configuration", "not ok", "a.py") == (None, "unsupported_configuration_key", [])
+    assert of("python", "configuration", "API_URL", "a.py")[2][0].kind == "configuration" and of("dart", "call", "()", "s.dart")[1] == "unsupported_symbol_target"
+    assert [(t.value, t.imported_name, t.alias) for t in of("python", "import", "from . import (a as b,\n c)", "p/x.py")[2]] == [(".", "a", "b"), (".", "c", "c")]
+    assert [t.alias for t in of("typescript", "import", "import './side'", "a.ts")[2]] == [None] and of("javascript", "import", "import(x)", "a.js")[1] == "unsupported_import_syntax"
+    assert of("python", "what", "x", "a.py")[1] == "unsupported_fact_kind" and of("python", "import", "from .a import *", "p/x.py")[2][0].candidate_paths == ["p/a.py", "p/a/__init__.py"]
 
 
 def test_broken_python_keeps_what_parses():

@@ -31,7 +31,9 @@ def test_patch(built):
     got = impact.analyze(*built, PATCH, expected=["other.py"])
     assert names(got.changed) == {"get_user"} and names(got.callers) == {"show"} and names(got.tests) == set()
     risks = {(r.code, r.relative_path) for r in got.risks.collect()}
-    assert {("missing_regression_test", "service.py"), ("unrelated_change", "service.py"), ("affected_caller_unchanged", "routes.py")} <= risks
+    assert risks == {("missing_regression_test", None), ("unrelated_change", "service.py")}
+    two = PATCH + "@@ -9,1 +9,1 @@\n-def find(i):\n+def find(j):\n"
+    assert ("analysis_truncated", None) in {(r.code, r.relative_path) for r in impact.analyze(*built, two, max_hunks=1).risks.collect()}
 
 
 def test_contracts_and_tests(built):
