@@ -61,12 +61,9 @@ def main(argv: list[str] | None = None) -> int:
         elif args.command == "context":
             show(dataclasses.asdict(context.resolve(index, code_index.build_graph(index), args.what, args.focus, args.max_tokens)))
         else:
-            hit = index.symbols.where((index.symbols["id"] == args.what) | (index.symbols["name"] == args.what) | (index.symbols["qualified_name"] == args.what)).select("id").union(index.files.where((index.files["file_id"] == args.what) | (index.files["relative_path"] == args.what)).select("file_id"))
-            nodes = [r[0] for r in hit.distinct().limit(2).collect()]
-            if len(nodes) != 1:
-                raise ValueError("graph_query_invalid")
-            taken, reached = G.traverse(code_index.edges_of(code_index.build_graph(index)), spark.createDataFrame([("0", nodes[0])], "job string, node string"), args.depth, args.limit, args.direction, args.kind)
-            show({"edges": [r.asDict() for r in taken.drop("job").collect()], "nodes": [r.asDict() for r in reached.drop("job").collect()]})
+            node = code_index.find_node(index, args.what)
+            taken, reached = G.traverse(code_index.edges_of(code_index.build_graph(index)), spark.createDataFrame([("0", node)], "job string, node string"), args.depth, args.limit, args.direction, args.kind)
+            show({"edges": [r.asDict() for r in taken.drop("job").orderBy("level", *G.EDGE_ORDER).collect()], "nodes": [r.asDict() for r in reached.drop("job").orderBy("distance", "node").collect()]})
         return 0
     except ValueError as e:
         code = getattr(e, "code", str(e))

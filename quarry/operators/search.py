@@ -94,12 +94,13 @@ def statistics(postings: DataFrame) -> DataFrame:
     return postings.groupBy("key").agg(F.max("length").alias("length")).agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
 
 
-def exact_then_text(exact: DataFrame, text: DataFrame, identity: list[str], order: list[str], limit: int) -> DataFrame:
+def exact_then_text(exact: DataFrame, text: DataFrame, identity: list[str], order: list[str], limit: int, request: list[str] = ()) -> DataFrame:  # noqa: B006
     """Exact hits first, then text hits in their order; the first of each identity stays, `limit` in all; adds `position`.
 
-    Both have the same columns and a `rank` of their own.
+    Both have the same columns. With `request` columns, each request has its own hits and positions.
     """
     both = exact.withColumn("phase", F.lit(0)).unionByName(text.withColumn("phase", F.lit(1)))
-    first = both.withColumn("_k", F.row_number().over(Window.partitionBy(*identity).orderBy("phase", *order))).where("_k = 1").drop("_k")
-    top = first.orderBy("phase", *order).limit(limit)  # a bounded top, so one small window may number it
-    return top.withColumn("position", F.row_number().over(Window.orderBy("phase", *order)))
+    first = both.withColumn("_k", F.row_number().over(Window.partitionBy(*request, *identity).orderBy("phase", *order))).where("_k = 1").drop("_k")
+    if not request:
+        first = first.orderBy("phase", *order).limit(limit)  # a bounded top, so one small window may number it
+    return first.withColumn("position", F.row_number().over(Window.partitionBy(*request).orderBy("phase", *order))).where(F.col("position") <= limit)

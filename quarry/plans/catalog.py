@@ -569,7 +569,7 @@ def impact_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.risks(symbols, symbols.where("p_size = 11"), symbols.where("p_size = 10"), changed.where("k < 0").select(path), unrelated, True, ["relative_path"])
 
 
-from quarry.plans import catalog_more  # noqa: E402, F401  registers more queries
+from quarry.plans import catalog_more, catalog_tree  # noqa: E402, F401  register more queries
 
 #: Columns that DuckDB numbers or divides in wider types than the engine does.
 _TYPES = {

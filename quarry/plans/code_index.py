@@ -28,6 +28,7 @@ class Index:
     facts: DataFrame
     documents: DataFrame
     skipped: DataFrame
+    postings: DataFrame | None = None
 
 
 @dataclass
@@ -57,7 +58,11 @@ def _tables(extracted: DataFrame, repository_id: str) -> tuple[DataFrame, DataFr
 
 def build_index(spark: SparkSession, root: str, repository_id: str) -> Index:
     """Scans and extracts a whole tree and lays out the tables."""
-    scanned = scan.scan(spark, root, scan.ignore_layers(root))
+    return index_of(scan.scan(spark, root, scan.ignore_layers(root)), repository_id)
+
+
+def index_of(scanned: DataFrame, repository_id: str) -> Index:
+    """The tables of scanned files (relative_path, language, content, content_hash, skip)."""
     files, symbols, chunks, facts = _tables(_extract(scanned, repository_id), repository_id)
     return Index(repository_id, files, symbols, chunks, facts, search_documents(files, symbols, chunks, facts), scan.skip_counts(scanned))
 
@@ -198,17 +203,55 @@ def edges_of(graph: Graph) -> DataFrame:
     return graph.relationships.select(F.coalesce("source_symbol", "source_file").alias("source"), F.coalesce("target_symbol", "target_file").alias("target"), "kind", F.col("id").alias("edge_id"))
 
 
+FIELDS = {"relative_path": 2.0, "name": 8.0, "qualified_name": 6.0, "signature": 4.0, "body": 1.0}
+_ORDER = ["relative_path", "start_line", "entity_type", "entity_id"]
+
+
+def postings_of(documents: DataFrame) -> DataFrame:
+    """The inverted index of search documents, written once; a key is the entity's type and id."""
+    return keep(S.build_postings(documents.withColumn("key", F.concat_ws(":", "entity_type", "entity_id")), "key", FIELDS), "postings")
+
+
+def search_many(index: Index, queries: list[str], limit: int = 20) -> DataFrame:
+    """For each query that has words: exact symbols first, then documents with all its terms, by BM25; `limit` of each query.
+
+    All queries are one job over the inverted index: none reads the documents' texts but for the rows that are shown.
+    """
+    spark = index.files.sparkSession
+    if not 1 <= limit <= 100:
+        raise ValueError("search_query_invalid")
+    asked = spark.createDataFrame([(i, q.strip()) for i, q in enumerate(queries)], "query_id int, query string")
+    asked = asked.withColumn("terms", T.search_terms(F.col("query"))).where(F.size("terms") > 0)
+    docs = index.documents.withColumn("key", F.concat_ws(":", "entity_type", "entity_id"))
+    few = F.broadcast(asked.select("query_id", "query"))  # the caller's queries
+    symbols = docs.where("entity_type = 'symbol'")
+    named = symbols.join(few, symbols["name"] == few["query"]).unionByName(symbols.join(few, (symbols["qualified_name"] == few["query"]) & ~symbols["name"].eqNullSafe(symbols["qualified_name"])))
+    exact = named.withColumn("score", T.exact_score(F.col("query"), F.col("qualified_name"))).withColumn("strength", F.lit(0.0))
+    if index.postings is None:
+        index.postings = postings_of(index.documents)
+    hits = S.bm25_postings(index.postings, S.statistics(index.postings), asked.select("query_id", "terms"))
+    place = docs.select("key", *_ORDER).join(hits, "key")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25"), *_ORDER))
+    top = place.withColumn("_k", best).where(F.col("_k") <= 2 * limit).select("query_id", "key", "bm25")
+    text = docs.join(F.broadcast(top), "key").join(few, "query_id").withColumn("score", F.round(T.rank_score(F.col("bm25")), 6)).withColumn("strength", -F.col("bm25")).select(*exact.columns)
+    shown = S.exact_then_text(exact, text, ["entity_type", "entity_id"], ["strength", *_ORDER], limit, ["query_id"])
+    return shown.select("query_id", "query", "position", "entity_type", "entity_id", "kind", "relative_path", "name", "qualified_name", "start_line", "end_line", "score", T.snippet(F.col("body"), F.col("signature"), F.col("qualified_name"), F.col("name"), F.col("relative_path")).alias("snippet"))
+
+
 def search(index: Index, query: str, limit: int = 20) -> DataFrame:
-    """Exact symbols first, then documents that have all terms, by BM25; one row for each entity."""
-    terms = [t for t in index.files.sparkSession.range(1).select(T.search_terms(F.lit(query)).alias("t")).first()["t"]]
-    if not terms or not 1 <= limit <= 100:
+    """search_many for one query, which must have a word and be no longer than allowed."""
+    if not index.files.sparkSession.range(1).select(F.size(T.search_terms(F.lit(query))).alias("n")).first()["n"]:
         raise ValueError("search_query_invalid")
-    docs, order = index.documents, ["relative_path", "start_line", "entity_type", "entity_id"]
-    q = F.lit(query.strip())
-    exact = docs.where((F.col("entity_type") == "symbol") & ((F.col("name") == q) | (F.col("qualified_name") == q))).withColumn("score", T.exact_score(q, F.col("qualified_name"))).withColumn("strength", F.lit(0.0))
-    fields = {"relative_path": 2.0, "name": 8.0, "qualified_name": 6.0, "signature": 4.0, "body": 1.0}
-    found = S.bm25_scan(docs, fields, [t.lower() for t in terms])  # its documents are parts of source files, small enough to keep
-    text = found.withColumn("score", F.round(T.rank_score(F.col("bm25")), 6)).withColumn("strength", -F.col("bm25")).drop("bm25")
-    text = text.orderBy("strength", *order).limit(2 * limit)
-    shown = S.exact_then_text(exact, text, ["entity_type", "entity_id"], ["strength", *order], limit)
-    return shown.select("position", "entity_type", "entity_id", "kind", "relative_path", "name", "qualified_name", "start_line", "end_line", "score", T.snippet(F.col("body"), F.col("signature"), F.col("qualified_name"), F.col("name"), F.col("relative_path")).alias("snippet"))
+    return search_many(index, [query], limit).drop("query_id", "query")
+
+
+def find_node(index: Index, target: str) -> str:
+    """The node that a target names: a symbol by id, else a file by id or path, else the only symbol of that (qualified) name."""
+    t = F.lit(target)
+    symbols = index.symbols.select("id", "name", "qualified_name").where((F.col("id") == t) | (F.col("name") == t) | (F.col("qualified_name") == t))
+    files = index.files.where((F.col("file_id") == t) | (F.col("relative_path") == t)).select(F.col("file_id").alias("id"), F.lit(1).alias("tier"))
+    rows = symbols.select("id", F.when(F.col("id") == t, 0).otherwise(2).alias("tier")).unionByName(files)
+    first = rows.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).orderBy("tier").limit(1).collect() if target else []
+    if not first or first[0]["n"] != 1:
+        raise ValueError("graph_query_invalid")
+    return first[0]["id"]

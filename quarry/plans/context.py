@@ -8,9 +8,8 @@ is ordered and packed on the driver, as the order of choice matters there.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -66,15 +65,10 @@ def resolve_task(index: code_index.Index, task: str, focus: list[str]) -> dict:
 
 def stage_one(index: code_index.Index, queries: list[str]) -> DataFrame:
     """Evidence rows of all searches."""
-    found = []
-    for k, q in enumerate(queries):
-        try:
-            rows = code_index.search(index, q, SEARCH_LIMIT)
-        except ValueError:
-            continue
-        kind = F.when((F.col("entity_type") == "symbol") & ((F.col("name") == q) | (F.col("qualified_name") == q)), "exact").otherwise("lexical")
-        found.append(rows.select("entity_type", "entity_id", "relative_path", "name", "qualified_name", "start_line", "end_line", kind.alias("evidence"), "score", F.lit("primary").alias("role"), (F.col("position") - 1 + k * SEARCH_LIMIT).alias("ordinal"), F.lit(None).cast("string").alias("seed"), F.lit(1).alias("distance")))
-    return reduce(DataFrame.unionByName, found)
+    rows = code_index.search_many(index, queries, SEARCH_LIMIT)
+    named = (F.col("entity_type") == "symbol") & ((F.col("name") == F.col("query")) | (F.col("qualified_name") == F.col("query")))
+    kind = F.when(F.coalesce(named, F.lit(False)), "exact").otherwise("lexical")
+    return rows.select("entity_type", "entity_id", "relative_path", "name", "qualified_name", "start_line", "end_line", kind.alias("evidence"), "score", F.lit("primary").alias("role"), (F.col("position") - 1 + F.col("query_id") * SEARCH_LIMIT).alias("ordinal"), F.lit(None).cast("string").alias("seed"), F.lit(1).alias("distance"))
 
 
 def stage_two(index: code_index.Index, graph: code_index.Graph, seeds: list[str]) -> DataFrame:
@@ -99,7 +93,7 @@ IDENTITY = ["entity_type", "entity_id", "relative_path", "name", "qualified_name
 
 def ranked(evidence: DataFrame, focus: list[str]) -> DataFrame:
     """Candidates with roles, signals, score and rank."""
-    merged = evidence.groupBy(*IDENTITY).agg(F.min("ordinal").alias("ordinal"), F.array_sort(F.collect_set("role")).alias("roles"))
+    merged = E.merge(evidence, IDENTITY, "ordinal", "role", ["evidence", "ordinal", "score"], kind="evidence", distance="distance")
     merged = merged.orderBy("ordinal", "relative_path", "start_line", "entity_type", "entity_id").limit(CANDIDATES)
     strong = E.signals(evidence, ["entity_type", "entity_id"], kind="evidence", distance="distance")
     in_focus = T.any_of([F.coalesce(F.col(c), F.lit("")).isin(*focus) for c in ("entity_id", "relative_path", "name", "qualified_name")]) if focus else F.lit(False)
@@ -108,42 +102,32 @@ def ranked(evidence: DataFrame, focus: list[str]) -> DataFrame:
     return E.rank(rows.withColumn("all", F.lit(1)), ["all"], F.desc("score"), F.desc("focus"), priority, F.col("relative_path"), F.col("start_line"), F.col("entity_type"), F.col("entity_id")).drop("all")
 
 
-def _certainty(top: dict | None, ambiguous: bool) -> str:
-    if not top:
-        return "missing"
-    if ambiguous:
-        return "ambiguous"
-    if top["exact"] > 0:
-        return "exact_explicit_focus" if top["focus"] else "exact"
-    if top["focus"]:
-        return "explicit_focus"
-    if top["lexical"] > 0:
-        return "path_lexical" if top["entity_type"] in ("file", "chunk") and top["lexical"] >= E.LEXICAL_FLOOR else "lexical"
-    return "fallback"
-
-
-def assess(rows: list[dict], evidence: list[dict], action: str) -> tuple[float, list[str], list[str]]:
+def assess(spark: SparkSession, rows: list[dict], evidence: list[dict], action: str, penalty: float = 0.0) -> tuple[float, list[str], list[str]]:
     """(confidence, reasons, missing roles) of at most CANDIDATES ranked rows."""
     primary = [r for r in rows if "primary" in r["roles"]]
     named = [r for r in primary if r["entity_type"] in ("symbol", "chunk") and (r["qualified_name"] or r["name"])] or primary
-    first = {}
+    logical: dict[tuple, dict] = {}
     for r in named:
-        first.setdefault((r["relative_path"], r["qualified_name"] or r["name"] or r["entity_id"]), r)
-    logical = list(first.values())
-    top, second = (logical + [None, None])[:2]
-    apart = top and second and top["focus"] and not second["focus"]
-    ambiguous = bool(second) and not apart and top["score"] - second["score"] <= E.AMBIGUITY_MARGIN
-    separation = 0.0 if not top else 1.0 if not second or apart else min(max(top["score"] - second["score"], 0.0) / E.FULL_SEPARATION, 1.0)
-    case = _certainty(top, ambiguous)
-    families = {e["evidence"] for e in evidence if top and ((e["entity_type"], e["entity_id"]) == (top["entity_type"], top["entity_id"]) or e["seed"] == top["entity_id"])}
+        logical.setdefault((r["relative_path"], r["qualified_name"] or r["name"] or r["entity_id"]), r)
     wanted = E.EXPECTED_ROLES[action]
     present = {role for r in rows for role in r["roles"]}
     missing = [r for r in wanted if r not in present]
     coverage = (len(wanted) - len(missing)) / len(wanted)
-    parts = {"certainty": E.CERTAINTY[case], "agreement": E.AGREEMENT[min(len(families), 4)], "separation": separation, "coverage": coverage}
-    value = min(max(sum(parts[k] * w for k, w in E.CONFIDENCE.items()), 0.0), 1.0)
-    reasons = [n for n, on in (("missing_primary", not top), ("ambiguous_target", ambiguous), ("weak_separation", bool(top) and separation < 1), ("missing_roles", bool(missing))) if on]
-    return value, reasons, missing
+    if not logical:
+        floor = E.CONFIDENCE["coverage"] * coverage - penalty
+        return max(floor, 0.0), ["missing_primary", *(["missing_roles"] if missing else [])], missing
+    two = list(logical.values())[:2]
+    top = two[0]
+    apart = len(two) == 2 and top["focus"] and not two[1]["focus"]
+    families = {e["evidence"] for e in evidence if (e["entity_type"], e["entity_id"]) == (top["entity_type"], top["entity_id"]) or e["seed"] == top["entity_id"]}
+    first = spark.createDataFrame([(0, k, r["score"]) for k, r in enumerate(two[:1] if apart else two)], "request int, k int, score double")
+    told = E.separation(first, ["request"], F.col("k"))
+    is_text = F.lit(top["entity_type"] in ("file", "chunk"))
+    certain = E.certainty(F.col("ambiguous"), F.lit(top["exact"]), F.lit(bool(top["focus"])), F.lit(top["lexical"]), is_text)
+    value = E.confidence(certain, E.agreement(F.lit(len(families))), F.col("separation"), F.lit(coverage), F.lit(penalty))
+    got = told.select("separation", "ambiguous", value.alias("value")).first()
+    reasons = [n for n, on in (("ambiguous_target", got["ambiguous"]), ("weak_separation", got["separation"] < 1), ("missing_roles", bool(missing))) if on]
+    return got["value"], reasons, missing
 
 
 def materialize(index: code_index.Index, candidates: DataFrame) -> DataFrame:
@@ -227,7 +211,7 @@ def resolve(index: code_index.Index, graph: code_index.Graph, task: str, focus:
     evidence = keep(found.unionByName(stage_two(index, graph, seeds)) if seeds else found, "evidence")
     rows = keep(ranked(evidence, parts["focus"]), "ranked")
     top = [r.asDict() for r in rows.orderBy("rank").collect()]  # CANDIDATES at most
-    value, reasons, missing = assess(top, [r.asDict() for r in evidence.select("entity_type", "entity_id", "evidence", "seed").distinct().limit(CANDIDATES * E.MAX_EVIDENCE).collect()], parts["action"])
+    value, reasons, missing = assess(rows.sparkSession, top, [r.asDict() for r in evidence.select("entity_type", "entity_id", "evidence", "seed").distinct().limit(CANDIDATES * E.MAX_EVIDENCE).collect()], parts["action"])
     snippets, budget = fill([r.asDict() for r in materialize(index, rows).collect()], max_tokens)
     action = "none"
     if "missing_primary" in reasons or "ambiguous_target" in reasons:

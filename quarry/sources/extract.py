@@ -422,7 +422,8 @@ class _Braces:
             if name in _KEYWORDS or m.start(2) not in self.pairs:
                 continue
             before = self.s[: m.start()].rstrip().rsplit(None, 1)[-1:] if m.start() else []
-            if before and before[0] in (b"function", b"func") or any(n == name.decode() and a <= m.start() <= a + 120 and b"(" not in self.s[a : m.start()] for n, a in declared if a in starts and a <= m.start()):
+            method = self.lang == "go" and re.search(rb"\bfunc\s*\([^)]*\)\s*$", self.s[max(0, m.start() - 500) : m.start()])
+            if method or before and before[0] in (b"function", b"func") or any(n == name.decode() and a <= m.start() <= a + 120 and b"(" not in self.s[a : m.start()] for n, a in declared if a in starts and a <= m.start()):
                 continue
             a, b = m.start(), self.pairs[m.start(2)] + 1
             target = re.sub(r"^new\s+", "", self.f.text(a, m.end(1)))
