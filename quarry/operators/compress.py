@@ -28,6 +28,6 @@ def compress(outputs: DataFrame, key: str = "id", text: str = "text", max_chars:
     joined = marked.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "out"))), lambda x: x["out"]), "\n").alias("content"))
     repeats = runs.groupBy(key).agg(F.sum(F.col("length") - 1).alias("repeated"))
     suffix = "\n[output truncated to configured character budget]"
-    cut = F.regexp_replace(F.substring("content", 1, max_chars - len(suffix)), r"\n[^\n]*$", "")
+    cut = F.regexp_replace(F.substring("content", 1, max_chars - len(suffix)), r"\n[^\n]*\z", "")
     content = F.when(F.length("content") <= max_chars, F.col("content")).otherwise(F.concat(cut, F.lit(suffix)))
     return joined.join(repeats, key).join(outputs.select(key, original.alias("original_lines")), key).select(key, content.alias("content"), "original_lines", "repeated")

@@ -207,3 +207,41 @@ def test_hunks(spark):
     rows = diff.hunks(spark.createDataFrame([(1, text)], "id int, text string")).orderBy("hunk_no").collect()
     assert [(r.relative_path, r.old_start, r.new_start, r.changed_from, r.changed_to) for r in rows] == [("s.py", 2, 2, 2, 4), ("s.py", 9, 10, 10, 10)]
     assert rows[0].content.startswith("@@ -2,2") and rows[0].content.endswith("+d\n")
+
+
+def plain_compress(text, max_chars=12_000):
+    """Output compression written out as loops over lines."""
+    import re
+
+    lines = re.sub(r"\n\Z", "", re.sub(r"\r\n?", "\n", text[: compress.MAX_INPUT])).split("\n")
+    shown, repeated = [], 0
+    for i, line in enumerate(lines):
+        if i and line == lines[i - 1]:
+            continue
+        n = next((k for k in range(i, len(lines)) if lines[k] != line), len(lines)) - i
+        shown.append(line)
+        if n > 1:
+            shown.append(f"[previous line repeated {n - 1} time(s)]")
+            repeated += n - 1
+    marked = [bool(re.search(compress.PRIORITY, x)) for x in shown]
+    keep = [i for i in range(len(shown)) if len(shown) <= compress.WHOLE or any(marked[max(0, i - 1) : i + 2]) or i < compress.HEAD or i >= len(shown) - compress.TAIL]
+    out = []
+    for at, i in enumerate(keep):
+        gap = i - (keep[at - 1] if at else -1) - 1
+        out += [f"[... {gap} line(s) omitted ...]"] if gap else []
+        out.append(shown[i])
+    content = "\n".join(out)
+    if len(content) > max_chars:
+        note = "\n[output truncated to configured character budget]"
+        content = re.sub(r"\n[^\n]*\Z", "", content[: max_chars - len(note)]) + note
+    return content, text.count("\n") + bool(text), repeated
+
+
+def test_compress_equals_plain_loops(spark):
+    import random
+
+    rng = random.Random(7)
+    words = ["ok", "step 1", "step 2", "ERROR: x", "warning y", "", "E   assert", "done"]
+    texts = ["", "\n", "a", "a\na\na", "x\r\ny\ry\n"] + ["\n".join(rng.choice(words[:3] if rng.random() < 0.9 else words) for _ in range(rng.randint(1, 400))) for _ in range(30)] + ["\n".join(f"line {i} error" for i in range(2000))]
+    rows = compress.compress(spark.createDataFrame(list(enumerate(texts)), "id int, text string")).collect()
+    assert {r.id: (r.content, r.original_lines, r.repeated) for r in rows} == {i: plain_compress(t) for i, t in enumerate(texts)}
