@@ -167,7 +167,7 @@ def tree_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part("changed", got.changed).unionByName(part("caller", got.callers)).unionByName(part("test", got.tests)).unionByName(part("route", got.routes)).unionByName(part("schema", got.schemas)).unionByName(risks)
 
 
-#: Expected rows, by query; read through by hand against the tree above.
+#: Expected rows, by query: taken from the output of the engine and read through by hand against the tree above.
 EXPECTED = json.loads((Path(__file__).parent / "tree_expected.json").read_text()) if (Path(__file__).parent / "tree_expected.json").exists() else {}
 
 
