@@ -42,6 +42,14 @@ def protected(deleted: DataFrame, unreadable: list[str]) -> DataFrame:
     return deleted.withColumn("protected", below)
 
 
+def protected_below(deleted: DataFrame, issues: DataFrame) -> DataFrame:
+    """Paths of `deleted` that are issues (path) themselves or lie in a folder that is one; equal joins on every parent folder."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    each = deleted.select("path", F.explode(F.concat(above, F.array(F.lit("")))).alias("above"))
+    return each.join(issues.select(F.col("path").alias("above")).distinct(), "above", "left_semi").select("path").distinct()
+
+
 def affected(facts: DataFrame, key: str, keys: str, changed: DataFrame, own: Column) -> DataFrame:
     """Facts of which a dependency key (array `keys`) is among changed (key), or that fulfil `own`."""
     met = facts.select(key, F.explode(keys).alias("key")).join(changed.distinct(), "key", "left_semi").select(key)

@@ -12,7 +12,7 @@ from quarry.functions import text as T
 from quarry.functions.targets import with_targets
 from quarry.operators import graph as G
 from quarry.operators import search as S
-from quarry.operators.incremental import changes, keep, replace_files
+from quarry.operators.incremental import affected, changes, keep, protected_below, replace_files
 from quarry.sources import extract, scan
 
 #: Kinds of symbols that are types.
@@ -33,8 +33,14 @@ class Index:
 
 @dataclass
 class Graph:
+    """Relationships and diagnostics, and what an update needs: the facts' targets, the names that files bind to others,
+    and every relationship that a fact gives, before equal ones are united."""
+
     relationships: DataFrame
     diagnostics: DataFrame
+    targets: DataFrame | None = None
+    bindings: DataFrame | None = None
+    evidence: DataFrame | None = None
 
 
 def _extract(scanned: DataFrame, repository_id: str) -> DataFrame:
@@ -70,13 +76,17 @@ def index_of(scanned: DataFrame, repository_id: str) -> Index:
 def update_index(spark: SparkSession, root: str, before: Index, retry_failed: bool = False) -> tuple[Index, DataFrame]:
     """The index after a scan of the same tree, and (path, change): only new and changed files are extracted.
 
-    Rows of deleted files go. A file that can't be read as text keeps the rows of its last good version and is `stale`.
-    The new tables are written, so the old index may be dropped.
+    Rows of deleted files go, but not those that a scan issue may hide (`protected`: an unreadable folder or file, or one
+    that changed during the scan). A file that can't be read as text keeps the rows of its last good version and is `stale`.
+    The new tables are written, so the old index may be dropped. Postings that were built are maintained.
     """
     scanned = keep(scan.scan(spark, root, scan.ignore_layers(root)), "scanned")
     wanted = scanned.where("skip is null").select(F.col("relative_path").alias("path"), F.col("content_hash").alias("hash"))
     stored = before.files.select(F.col("relative_path").alias("path"), F.col("content_hash").alias("hash"), F.col("parse_status").alias("status"), F.lit(1).alias("version"))
-    change = keep(changes(wanted, stored, 1, retry_failed=retry_failed).select("path", "change"), "changes")
+    told = keep(changes(wanted, stored, 1, retry_failed=retry_failed).select("path", "change"), "told")
+    issues = scanned.where(F.col("skip").isin(*scan.ISSUES)).select(F.col("relative_path").alias("path"))
+    held = protected_below(told.where("change = 'deleted'").select("path"), issues)
+    change = keep(told.join(held.withColumn("_held", F.lit(True)), "path", "left").select("path", F.when(F.col("_held"), "protected").otherwise(F.col("change")).alias("change")), "changes")
     todo = scanned.join(change.where("change in ('new', 'changed')").select(F.col("path").alias("relative_path")), "relative_path", "left_semi")
     files, symbols, chunks, facts = _tables(_extract(todo, before.repository_id), before.repository_id)
     ids = before.files.select("file_id", F.col("relative_path").alias("path")).join(change, "path")
@@ -85,7 +95,17 @@ def update_index(spark: SparkSession, root: str, before: Index, retry_failed: bo
     new = [keep(replace_files(old, fresh, parsed, deleted, failed), "table") for old, fresh in ((before.files, files), (before.symbols, symbols), (before.chunks, chunks), (before.facts, facts))]
     kept = new[0].join(failed.withColumn("_failed", F.lit(True)), "file_id", "left")
     new[0] = kept.withColumn("parse_status", F.when(F.col("_failed"), "stale").otherwise(F.col("parse_status"))).drop("_failed")
-    return Index(before.repository_id, *new, search_documents(*new), scan.skip_counts(scanned)), change
+    after = Index(before.repository_id, *new, search_documents(*new), scan.skip_counts(scanned))
+    if before.postings is not None:
+        touched = parsed.union(deleted).distinct()
+        gone = before.documents.join(touched, "file_id", "left_semi").select(_entity_key().alias("key"))
+        fresh = S.build_postings(after.documents.join(touched, "file_id", "left_semi").withColumn("key", _entity_key()), "key", FIELDS)
+        after.postings = keep(before.postings.join(gone, "key", "left_anti").unionByName(fresh), "postings")
+    return after, change
+
+
+def _entity_key() -> Column:
+    return F.concat_ws(":", "entity_type", "entity_id")
 
 
 def _last_line() -> Column:
@@ -115,17 +135,79 @@ def _ends(qualified: Column, wanted: Column) -> Column:
     return (qualified == wanted) | F.endswith(qualified, F.concat(F.lit("."), wanted))
 
 
+def _targets(index: Index, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(targets of the facts with what is known of their source, diagnostics of facts that name no target)."""
+    told = keep(normalized(facts), "normalized")
+    known = facts.select(F.col("id").alias("fact_id"), F.col("kind").alias("fact_kind"), F.col("file_id").alias("source_file"), F.col("source_symbol_id").alias("source_symbol"), F.col("metadata")["receiver_type"].alias("receiver"), "target_text", "relative_path", "start_byte")
+    s = index.symbols.select(F.col("id").alias("source_symbol"), F.col("qualified_name").alias("source_qn"), F.col("kind").alias("source_kind"))
+    base = told.where("relation is not null").select("fact_id", "relation", F.posexplode("targets").alias("target_no", "t")).select("fact_id", "relation", "target_no", "t.*").join(known, "fact_id")
+    text = T.bounded(F.col("target_text"))
+    unread = told.where("reason is not null").join(known, "fact_id").select("fact_id", F.col("source_file").alias("file_id"), F.lit("unsupported").alias("reason"), "fact_kind", text.alias("raw_target"), text.alias("normalized_target"), F.lit(0).cast("long").alias("candidate_count"), F.col("reason").alias("strategy"))
+    return keep(base.join(s, "source_symbol", "left"), "targets"), unread
+
+
+def _symbols(index: Index) -> DataFrame:
+    """What of a symbol decides how targets resolve."""
+    return index.symbols.select(F.col("id").alias("symbol"), F.col("file_id").alias("file"), "name", F.col("qualified_name").alias("qn"), F.col("kind").alias("symbol_kind"), F.size("parameters").alias("n_parameters"))
+
+
 def build_graph(index: Index) -> Graph:
     """Resolves every fact's targets by tiers, all of them equal joins, and derives tested_by and overrides."""
-    repo = index.repository_id
-    told = keep(normalized(index.facts), "normalized")
-    facts = index.facts.select(F.col("id").alias("fact_id"), F.col("kind").alias("fact_kind"), F.col("file_id").alias("source_file"), F.col("source_symbol_id").alias("source_symbol"), F.col("metadata")["receiver_type"].alias("receiver"), "target_text", "relative_path", "start_byte")
-    s = index.symbols.select(F.col("id").alias("symbol"), F.col("file_id").alias("file"), "name", F.col("qualified_name").alias("qn"), F.col("kind").alias("symbol_kind"), F.size("parameters").alias("n_parameters"))
-    base = told.where("relation is not null").select("fact_id", "relation", F.posexplode("targets").alias("target_no", "t")).select("fact_id", "relation", "target_no", "t.*").join(facts, "fact_id")
-    targets = keep(base.join(s.select(F.col("symbol").alias("source_symbol"), F.col("qn").alias("source_qn"), F.col("symbol_kind").alias("source_kind")), "source_symbol", "left"), "targets")
-    key = ["fact_id", "target_no"]
-    end = F.struct("file", "symbol").alias("endpoint")
+    targets, unread = _targets(index, index.facts)
+    module, bindings = _modules(index, targets)
+    evidence, bad = _resolve(index, targets, module, bindings)
+    evidence = keep(evidence, "evidence")
+    return Graph(_united(evidence), bad.unionByName(unread), targets, bindings, evidence)
 
+
+def refresh_graph(graph: Graph, before: Index, index: Index, change: DataFrame) -> tuple[Graph, int]:
+    """The graph after update_index, and how many facts were resolved again; equal to build_graph(index).
+
+    Facts of new and changed files are read again, and of the others those whose resolution can differ: a name they mean
+    is borne by other symbols than before, a path they import came or went, a name they use is bound otherwise, or
+    methods of a type they inherit from may have changed. Which file an import means is looked up for all imports (an
+    equal join on paths). Nothing is done if no file changed.
+    """
+    moved = change.where("change in ('new', 'changed', 'deleted')")
+    if not moved.head(1):
+        return graph, 0
+    old_files, new_files = (x.files.select("file_id", F.col("relative_path").alias("path")).join(moved, "path", "left_semi") for x in (before, index))
+    touched = keep(old_files.union(new_files).select("file_id").distinct(), "touched")
+    in_touched = lambda df, c: df.join(touched.withColumnRenamed("file_id", c), c, "left_semi")
+    fresh, unread = _targets(index, in_touched(index.facts, "file_id"))
+    stay = graph.targets.join(touched.withColumnRenamed("file_id", "source_file"), "source_file", "left_anti")
+    targets = keep(stay.unionByName(fresh), "targets")
+    module, bindings = _modules(index, targets)
+
+    differing = lambda a, b: a.exceptAll(b).union(b.exceptAll(a))
+    names = differing(in_touched(_symbols(before), "file"), in_touched(_symbols(index), "file")).select("name").distinct()
+    rebound = differing(graph.bindings, bindings).select("at", "alias").union(bindings.join(names.withColumnRenamed("name", "expected"), "expected", "left_semi").select("at", "alias"))
+    paths = old_files.join(new_files, "path", "left_anti").select("path").union(new_files.join(old_files, "path", "left_anti").select("path"))
+    named = lambda kind, *parts: F.concat_ws("\u0000", F.lit(kind), *parts)
+    keys = names.select(named("name", F.col("name")).alias("key")).union(rebound.select(named("bound", F.col("at"), F.col("alias")))).union(paths.select(named("path", F.lower("path"))))
+    on = F.flatten(F.array(
+        F.array(named("name", F.col("value")), named("bound", F.col("source_file"), F.coalesce("qualifier", "value"))),
+        F.coalesce(F.transform("candidate_paths", lambda p: named("path", F.lower(p))), F.array().cast("array<string>")),
+    ))
+    redo = affected(targets.select("fact_id", on.alias("keys")), "fact_id", "keys", keys, F.lit(False))
+    heirs = in_touched(graph.evidence.where("kind in ('inherits', 'implements')"), "target_file").select("fact_id")
+    redo = keep(redo.union(heirs).union(fresh.select("fact_id")).distinct(), "redo")
+
+    gone = keep(in_touched(graph.targets, "source_file").select("fact_id").union(redo).distinct(), "gone")
+    again = targets.join(redo, "fact_id", "left_semi")
+    evidence, bad = _resolve(index, again, module.join(redo, "fact_id", "left_semi"), bindings)
+    evidence = keep(graph.evidence.join(gone, "fact_id", "left_anti").unionByName(evidence), "evidence")
+    left = graph.diagnostics.join(gone, "fact_id", "left_anti").join(touched, "file_id", "left_anti").select(graph.diagnostics.columns)
+    diagnostics = keep(left.unionByName(bad).unionByName(unread), "diagnostics")
+    return Graph(_united(evidence), diagnostics, targets, bindings, evidence), again.select("fact_id").distinct().count()
+
+
+KEY = ["fact_id", "target_no"]
+
+
+def _modules(index: Index, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(module targets resolved to files, (at, alias, expected, wild, to): the names that a file binds to another file)."""
+    key = KEY
     modules = targets.where("kind = 'module'")
     paths = index.files.select(F.lower("relative_path").alias("p"), F.col("file_id").alias("file"))
     found = modules.select(*key, F.explode("candidate_paths").alias("c")).select(*key, F.lower("c").alias("p")).join(paths, "p").select(*key, F.struct("file", F.lit(None).cast("string").alias("symbol")).alias("endpoint"))
@@ -138,8 +220,13 @@ def build_graph(index: Index) -> Graph:
     # through a named re-export by file and name, through all star re-exports by file
     hop = opened.join(again.withColumn("expected", F.col("as")), ["to", "expected"]).unionByName(opened.join(again.where("as = '*'"), "to").select("to", "expected", "at", "alias", "imported_name", "wild", "as", "inner", "next"), allowMissingColumns=True)
     hop = hop.select("at", "alias", F.coalesce("inner", "expected").alias("expected"), F.col("inner").isNull().alias("wild"), F.col("next").alias("to"))
-    bindings = keep(opened.select("at", "alias", "expected", "wild", "to").unionByName(hop).distinct(), "bindings")
+    return module, keep(opened.select("at", "alias", "expected", "wild", "to").unionByName(hop).distinct(), "bindings")
+
 
+def _resolve(index: Index, targets: DataFrame, module: DataFrame, bindings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(relationships that the targets give, diagnostics of those that resolve to none or several)."""
+    repo, key, s = index.repository_id, KEY, _symbols(index)
+    end = F.struct("file", "symbol").alias("endpoint")
     t = targets.where("kind = 'symbol'")
     allowed = ~F.col("relation").isin("inherits", "implements", "uses_schema") | F.col("symbol_kind").isin(TYPE_KINDS)
     by_file = [t["source_file"] == s["file"], t["value"] == s["name"]]
@@ -191,11 +278,14 @@ def build_graph(index: Index) -> Graph:
     every = hit.unionByName(tested).unionByName(overrides)
     text = lambda c: F.coalesce(c, F.lit(""))
     every = every.withColumn("id", T.stable_id(F.lit("relationship"), F.lit(repo), F.col("source_file"), text("source_symbol"), F.col("target_file"), text("target_symbol"), F.col("kind")))
-    first = every.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy("relative_path", "start_byte", "fact_id", "target_no"))).where("_k = 1")
-    relationships = first.select("id", "fact_id", "source_file", "source_symbol", "target_file", "target_symbol", "kind", "confidence", "resolution_strategy", "raw_target", "normalized_target")
     bad = resolved.where("status <> 'resolved'").select("fact_id", F.col("source_file").alias("file_id"), F.col("status").alias("reason"), "fact_kind", T.bounded(F.col("target_text")).alias("raw_target"), label.alias("normalized_target"), "candidate_count", "strategy")
-    unread = told.where("reason is not null").join(facts, "fact_id").select("fact_id", F.col("source_file").alias("file_id"), F.lit("unsupported").alias("reason"), "fact_kind", T.bounded(F.col("target_text")).alias("raw_target"), T.bounded(F.col("target_text")).alias("normalized_target"), F.lit(0).cast("long").alias("candidate_count"), F.col("reason").alias("strategy"))
-    return Graph(relationships, bad.unionByName(unread))
+    return every.select("id", "fact_id", "source_file", "source_symbol", "target_file", "target_symbol", "kind", "confidence", "resolution_strategy", "raw_target", "normalized_target", "relative_path", "start_byte", "target_no"), bad
+
+
+def _united(evidence: DataFrame) -> DataFrame:
+    """One row for each relationship, from the first fact in order of place."""
+    first = evidence.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy("relative_path", "start_byte", "fact_id", "target_no"))).where("_k = 1")
+    return first.select("id", "fact_id", "source_file", "source_symbol", "target_file", "target_symbol", "kind", "confidence", "resolution_strategy", "raw_target", "normalized_target")
 
 
 def edges_of(graph: Graph) -> DataFrame:
@@ -209,7 +299,7 @@ _ORDER = ["relative_path", "start_line", "entity_type", "entity_id"]
 
 def postings_of(documents: DataFrame) -> DataFrame:
     """The inverted index of search documents, written once; a key is the entity's type and id."""
-    return keep(S.build_postings(documents.withColumn("key", F.concat_ws(":", "entity_type", "entity_id")), "key", FIELDS), "postings")
+    return keep(S.build_postings(documents.withColumn("key", _entity_key()), "key", FIELDS), "postings")
 
 
 def search_many(index: Index, queries: list[str], limit: int = 20) -> DataFrame:
@@ -222,7 +312,7 @@ def search_many(index: Index, queries: list[str], limit: int = 20) -> DataFrame:
         raise ValueError("search_query_invalid")
     asked = spark.createDataFrame([(i, q.strip()) for i, q in enumerate(queries)], "query_id int, query string")
     asked = asked.withColumn("terms", T.search_terms(F.col("query"))).where(F.size("terms") > 0)
-    docs = index.documents.withColumn("key", F.concat_ws(":", "entity_type", "entity_id"))
+    docs = index.documents.withColumn("key", _entity_key())
     few = F.broadcast(asked.select("query_id", "query"))  # the caller's queries
     symbols = docs.where("entity_type = 'symbol'")
     named = symbols.join(few, symbols["name"] == few["query"]).unionByName(symbols.join(few, (symbols["qualified_name"] == few["query"]) & ~symbols["name"].eqNullSafe(symbols["qualified_name"])))

@@ -107,15 +107,29 @@ def skip_reason(path: Column, length: Column, content: Column, layers: dict[str,
     )
 
 
+#: Skips that say nothing of whether a file is there.
+ISSUES = ["unreadable", "changed_during_scan"]
+
+
 def list_tree(root: str) -> list[tuple[str, int, float, str | None]]:
-    """(relative path, bytes, modification time, skip) of every file in order of path; excluded folders aren't entered."""
+    """(relative path, bytes, modification time, skip) of every file in order of path; excluded folders aren't entered.
+
+    A folder that can't be listed is a row of its own, `unreadable`; the root must be readable.
+    """
     from pyarrow import fs
 
     system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), os.path.abspath(root))
     local, found, todo = isinstance(system, fs.LocalFileSystem), [], [base]
     while todo:
         folder = todo.pop()
-        for x in system.get_file_info(fs.FileSelector(folder)):
+        try:
+            inside = system.get_file_info(fs.FileSelector(folder))
+        except OSError:
+            if folder == base:
+                raise
+            found.append((folder[len(base) :].lstrip("/"), 0, 0.0, "unreadable"))
+            continue
+        for x in inside:
             path = x.path[len(base) :].lstrip("/")
             if local and os.path.islink(x.path):
                 found.append((path, 0, 0.0, "symlink"))
@@ -139,10 +153,16 @@ def scan(spark: SparkSession, root: str, layers: dict[str, list[str]] | None = N
         system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), os.path.abspath(root))
         for batch in batches:
             for r in batch.to_pylist():
-                content = None
+                content, path = None, f"{base}/{r['relative_path']}"
                 if r["listed"] is None and r["size_bytes"] <= max_bytes:
-                    with system.open_input_file(f"{base}/{r['relative_path']}") as f:
-                        content = f.read()
+                    try:
+                        with system.open_input_file(path) as f:
+                            content = f.read()
+                        now = system.get_file_info(path)
+                        if len(content) != r["size_bytes"] or (now.mtime.timestamp() if now.mtime else 0.0) != r["modified_at"]:
+                            content, r["listed"] = None, "changed_during_scan"
+                    except OSError:
+                        content, r["listed"] = None, "unreadable"
                 yield pa.RecordBatch.from_pylist([r | {"content": content}], schema=batch.schema.append(pa.field("content", pa.binary())))
 
     rows = spark.createDataFrame([(p, n, t, s) for p, n, t, s in listed], "relative_path string, size_bytes long, modified_at double, listed string")
