@@ -15,7 +15,8 @@ from quarry.operators import search as S
 from quarry.operators.incremental import affected, changes, keep, protected_below, replace_files
 from quarry.sources import extract, scan
 
-#: Kinds of symbols that are types.
+#: Relations; kinds of symbols that are types.
+RELATIONS = ["imports", "exports", "calls", "inherits", "implements", "overrides", "tested_by", "uses_schema", "configured_by"]
 TYPE_KINDS = ["class", "interface", "enum", "mixin", "extension", "type_alias"]
 
 
@@ -43,6 +44,11 @@ class Graph:
     evidence: DataFrame | None = None
 
 
+def languages() -> dict[str, str]:
+    """How each language is read."""
+    return {x: "ast" if x == "python" else "scanner" for x in sorted(set(scan.LANGUAGES.values()))}
+
+
 def _extract(scanned: DataFrame, repository_id: str) -> DataFrame:
     """Extraction written once, so that every table reads it."""
     return keep(extract.extract_files(scanned).withColumn("file_id", T.stable_id(F.lit("file"), F.lit(repository_id), F.col("relative_path"))), "extracted")

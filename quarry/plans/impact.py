@@ -36,8 +36,8 @@ def changed_symbols(index: code_index.Index, hunks: DataFrame) -> DataFrame:
     return met.select("id", "relative_path", "kind", "name", "qualified_name", "start_line", "end_line", (F.col("metadata")["is_route"] == "true").alias("is_route")).distinct()
 
 
-def analyze(index: code_index.Index, graph: code_index.Graph, patch: str, expected: list[str] | None = None, max_hunks: int = 1000) -> Impact:
-    """The impact of a unified diff. Paths outside `expected` are unrelated changes, if any were expected."""
+def analyze(index: code_index.Index, graph: code_index.Graph, patch: str, expected: list[str] | None = None, max_hunks: int = 1000, bundle: context.Bundle | None = None) -> Impact:
+    """The impact of a unified diff. Paths outside `expected` and the task's bundle are unrelated changes, if there are any such."""
     spark = index.files.sparkSession
     found = keep(diff.hunks(spark.createDataFrame([(0, patch)], "id int, text string"), max_hunks=max_hunks + 1), "hunks")
     hunks, truncated = found.where(F.col("hunk_no") <= max_hunks), bool(found.where(F.col("hunk_no") > max_hunks).head(1))
@@ -53,6 +53,7 @@ def analyze(index: code_index.Index, graph: code_index.Graph, patch: str, expect
     schemas = changed.where(T.is_schema_name(F.col("kind"), F.col("qualified_name")))
     paths = hunks.select("relative_path").distinct()
     unrelated = paths.where(F.lit(False))
+    expected = [*(expected or []), *({r["relative_path"] for r in bundle.ranked} if bundle else [])]
     if expected:
         known = spark.createDataFrame([(p.lower(),) for p in expected], "p string")
         unrelated = paths.join(known, F.lower("relative_path") == F.col("p"), "left_anti")
@@ -60,9 +61,9 @@ def analyze(index: code_index.Index, graph: code_index.Graph, patch: str, expect
     return Impact(hunks, changed, callers, tests, routes, schemas, risks)
 
 
-def expand(index: code_index.Index, graph: code_index.Graph, task: str, focus: list[str], known_hashes: list[str], max_tokens: int = 3000) -> context.Bundle:
+def expand(index: code_index.Index, graph: code_index.Graph, task: str, focus: list[str], known_hashes: list[str], max_tokens: int = 3000, root: str | None = None) -> context.Bundle:
     """A focused bundle without what the caller already has."""
-    bundle = context.resolve(index, graph, task, focus, max_tokens)
+    bundle = context.resolve(index, graph, task, focus, max_tokens, root)
     known = set(known_hashes)
     bundle.snippets = [s for s in bundle.snippets if s["content_hash"] not in known]
     bundle.budget["used"] = sum(s["tokens"] for s in bundle.snippets)

@@ -53,3 +53,55 @@ def test_fill_takes_each_content_once_and_reserves_roles():
     items = [item("a", "primary", 0.9, "x" * 400), item("b", "caller", 0.2, "y" * 400), item("c", "dependency", 0.8, "z" * 40_000), item("d", "test", 0.1, "t" * 400)]
     taken, budget = context.fill(items, 1000)
     assert [t["content_hash"] for t in taken] == ["a", "b", "d"] and budget["omitted"] == 1
+
+
+def test_two_steps_away(spark, built):
+    index, g = built
+    tally = index.symbols.where("qualified_name = 'tally'").first()["id"]
+    rows = context.stage_two(index, g, [tally], depth=2, roles=["caller"]).select("qualified_name", "distance", "role").collect()
+    assert {("Invoice.total", 1, "caller"), ("close_order", 2, "caller")} <= {tuple(r) for r in rows}
+
+
+def test_doubt_widens_once(built):
+    """Nothing is called as asked, so the first pass is in doubt; the second one adds only what is new."""
+    got = context.resolve(*built, "explain invoice rounding", max_tokens=1000)
+    assert got.expansions == 1 and ("widened" in got.reasons or got.status == "accepted") and 0 <= got.initial_confidence < context.THRESHOLD
+    assert len({(r["entity_type"], r["entity_id"]) for r in got.ranked}) == len(got.ranked)
+
+
+def test_without_a_graph(built):
+    got = context.resolve(built[0], None, "Fix the rounding bug in tally", max_tokens=1000)
+    assert "graph_unavailable" in [d["code"] for d in got.diagnostics] and "retrieval_degraded" in got.reasons and got.status == "degraded"
+
+
+def judged(value, *reasons):
+    return context.Judged(value, list(reasons), [], [])
+
+
+@pytest.mark.parametrize(
+    ("had", "has", "before", "wanted"),
+    [
+        (["primary", "test"], ["primary"], judged(0.9, "unique_target"), (0.79, "degraded", ["missing_roles", "unique_target"], ["test"])),
+        (["primary", "test"], ["primary", "test"], judged(0.7, "missing_roles", "unique_target"), (0.80, "accepted", ["unique_target"], [])),
+        (["primary"], ["primary"], judged(0.7, "ambiguous_target"), (0.7, "degraded", ["ambiguous_target"], [])),
+        (["primary"], ["primary"], judged(0.95, "unique_target"), (0.95, "accepted", ["unique_target"], [])),
+    ],
+)
+def test_confidence_after_the_choice(had, has, before, wanted):
+    value, *rest = context.after_choice(before, [{"roles": had}], [{"roles": has}])
+    assert (round(value, 9), *rest) == wanted
+
+
+def test_next_actions():
+    f = context.next_action
+    assert f(["missing_primary"], [], "degraded", {"index_stale"}, "a", False) == "refresh_index"
+    assert f(["ambiguous_target"], ["test"], "degraded", set(), "a", False) == "manual_fallback"
+    assert f([], ["test"], "degraded", set(), "a", False) == "expand" and f([], ["test"], "degraded", set(), None, False) == "manual_fallback"
+    assert f([], [], "degraded", set(), "a", True) == "expand" and f([], [], "accepted", set(), "a", True) == "none"
+    assert f([], [], "accepted", {"graph_unavailable"}, "a", False) == "manual_fallback"
+
+
+def test_diagnostics_are_bounded():
+    rows = [context.diagnostic("role_missing", f"m{i % 40:02}", "test") for i in range(80)]
+    got = context.bounded_diagnostics(rows)
+    assert len(got) == context.DIAGNOSTICS and got[0]["message"] == "m00" and got == sorted(got, key=lambda r: r["message"])
