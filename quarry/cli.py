@@ -15,6 +15,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry import logs
 from quarry.settings import EXIT_CODES, EngineError, Registry, describe, load_settings
 
 
@@ -28,6 +29,8 @@ def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quarry")
     p.add_argument("--home", default=os.environ.get("QUARRY_HOME", str(Path.home() / ".quarry")), help="folder of known repositories")
     p.add_argument("--store", default=os.environ.get("QUARRY_STORE"), help="folder or address of the tables; below --home if not given")
+    p.add_argument("--log-level", default="WARNING", choices=["DEBUG", "INFO", "WARNING", "ERROR"], help="stages and runs are logged at INFO")
+    p.add_argument("--log-json", action="store_true", help="log records as JSON")
     p.add_argument("--repository", help="id or path; the active one if not given")
     top = p.add_subparsers(dest="command", required=True)
     top.add_parser("init")
@@ -87,6 +90,9 @@ def walk(index, graph, target: str, depth: int, limit: int, direction: str, kind
     known = set(code_index.RELATIONS)
     if not set(kinds) <= known:
         raise EngineError("graph_query_invalid", f"no such relation: {', '.join(sorted(set(kinds) - known))}")
+    if not 1 <= depth <= 5 or not 1 <= limit <= 500:
+        raise EngineError("graph_query_invalid", "depth is 1 to 5 and limit 1 to 500")
+    code_index.same_repository(index, graph)
     root = spark.createDataFrame([("0", code_index.find_node(index, target))], "job string, node string")
     taken, reached = G.traverse(code_index.edges_of(graph), root, depth, limit, direction, kinds)
     symbols = index.symbols.select(F.col("id").alias("node"), F.lit("symbol").alias("node_type"), "relative_path", "qualified_name", "start_line")
@@ -152,8 +158,10 @@ def run(args: argparse.Namespace) -> object:
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     show = lambda x: print(json.dumps(x, ensure_ascii=False, sort_keys=True, default=str))
+    logs.configure(args.log_level, args.log_json)
     try:
-        show(run(args))
+        with logs.operation():
+            show(run(args))
         return 0
     except ValueError as e:
         code = getattr(e, "code", str(e))

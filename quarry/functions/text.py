@@ -98,9 +98,13 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(F.coalesce(text, F.lit(""))), *_accents())
 
 
+#: Fixed value: what an index token is.
+TOKEN = r"(?U)[\p{L}\p{N}\p{Co}_]+"
+
+
 def tokens(text: Column) -> Column:
     """Index tokens: runs of letters, digits and underscores, lower-cased and without accents."""
-    return _all(folded(text), r"(?U)[\p{L}\p{N}\p{Co}_]+", 0)
+    return _all(folded(text), TOKEN, 0)
 
 
 def rank_score(bm25: Column) -> Column:
@@ -155,14 +159,26 @@ def lexical_queries(qualified: Column, phrases: Column, idents: Column) -> Colum
     return F.slice(F.array_distinct(F.concat(led, wide, pairs)), 1, MAX_LEXICAL)
 
 
+def _asked(*parts: Column) -> tuple[Column, Column]:
+    """(all values that a task could search for, those of them that a search takes)."""
+    asked = F.transform(F.concat(*parts), lambda x: F.trim(x))
+    return asked, F.filter(asked, lambda x: (F.length(x) > 0) & (F.length(x) <= MAX_QUERY) & x.rlike(r"(?U)[\p{L}\p{N}]"))
+
+
 def planned_queries(focus: Column, qualified: Column, paths: Column, phrases: Column, lexical: Column, task: Column) -> Column:
     """Search queries of a task in order, distinct, at most MAX_PLANNED; its first words if nothing else is left."""
-    usable = F.filter(F.transform(F.concat(focus, qualified, paths, phrases, lexical), lambda x: F.trim(x)), lambda x: (F.length(x) > 0) & (F.length(x) <= MAX_QUERY) & x.rlike(r"(?U)[\p{L}\p{N}]"))
+    _, usable = _asked(focus, qualified, paths, phrases, lexical)
     some = F.slice(F.array_distinct(usable), 1, MAX_PLANNED)
     words = F.substring(F.array_join(F.slice(_all(task, r"(?U)\w+", 0), 1, MAX_TERMS), " "), 1, MAX_QUERY)
     return F.when(F.size(some) > 0, some).otherwise(F.filter(F.array(words), lambda x: x != ""))
 
 
+def discarded_inputs(focus: Column, qualified: Column, paths: Column, phrases: Column, lexical: Column) -> Column:
+    """How many values planned_queries leaves out: those that no search takes, and distinct ones beyond MAX_PLANNED."""
+    asked, usable = _asked(focus, qualified, paths, phrases, lexical)
+    return F.size(asked) - F.size(usable) + F.greatest(F.size(F.array_distinct(usable)) - MAX_PLANNED, F.lit(0))
+
+
 # --- paths and code targets -----------------------------------------------------------------------------------------
 
 

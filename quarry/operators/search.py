@@ -17,6 +17,9 @@ from quarry.operators.incremental import keep
 K1, B = 1.2, 0.75
 WEIGHTS = {"path": 2.0, "name": 8.0, "qualified_name": 6.0, "signature": 4.0, "body": 1.0}
 LEAST_IDF = 1e-6
+#: Tokens of a highlighted snippet, what stands for text left out, worth of a term's first match and of a window
+#: that begins with the text or with a sentence.
+SNIPPET_TOKENS, LEFT_OUT, FIRST_MATCH, AT_TEXT, AT_SENTENCE = 18, " … ", 1000, 120, 100
 #: Terms of all queries up to which they are sent to every executor.
 BROADCAST_TERMS = 20_000
 
@@ -94,6 +97,50 @@ def statistics(postings: DataFrame) -> DataFrame:
     return postings.groupBy("key").agg(F.max("length").alias("length")).agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
 
 
+def highlights(rows: DataFrame, text: str, terms: str, out: str, n: int = SNIPPET_TOKENS) -> DataFrame:
+    """Rows with `out`: the n tokens of a text that hold most of the terms, tokens that begin with one in brackets.
+
+    A window lies around the matches that follow one of them, or begins with that match's sentence. It is worth FIRST_MATCH for
+    each term that is met and 1 for each further match, more at the begin of a text or sentence; the first of the best is
+    shown. Without a match it is the text's begin; null or empty texts give the empty text. Meant for rows that are shown.
+    """
+    no = F.array().cast("array<int>")
+    upto = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(no)
+    told = rows.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("_terms", F.transform(terms, T.folded))
+    told = told.withColumn("_words", F.regexp_extract_all("_text", F.lit(T.TOKEN), F.lit(0))).withColumn("_gaps", F.split("_text", T.TOKEN, -1))
+    told = told.withColumn("_plain", F.transform("_words", T.folded)).withColumn("_n", F.size("_words"))
+    hit = lambda i: F.exists("_terms", lambda t: F.get("_plain", i).startswith(t))
+    told = told.withColumn("_hits", F.filter(upto(F.col("_n")), hit))
+    told = told.withColumn("_starts", F.filter(upto(F.col("_n")), lambda i: (i == 0) | F.get("_gaps", i).rlike("[.:][ \\t\\n\\r]+$")))
+
+    def worth(at: Column) -> Column:
+        window = F.slice("_plain", at + 1, F.lit(n))
+        met = F.transform("_terms", lambda t: F.size(F.filter(window, lambda w: w.startswith(t))))
+        return F.aggregate(met, F.lit(0), lambda total, k: total + F.when(k > 0, FIRST_MATCH - 1 + k).otherwise(0))
+
+    def around(at: Column) -> Column:
+        last = F.array_max(F.filter("_hits", lambda i: (i >= at) & (i < at + n)))
+        begin = at - F.floor((n - (last + 1 - at)) / 2).cast("int")
+        return F.greatest(F.least(begin, F.col("_n") - n), F.lit(0))
+
+    def windows(at: Column, turn: Column) -> Column:
+        sentence = F.array_max(F.filter("_starts", lambda i: i <= at))
+        bonus = F.when(F.col("_n") <= n, 0).when(sentence == 0, AT_TEXT).otherwise(AT_SENTENCE)
+        one = lambda value, order, begin: F.struct(value.alias("value"), order.alias("order"), begin.alias("begin"))
+        near = one(worth(at), -2 * turn, around(at))
+        return F.when(sentence < at, F.array(near, one(worth(sentence) + bonus, -2 * turn - 1, sentence))).otherwise(F.array(near))
+
+    best = F.array_max(F.flatten(F.transform("_hits", windows)))
+    told = told.withColumn("_begin", F.when(F.size("_hits") > 0, best["begin"]).otherwise(0))
+    told = told.withColumn("_end", F.least(F.col("_begin") + n, F.col("_n")))
+    word = lambda i: F.when(hit(i), F.concat(F.lit("["), F.get("_words", i), F.lit("]"))).otherwise(F.get("_words", i))
+    led = lambda i: F.concat(F.when(i == F.col("_begin"), "").otherwise(F.get("_gaps", i)), word(i))
+    shown = F.array_join(F.transform(F.filter(upto(F.col("_n")), lambda i: (i >= F.col("_begin")) & (i < F.col("_end"))), led), "")
+    before = F.when(F.col("_begin") > 0, LEFT_OUT).otherwise(F.get("_gaps", F.lit(0)))
+    after = F.when(F.col("_end") < F.col("_n"), LEFT_OUT).when(F.col("_n") > 0, F.get("_gaps", F.col("_n"))).otherwise("")
+    return told.withColumn(out, F.concat(before, shown, after)).drop("_text", "_terms", "_words", "_gaps", "_plain", "_n", "_hits", "_starts", "_begin", "_end")
+
+
 def exact_then_text(exact: DataFrame, text: DataFrame, identity: list[str], order: list[str], limit: int, request: list[str] = ()) -> DataFrame:  # noqa: B006
     """Exact hits first, then text hits in their order; the first of each identity stays, `limit` in all; adds `position`.
 

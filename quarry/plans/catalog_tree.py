@@ -77,7 +77,7 @@ def built(spark: SparkSession) -> _Built:
         _built.clear()
         index = code_index.index_of(scanned(spark, {k: v.encode() for k, v in TREE.items()} | RAW), "tree")
         graph = code_index.build_graph(index)
-        _built[key] = _Built(index, code_index.Graph(I.keep(graph.relationships, "tree-edges"), I.keep(graph.diagnostics, "tree-diagnostics")))
+        _built[key] = _Built(index, code_index.Graph(I.keep(graph.relationships, "tree-edges"), I.keep(graph.diagnostics, "tree-diagnostics"), repository_id="tree"))
     return _built[key]
 
 

@@ -13,6 +13,7 @@ from quarry.functions.targets import with_targets
 from quarry.operators import graph as G
 from quarry.operators import search as S
 from quarry.operators.incremental import affected, changes, keep, protected_below, replace_files
+from quarry.settings import EngineError
 from quarry.sources import extract, scan
 
 #: Relations; kinds of symbols that are types.
@@ -42,6 +43,13 @@ class Graph:
     targets: DataFrame | None = None
     bindings: DataFrame | None = None
     evidence: DataFrame | None = None
+    repository_id: str | None = None
+
+
+def same_repository(index: Index, graph: Graph | None) -> None:
+    """Refuses a graph that was built for another repository than the index; one that names none passes."""
+    if graph is not None and graph.repository_id not in (None, index.repository_id):
+        raise EngineError("path_outside_repository", f"a graph of {graph.repository_id} for an index of {index.repository_id}")
 
 
 def languages() -> dict[str, str]:
@@ -163,7 +171,7 @@ def build_graph(index: Index) -> Graph:
     module, bindings = _modules(index, targets)
     evidence, bad = _resolve(index, targets, module, bindings)
     evidence = keep(evidence, "evidence")
-    return Graph(_united(evidence), bad.unionByName(unread), targets, bindings, evidence)
+    return Graph(_united(evidence), bad.unionByName(unread), targets, bindings, evidence, index.repository_id)
 
 
 def refresh_graph(graph: Graph, before: Index, index: Index, change: DataFrame) -> tuple[Graph, int]:
@@ -174,6 +182,7 @@ def refresh_graph(graph: Graph, before: Index, index: Index, change: DataFrame)
     methods of a type they inherit from may have changed. Which file an import means is looked up for all imports (an
     equal join on paths). Nothing is done if no file changed.
     """
+    same_repository(index, graph)
     moved = change.where("change in ('new', 'changed', 'deleted')")
     if not moved.head(1):
         return graph, 0
@@ -205,7 +214,7 @@ def refresh_graph(graph: Graph, before: Index, index: Index, change: DataFrame)
     evidence = keep(graph.evidence.join(gone, "fact_id", "left_anti").unionByName(evidence), "evidence")
     left = graph.diagnostics.join(gone, "fact_id", "left_anti").join(touched, "file_id", "left_anti").select(graph.diagnostics.columns)
     diagnostics = keep(left.unionByName(bad).unionByName(unread), "diagnostics")
-    return Graph(_united(evidence), diagnostics, targets, bindings, evidence), again.select("fact_id").distinct().count()
+    return Graph(_united(evidence), diagnostics, targets, bindings, evidence, index.repository_id), again.select("fact_id").distinct().count()
 
 
 KEY = ["fact_id", "target_no"]
@@ -331,7 +340,9 @@ def search_many(index: Index, queries: list[str], limit: int = 20) -> DataFrame:
     top = place.withColumn("_k", best).where(F.col("_k") <= 2 * limit).select("query_id", "key", "bm25")
     text = docs.join(F.broadcast(top), "key").join(few, "query_id").withColumn("score", F.round(T.rank_score(F.col("bm25")), 6)).withColumn("strength", -F.col("bm25")).select(*exact.columns)
     shown = S.exact_then_text(exact, text, ["entity_type", "entity_id"], ["strength", *_ORDER], limit, ["query_id"])
-    return shown.select("query_id", "query", "position", "entity_type", "entity_id", "kind", "relative_path", "name", "qualified_name", "start_line", "end_line", "score", T.snippet(F.col("body"), F.col("signature"), F.col("qualified_name"), F.col("name"), F.col("relative_path")).alias("snippet"))
+    shown = S.highlights(shown.join(F.broadcast(asked.select("query_id", "terms")), "query_id"), "body", "terms", "marked")
+    body = F.when(F.col("phase") == 0, F.col("body")).otherwise(F.col("marked"))
+    return shown.select("query_id", "query", "position", "entity_type", "entity_id", "kind", "relative_path", "name", "qualified_name", "start_line", "end_line", "score", T.snippet(body, F.col("signature"), F.col("qualified_name"), F.col("name"), F.col("relative_path")).alias("snippet"))
 
 
 def search(index: Index, query: str, limit: int = 20) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.logs import stage_log
 from quarry.operators import evidence as E
 from quarry.operators.incremental import keep
 from quarry.plans import code_index
@@ -65,8 +66,8 @@ class Bundle:
     recommended_focus: str | None = None
 
 
-def diagnostic(code: str, message: str, role: str | None = None) -> dict:
-    return {"code": code, "severity": "warning", "role": role, "message": message}
+def diagnostic(code: str, message: str, role: str | None = None, severity: str = "warning") -> dict:
+    return {"code": code, "severity": severity, "role": role, "message": message}
 
 
 def bounded_diagnostics(rows: list[dict]) -> list[dict]:
@@ -85,13 +86,14 @@ def tokens(text: str) -> int:
 
 def resolve_task(index: code_index.Index, task: str, focus: list[str]) -> dict:
     """The task's parts and its planned searches, by the column functions, on one row."""
-    if not task.strip() or len(task) > 4000 or not any(c.isalnum() for c in task) or len(focus) > 10:
+    if not task.strip() or len(task) > 4000 or not any(c.isalnum() for c in task) or len(focus) > 10 or any(len(f) > 500 for f in focus):
         raise ValueError("context_request_invalid")
     t = F.col("task")
     one = index.files.sparkSession.createDataFrame([(task.strip(), [f.strip() for f in focus if f.strip()])], "task string, focus array<string>")
     parts = one.select("task", F.array_distinct("focus").alias("focus"), T.qualified_identifiers(t).alias("qualified"), T.identifiers(t).alias("identifiers"), T.path_candidates(t).alias("paths"), T.quoted_phrases(t).alias("phrases"), T.task_action(t).alias("action"))
     told = parts.withColumn("lexical", T.lexical_queries(F.col("qualified"), F.col("phrases"), F.col("identifiers")))
-    return told.withColumn("planned", T.planned_queries(F.col("focus"), F.col("qualified"), F.col("paths"), F.col("phrases"), F.col("lexical"), t)).first().asDict()
+    values = [F.col(c) for c in ("focus", "qualified", "paths", "phrases", "lexical")]
+    return told.withColumn("planned", T.planned_queries(*values, t)).withColumn("discarded", T.discarded_inputs(*values)).first().asDict()
 
 
 def stage_one(index: code_index.Index, queries: list[str]) -> DataFrame:
@@ -309,14 +311,20 @@ def resolve(index: code_index.Index, graph: code_index.Graph | None, task: str,
     """
     if not 256 <= max_tokens <= 12_000:
         raise ValueError("context_request_invalid")
+    code_index.same_repository(index, graph)
     spark = index.files.sparkSession
-    parts = resolve_task(index, task, focus or [])
+    with stage_log("task") as counts:
+        parts = resolve_task(index, task, focus or [])
+        counts["queries"] = len(parts["planned"])
     queries, notes = list(parts["planned"]), []
+    if parts["discarded"]:
+        notes.append(diagnostic("input_discarded", "some searches that the task asks for were left out by bounds", severity="info"))
     if not queries:
         return Bundle(task, parts["action"], [], [], 0.0, ["missing_primary"], E.EXPECTED_ROLES[parts["action"]], next_action="manual_fallback")
     if graph is None:
         notes.append(diagnostic("graph_unavailable", "there is no graph of the repository"))
-    found = keep(stage_one(index, queries), "stage-one")
+    with stage_log("search"):
+        found = keep(stage_one(index, queries), "stage-one")
     wanted = [q.lower() for q in queries if len(q) >= 6]
     leaf = F.lower(F.regexp_extract("relative_path", r"([^/]*)$", 1))
     fits = T.any_of([leaf.contains(q) for q in wanted])
@@ -343,22 +351,30 @@ def resolve(index: code_index.Index, graph: code_index.Graph | None, task: str,
         seen = [r.asDict() for r in evidence.select("entity_type", "entity_id", "evidence", "seed").distinct().limit(CANDIDATES * E.MAX_EVIDENCE).collect()]
         return rows, top, assess(spark, top, seen, parts["action"], notes, widened)
 
-    evidence = keep(found.unionByName(stage_two(index, graph, seeds)) if seeds and graph else found, "evidence")
-    rows, top, judged = judge(evidence, False)
+    with stage_log("graph") as counts:
+        counts["seeds"] = len(seeds)
+        evidence = keep(found.unionByName(stage_two(index, graph, seeds)) if seeds and graph else found, "evidence")
+    with stage_log("rank") as counts:
+        rows, top, judged = judge(evidence, False)
+        counts["candidates"] = len(top)
     initial, expansions = judged.value, 0
-    truncated = evidence.select("entity_type", "entity_id").distinct().count() > CANDIDATES
+    truncated = parts["discarded"] > 0 or evidence.select("entity_type", "entity_id").distinct().count() > CANDIDATES
     if judged.value < THRESHOLD:
         expansions = 1
-        if graph and judged.in_doubt:
-            known = evidence.select("entity_type", "entity_id").distinct()
-            new = stage_two(index, graph, judged.in_doubt, 2, judged.missing or E.EXPECTED_ROLES[parts["action"]]).join(known, ["entity_type", "entity_id"], "left_anti")
-            evidence = keep(evidence.unionByName(new), "widened")
-        rows, top, judged = judge(evidence, True)
-
-    prepared = [r.asDict() for r in materialize(index, rows).collect()]
-    if patch:
-        prepared += relevant_hunks(index, patch, top, [*parts["paths"], *parts["focus"]])[0]
-    snippets, budget = fill(prepared, max_tokens)
+        with stage_log("widen") as counts:
+            if graph and judged.in_doubt:
+                known = evidence.select("entity_type", "entity_id").distinct()
+                new = stage_two(index, graph, judged.in_doubt, 2, judged.missing or E.EXPECTED_ROLES[parts["action"]]).join(known, ["entity_type", "entity_id"], "left_anti")
+                evidence = keep(evidence.unionByName(new), "widened")
+            rows, top, judged = judge(evidence, True)
+            counts["candidates"] = len(top)
+
+    with stage_log("choose") as counts:
+        prepared = [r.asDict() for r in materialize(index, rows).collect()]
+        if patch:
+            prepared += relevant_hunks(index, patch, top, [*parts["paths"], *parts["focus"]])[0]
+        snippets, budget = fill(prepared, max_tokens)
+        counts |= {"snippets": len(snippets), "tokens": budget["used"]}
     value, status, reasons, missing = after_choice(judged, prepared, snippets)
     has, meant = {r for s in snippets for r in s["roles"]}, {r for t in top for r in t["roles"]}
     for role in sorted({*missing, *(meant - has)}, key=E.ROLE_PRIORITY.get):

@@ -38,6 +38,7 @@ def changed_symbols(index: code_index.Index, hunks: DataFrame) -> DataFrame:
 
 def analyze(index: code_index.Index, graph: code_index.Graph, patch: str, expected: list[str] | None = None, max_hunks: int = 1000, bundle: context.Bundle | None = None) -> Impact:
     """The impact of a unified diff. Paths outside `expected` and the task's bundle are unrelated changes, if there are any such."""
+    code_index.same_repository(index, graph)
     spark = index.files.sparkSession
     found = keep(diff.hunks(spark.createDataFrame([(0, patch)], "id int, text string"), max_hunks=max_hunks + 1), "hunks")
     hunks, truncated = found.where(F.col("hunk_no") <= max_hunks), bool(found.where(F.col("hunk_no") > max_hunks).head(1))

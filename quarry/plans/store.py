@@ -13,6 +13,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.logs import log
 from quarry.plans import code_index
 from quarry.settings import EngineError
 
@@ -84,7 +85,7 @@ class Store:
         if generation is None:
             raise EngineError("database_not_initialized", f"{repository_id} has no index")
         table = lambda name: self.spark.read.parquet(self._folder(name, repository_id, generation))
-        return code_index.Index(repository_id, *[table(n) for n in INDEX]), code_index.Graph(*[table(n) for n in GRAPH])
+        return code_index.Index(repository_id, *[table(n) for n in INDEX]), code_index.Graph(*[table(n) for n in GRAPH], repository_id=repository_id)
 
     def build(self, repository_id: str, root: str, full: bool = False, retry_failed: bool = False) -> dict:
         """Scans the tree and writes the next generation: from the last one, or from nothing if there is none or `full`.
@@ -100,6 +101,7 @@ class Store:
         def enter(state: str, **more) -> None:  # noqa: ANN003
             nonlocal seq
             seq += 1
+            log.info("run %s of %s: %s", number, repository_id, state)
             self._log(repository_id, number, seq, state, **more)
 
         try:

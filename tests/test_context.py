@@ -105,3 +105,19 @@ def test_diagnostics_are_bounded():
     rows = [context.diagnostic("role_missing", f"m{i % 40:02}", "test") for i in range(80)]
     got = context.bounded_diagnostics(rows)
     assert len(got) == context.DIAGNOSTICS and got[0]["message"] == "m00" and got == sorted(got, key=lambda r: r["message"])
+
+
+def test_discarded_searches_are_told(built):
+    many = [f"name_{i}" for i in range(10)]
+    parts = context.resolve_task(built[0], "Fix " + " ".join(f"other_{i}" for i in range(6)), many)
+    assert len(parts["planned"]) == 12 and parts["discarded"] == 4
+    assert context.resolve_task(built[0], "Fix tally", ["tally", "--"])["discarded"] == 1
+    got = context.resolve(*built, "Fix the rounding bug in tally", ["tally", "--"], max_tokens=1000)
+    assert {"code": "input_discarded", "severity": "info"}.items() <= next(d for d in got.diagnostics if d["code"] == "input_discarded").items()
+
+
+def test_a_graph_of_another_repository_is_refused(built):
+    index, graph = built
+    foreign = code_index.Graph(graph.relationships, graph.diagnostics, repository_id="other")
+    with pytest.raises(ValueError, match="other"):
+        context.resolve(index, foreign, "Fix tally", max_tokens=1000)

@@ -1,8 +1,10 @@
+import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import logs
 from quarry.functions import text as T
 from quarry.functions.identity import stable_id
 from quarry.operators import evidence, incremental, search
@@ -146,3 +148,30 @@ def test_registered_queries_run_without_training_operators():
 
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names) and "fts_bm25_topk" in names
+
+
+def test_highlights_show_the_window_of_most_terms(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    cases = [
+        ("def run(self, value): return value", ["run", "value"], "def [run](self, [value]): return [value]"),
+        (words.replace("w30 ", "run ").replace("w33", "Value"), ["run", "val"], " … w22 w23 w24 w25 w26 w27 w28 w29 [run] w31 w32 [Value] w34 w35 w36 w37 w38 w39"),
+        (words.replace("w20", "w20. run"), ["run"], " … w13 w14 w15 w16 w17 w18 w19 w20. [run] w21 w22 w23 w24 w25 w26 w27 w28 w29 … "),
+        (words.replace("w10", "w10. w").replace("w15", "run"), ["run"], " … w w11 w12 w13 w14 [run] w16 w17 w18 w19 w20 w21 w22 w23 w24 w25 w26 w27 … "),
+        (words.replace("w3 ", "run "), ["run"], "w0 w1 w2 [run] w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17 … "),
+        (words, ["zz"], "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17 … "),
+        ("École alpha", ["ecole"], "[École] alpha"), ("(x) run", ["run"], "(x) [run]"), ("", ["a"], ""), (None, ["a"], ""), ("...", ["a"], "..."), ("a b", [], "a b"),
+    ]
+    rows = spark.createDataFrame([(i, t, q) for i, (t, q, _) in enumerate(cases)], "i int, t string, q array<string>")
+    assert [r.out for r in search.highlights(rows, "t", "q", "out").orderBy("i").collect()] == [w for _, _, w in cases]
+
+
+def test_log_records_carry_operation_and_counts(capsys):
+    logs.configure("INFO", as_json=True)
+    with logs.operation("op-1"), logs.stage_log("rank") as counts:
+        counts["candidates"] = 3
+    row = json.loads(capsys.readouterr().err)
+    assert row["operation"] == "op-1" and row["level"] == "INFO" and row["stage"]["candidates"] == 3 and row["stage"]["duration_ms"] >= 0
+    logs.configure()
+    with logs.stage_log("rank"):
+        pass
+    assert not capsys.readouterr().err
