@@ -123,14 +123,15 @@ def highlights(rows: DataFrame, text: str, terms: str, out: str, n: int = SNIPPE
         begin = at - F.floor((n - (last + 1 - at)) / 2).cast("int")
         return F.greatest(F.least(begin, F.col("_n") - n), F.lit(0))
 
-    def windows(at: Column, turn: Column) -> Column:
-        sentence = F.array_max(F.filter("_starts", lambda i: i <= at))
+    def windows(i: Column, turn: Column) -> Column:
+        sentence = F.array_max(F.filter("_starts", lambda x: x <= i))
         bonus = F.when(F.col("_n") <= n, 0).when(sentence == 0, AT_TEXT).otherwise(AT_SENTENCE)
-        one = lambda value, order, begin: F.struct(value.alias("value"), order.alias("order"), begin.alias("begin"))
-        near = one(worth(at), -2 * turn, around(at))
-        return F.when(sentence < at, F.array(near, one(worth(sentence) + bonus, -2 * turn - 1, sentence))).otherwise(F.array(near))
+        one = lambda at, more, order, begin: F.struct(at.alias("at"), more.alias("more"), order.alias("order"), begin.alias("begin"))
+        near = one(i, F.lit(0), -2 * turn, around(i))
+        return F.when(sentence < i, F.array(near, one(sentence, bonus, -2 * turn - 1, sentence))).otherwise(F.array(near))
 
-    best = F.array_max(F.flatten(F.transform("_hits", windows)))
+    told = told.withColumn("_windows", F.flatten(F.transform("_hits", windows)))
+    best = F.array_max(F.transform("_windows", lambda x: F.struct((worth(x["at"]) + x["more"]).alias("value"), x["order"], x["begin"].alias("begin"))))
     told = told.withColumn("_begin", F.when(F.size("_hits") > 0, best["begin"]).otherwise(0))
     told = told.withColumn("_end", F.least(F.col("_begin") + n, F.col("_n")))
     word = lambda i: F.when(hit(i), F.concat(F.lit("["), F.get("_words", i), F.lit("]"))).otherwise(F.get("_words", i))
@@ -138,7 +139,7 @@ def highlights(rows: DataFrame, text: str, terms: str, out: str, n: int = SNIPPE
     shown = F.array_join(F.transform(F.filter(upto(F.col("_n")), lambda i: (i >= F.col("_begin")) & (i < F.col("_end"))), led), "")
     before = F.when(F.col("_begin") > 0, LEFT_OUT).otherwise(F.get("_gaps", F.lit(0)))
     after = F.when(F.col("_end") < F.col("_n"), LEFT_OUT).when(F.col("_n") > 0, F.get("_gaps", F.col("_n"))).otherwise("")
-    return told.withColumn(out, F.concat(before, shown, after)).drop("_text", "_terms", "_words", "_gaps", "_plain", "_n", "_hits", "_starts", "_begin", "_end")
+    return told.withColumn(out, F.concat(before, shown, after)).drop("_text", "_terms", "_words", "_gaps", "_plain", "_n", "_hits", "_starts", "_windows", "_begin", "_end")
 
 
 def exact_then_text(exact: DataFrame, text: DataFrame, identity: list[str], order: list[str], limit: int, request: list[str] = ()) -> DataFrame:  # noqa: B006

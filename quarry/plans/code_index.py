@@ -327,13 +327,14 @@ def search_many(index: Index, queries: list[str], limit: int = 20) -> DataFrame:
         raise ValueError("search_query_invalid")
     asked = spark.createDataFrame([(i, q.strip()) for i, q in enumerate(queries)], "query_id int, query string")
     asked = asked.withColumn("terms", T.search_terms(F.col("query"))).where(F.size("terms") > 0)
+    if index.postings is None:
+        index.documents = keep(index.documents, "documents")
+        index.postings = postings_of(index.documents)
     docs = index.documents.withColumn("key", _entity_key())
     few = F.broadcast(asked.select("query_id", "query"))  # the caller's queries
     symbols = docs.where("entity_type = 'symbol'")
-    named = symbols.join(few, symbols["name"] == few["query"]).unionByName(symbols.join(few, (symbols["qualified_name"] == few["query"]) & ~symbols["name"].eqNullSafe(symbols["qualified_name"])))
-    exact = named.withColumn("score", T.exact_score(F.col("query"), F.col("qualified_name"))).withColumn("strength", F.lit(0.0))
-    if index.postings is None:
-        index.postings = postings_of(index.documents)
+    named = symbols.withColumn("called", F.explode(F.array_distinct(F.array("name", "qualified_name")))).withColumnRenamed("called", "query").join(few, "query")
+    exact = named.select(*docs.columns, *few.columns).withColumn("score", T.exact_score(F.col("query"), F.col("qualified_name"))).withColumn("strength", F.lit(0.0))
     hits = S.bm25_postings(index.postings, S.statistics(index.postings), asked.select("query_id", "terms"))
     place = docs.select("key", *_ORDER).join(hits, "key")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25"), *_ORDER))
