@@ -19,7 +19,7 @@ import json
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -27,15 +27,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quarry.llm.common import lean, lean_group, small_batches, stage, with_fields
+from quarry.llm.common import lean, lean_cogroup, lean_group, parts, row_hash, small_batches, stage, with_fields
+
+#: Batches of pages, each with the wrappers of its rows.
+Batches = Iterator[tuple[pa.RecordBatch, list[str | None]]]
 
 #: A text is template only if it stands on so many different pages (on all, but two at least, if a host has fewer) and on all that have its slot.
 TEMPLATE_PAGES = 4
-#: Nodes of a wrapper up to which it is widened; texts that meet none of them have their place as their slot.
-NODES = 2000
 #: Bytes of wrappers, and rows of counts, up to which they are sent to every executor.
 BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 100_000
+#: Bytes of a host's wrapper up to which it is put beside each of its pages; a longer one goes once to each share of them.
+WRAPPER_BYTES = 128 << 10
 #: Nodes of wrappers, and counts, that a task keeps before it hands them on.
 HELD = 200_000
 
@@ -362,7 +366,10 @@ class Matcher:
 
     def __init__(self, regex: list[list]):
         self.flat, _ = _flat(regex)
-        self.bodies, self.marks = _bodies(self.flat), [_mark(n) for n in self.flat]
+        self.bodies = _bodies(self.flat)
+        self.places: dict[str, list[int]] = {}  # where each mark stands
+        for i, n in enumerate(self.flat):
+            self.places.setdefault(_mark(n), []).append(i)
         self.first: list[int] = []  # number of each node's first text
         n = 0
         for node in self.flat:
@@ -383,6 +390,20 @@ class Matcher:
                 at = self._assign(n[1], at, slots)
         return at
 
+    def _near(self, marks: list[str]) -> tuple[list[str], list[int]]:
+        """The wrapper's nodes that a page with these marks may meet, and where they stand; an empty mark for those left out between."""
+        own, at = [], []
+        for i, mark in sorted((i, mark) for mark in set(marks) for i in self.places.get(mark, ())):
+            if i != (at[-1] + 1 if at else 0):
+                own.append("")
+                at.append(i - 1)
+            own.append(mark)
+            at.append(i)
+        if (at[-1] if at else -1) != len(self.flat) - 1:
+            own.append("")
+            at.append(len(self.flat) - 1)
+        return own, at
+
     def slots(self, found: list[tuple[str, str, bool]], nodes: list[list]) -> list[str]:
         shape = _shape(nodes)
         numbers = self.known.get(shape)
@@ -390,8 +411,10 @@ class Matcher:
             numbers = [None] * len(found)
             page = fold(nodes)
             page, _ = _grouped(page, [False] * len(page), self.bodies)
-            for i, j in _matches(self.marks, [_mark(n) for n in page]):
-                self._assign([page[j]], self.first[i], numbers)
+            marks = [_mark(n) for n in page]
+            own, at = self._near(marks)
+            for i, j in _matches(own, marks):
+                self._assign([page[j]], self.first[at[i]], numbers)
             if len(self.known) >= 1000:
                 self.known.clear()
             if len(numbers) <= 100:
@@ -439,13 +462,29 @@ def template_texts(counts: dict) -> list[list]:
 
 
 def widen(wrapper: list[list] | None, page: str) -> list[list]:
-    """The wrapper with one more page; it stays as it is if it would grow over NODES nodes."""
+    """The wrapper with one more page."""
     nodes = _bare(fold(layout(page)[1]))
-    return nodes if wrapper is None else _capped(wrapper, align(wrapper, nodes))
+    return nodes if wrapper is None else align(wrapper, nodes)
+
 
+def _push(held: list[tuple[int, list[list]]], nodes: list[list]) -> None:
+    """Adds a page's nodes, or a wrapper, to wrappers of falling levels: two of one level are aligned, which makes one of the next.
 
-def _capped(old: list[list], new: list[list]) -> list[list]:
-    return new if len(_flat(new)[0]) <= NODES else old
+    So each node is met a number of times that grows with the logarithm of the pages, however wide the wrapper gets.
+    """
+    level = 0
+    while held and held[-1][0] == level:
+        nodes = align(held.pop()[1], nodes)
+        level += 1
+    held.append((level, nodes))
+
+
+def _merged(held: list[tuple[int, list[list]]]) -> list[list]:
+    """One wrapper of those that _push holds."""
+    nodes = held[-1][1]
+    for _, other in held[-2::-1]:
+        nodes = align(other, nodes)
+    return nodes
 
 
 def infer(pages: list[str]) -> dict:
@@ -494,11 +533,11 @@ def _structures(pages: DataFrame) -> DataFrame:
 
     def widen_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share = TaskContext.get().partitionId() % 32
-        own: dict[str, list[list]] = {}
+        own: dict[str, list[tuple[int, list[list]]]] = {}
         shapes: set[tuple[str, int]] = set()
 
         def held() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([share] * len(own), pa.int32()), pa.array([json.dumps(w) for w in own.values()], pa.string())], names)
+            batch = pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([share] * len(own), pa.int32()), pa.array([json.dumps(_merged(w)) for w in own.values()], pa.string())], names)
             own.clear()
             shapes.clear()
             return batch
@@ -509,18 +548,16 @@ def _structures(pages: DataFrame) -> DataFrame:
                 shape = (host, _shape(nodes))
                 if shape not in shapes:  # a shape that was met before is covered
                     shapes.add(shape)
-                    nodes = _bare(fold(nodes), texts=False)
-                    own[host] = _capped(own[host], align(own[host], nodes)) if host in own else nodes
-            if len(shapes) > HELD or sum(map(len, own.values())) > HELD:
+                    _push(own.setdefault(host, []), _bare(fold(nodes), texts=False))
+            if len(shapes) > HELD or sum(len(nodes) for kept in own.values() for _, nodes in kept) > HELD:
                 yield held()
         yield held()
 
     def join(table: pa.Table) -> pa.Table:
-        merged: list[list] | None = None
+        wrappers: list[tuple[int, list[list]]] = []
         for regex in sorted(set(table.column("regex").to_pylist())):
-            other = json.loads(regex)
-            merged = other if merged is None else _capped(merged, align(merged, other))
-        return pa.table({"host": table.column("host")[:1], "share": table.column("share")[:1], "regex": pa.array([json.dumps(merged)], pa.string())})
+            _push(wrappers, json.loads(regex))
+        return pa.table({"host": table.column("host")[:1], "share": table.column("share")[:1], "regex": pa.array([json.dumps(_merged(wrappers))], pa.string())})
 
     found = pages.mapInArrow(lean(widen_all), schema)
     for by in (["host", "share"], ["host"]):  # by shares first, so that a large host's wrappers do not all meet in one task
@@ -532,9 +569,32 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _with(pages: DataFrame, wrappers: DataFrame, column: str) -> DataFrame:
-    size = wrappers.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return pages.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
+def _with(pages: DataFrame, wrappers: DataFrame, column: str, names: list[str], f: Callable[[Batches], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """f over all pages (host, of, ...): it gets batches of the columns in names, with the wrapper of each row's host, or None.
+
+    Pages of hosts with long wrappers are dealt into shares by `of`, and a share gets its wrapper once.
+    """
+    long = F.octet_length(column) > WRAPPER_BYTES
+    size, n = wrappers.agg(F.sum(F.when(~long, F.octet_length(column))), F.count_if(long)).first()
+    short, few = wrappers, pages
+    if n:
+        short = wrappers.where(~long)
+        wide = stage(wrappers.where(long).select("host"), "long-wrappers")
+        few = pages.join(_small(wide), "host", "left_anti")
+    joined = few.join(F.broadcast(short) if (size or 0) <= BROADCAST_BYTES else short, "host", "left").select(*names, column)
+    done = joined.mapInArrow(lean(lambda batches: f((b, b.column(column).to_pylist()) for b in batches)), schema)
+    if not n:
+        return done
+
+    def share(table: pa.Table, wrapper: pa.Table) -> pa.Table:
+        w = wrapper.column(column)[0].as_py()
+        batches = table.select(names).to_batches() or [pa.RecordBatch.from_pylist([], table.select(names).schema)]
+        return pa.Table.from_batches(f((b, [w] * b.num_rows) for b in batches))
+
+    shares = parts(pages.sparkSession)
+    own = pages.join(_small(wide), "host", "left_semi").withColumn("share", F.pmod("of", F.lit(shares)).cast("int"))
+    sent = wrappers.where(long).select("host", column, F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    return done.union(own.groupBy("host", "share").cogroup(sent.groupBy("host", "share")).applyInArrow(lean_cogroup(share), schema))
 
 
 def _counts(pages: DataFrame, structures: DataFrame) -> DataFrame:
@@ -542,7 +602,7 @@ def _counts(pages: DataFrame, structures: DataFrame) -> DataFrame:
     names = ["host", "slot", "article", "text", "n", "own"]
     types = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Batches) -> Iterator[pa.RecordBatch]:
         known: dict[str, Matcher] = {}
         counts: dict[tuple, list] = {}
 
@@ -552,8 +612,8 @@ def _counts(pages: DataFrame, structures: DataFrame) -> DataFrame:
             counts.clear()
             return batch
 
-        for batch in batches:
-            for host, page, regex in zip(*[batch.column(c).to_pylist() for c in ("host", "html", "regex")], strict=True):
+        for batch, regexes in batches:
+            for host, page, regex in zip(*[batch.column(c).to_pylist() for c in ("host", "html")], regexes, strict=True):
                 if host not in known:
                     if len(known) >= 100:
                         known.clear()
@@ -563,7 +623,7 @@ def _counts(pages: DataFrame, structures: DataFrame) -> DataFrame:
                 yield held()
         yield held()
 
-    found = _with(pages, structures, "regex").select("host", "html", "regex").mapInArrow(lean(count), "host string, slot string, article boolean, text long, n long, own array<long>")
+    found = _with(pages, structures, "regex", ["host", "html"], count, "host string, slot string, article boolean, text long, n long, own array<long>")
     merged = found.groupBy("host", "slot", "article", "text").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("own")).alias("own"))
     return stage(merged.withColumn("different", F.least(F.size(F.array_distinct("own")), F.lit(TEMPLATE_PAGES))).drop("own"), "slot-counts")
 
@@ -573,8 +633,8 @@ def learn_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> Da
 
     As `infer` does: the expression first, then the template texts by counts of (host, slot, text) and (host, slot).
     """
-    p = pages.where(F.col(page).isNotNull()).select(host_of(F.col(url)).alias("host"), F.col(page).alias("html"))
-    structures = _structures(p)
+    p = pages.where(F.col(page).isNotNull()).select(host_of(F.col(url)).alias("host"), F.col(page).alias("html"), row_hash(pages).alias("of"))
+    structures = _structures(p.select("host", "html"))
     counts = _counts(p, structures)
     texts = counts.where("text is not null")
     hosts = counts.where("slot is null").select("host", F.col("n").alias("pages"), F.col("different").alias("of"))
@@ -596,14 +656,13 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
     small_batches(pages.sparkSession)
     wrappers = learn_wrappers(pages, url, page)
     others = [c for c in pages.columns if c not in (page, "text", "n_chars")]
-    laid = pages.select(F.struct(*others).alias("rest"), host_of(F.col(url)).alias("host"), F.col(page).alias("html"))
-    laid = _with(laid, wrappers, "wrapper").select("rest", "html", "wrapper")
+    laid = pages.select(F.struct(*others).alias("rest"), host_of(F.col(url)).alias("host"), F.col(page).alias("html"), row_hash(pages).alias("of"))
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Batches) -> Iterator[pa.RecordBatch]:
         known: dict[str | None, Extractor] = {}
-        for batch in batches:
+        for batch, own in batches:
             out = []
-            for page, w in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
+            for page, w in zip(batch.column("html").to_pylist(), own, strict=True):
                 if w not in known:
                     if len(known) >= 100:
                         known.clear()
@@ -611,5 +670,5 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
                 out.append(known[w](page))
             yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["rest", "text", "n_chars"])
 
-    done = laid.mapInArrow(lean(look), with_fields([laid.schema["rest"]], "text string, n_chars long"))
+    done = _with(laid, wrappers, "wrapper", ["rest", "html"], look, with_fields([laid.schema["rest"]], "text string, n_chars long"))
     return done.select(*[F.col(f"rest.`{c}`").alias(c) for c in others], "text", "n_chars")

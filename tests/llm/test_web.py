@@ -70,6 +70,22 @@ def test_all_pages_of_a_host_count(spark):
     assert [html_extract.extract(p, wrapper) for p in host] == [want[i] for i in range(400)]
 
 
+def test_wide_wrappers_take_all_pages(spark, monkeypatch):
+    # parts of 300 nodes that no other page has, and a notice and an own text of one place that only the last pages have
+    part = lambda i: "".join(f'<div class="u{i}x{k}">own {i} {k}</div>' for k in range(100))
+    host = [f"<body>{part(i)}<h2>{i} t</h2>{'<p>Notice</p>' if i > 11 and i % 2 else ''}<div>x{i}</div><h3>y{i}</h3>{f'<p>text {i}</p>' if i > 11 and not i % 2 else ''}</body>" for i in range(20)]
+    want = ["\n".join([*(f"own {i} {k}" for k in range(100)), f"{i} t", f"x{i}", f"y{i}", *([f"text {i}"] if i > 11 and not i % 2 else [])]) for i in range(20)]
+    wrapper = html_extract.infer(host)
+    assert [html_extract.extract(p, wrapper) for p in host] == want
+    rows = [(i, f"http://a.com/{i}", p) for i, p in enumerate(host)] + [(100, "http://b.com/", "<p>b</p>"), (101, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "map('a', page_id) AS pairs")
+    for size in (0, html_extract.WRAPPER_BYTES, 1 << 30):
+        monkeypatch.setattr(html_extract, "WRAPPER_BYTES", size)
+        got = html_extract.main_text(pages.coalesce(1)).collect()
+        assert {r.page_id: r.text for r in got} == dict(enumerate(want)) | {100: "b", 101: ""} and len(got) == 22
+        assert all(r.pairs == {"a": r.page_id} and r.n_chars == len(r.text) for r in got)
+
+
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
