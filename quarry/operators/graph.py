@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from quarry.operators.incremental import keep as written
 
 EDGE_ORDER = ["kind", "source", "target", "edge_id"]
+#: Jobs at one node up to which one task joins them with its edges.
+JOBS_OF_A_TASK = 500
+#: Rows up to which one task sorts what was dealt out by job.
+ROWS_OF_A_TASK = 500_000
 
 
 def resolve_tiers(targets: DataFrame, key: list[str], tiers: list[tuple[str, float, DataFrame]]) -> DataFrame:
@@ -60,11 +64,30 @@ def unique_matches(left: DataFrame, right: DataFrame, on: list[str]) -> DataFram
     return left.join(once.select(*on, "_x.*"), on)
 
 
-def neighbours(edges: DataFrame, frontier: DataFrame, direction: str) -> DataFrame:
-    """Edges at frontier nodes (job, node) in a direction, with the node `reached`."""
-    out = edges.join(frontier, edges["source"] == frontier["node"]).select("job", *[edges[c] for c in edges.columns], edges["target"].alias("reached"))
-    into = edges.join(frontier, edges["target"] == frontier["node"]).select("job", *[edges[c] for c in edges.columns], edges["source"].alias("reached"))
-    return {"outgoing": out, "incoming": into, "both": out.unionByName(into)}[direction]
+def by_job(df: DataFrame, rows: int) -> DataFrame:
+    """Rows dealt out by job, to more partitions than usual if there are very many of them."""
+    parts = -(-rows // ROWS_OF_A_TASK)
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, "job") if parts > usual else df.repartition("job")
+
+
+def neighbours(edges: DataFrame, frontier: DataFrame, direction: str, most: int) -> DataFrame:
+    """Edges at frontier nodes (job, node) in a direction, with whether their target (`out`) or source (`into`) was reached.
+
+    Of each node the first `most` edges of a direction in canonical order: a node that very many edges meet costs no job
+    more. A node of many jobs is dealt out by job, so that its edges do not go to one task.
+    """
+    nodes = frontier.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / JOBS_OF_A_TASK).cast("int").alias("_shares"))
+    jobs = frontier.join(nodes, "node").select("job", "node", F.pmod(F.hash("job"), F.col("_shares")).alias("_share"))
+
+    def met(near: str, is_out: bool) -> DataFrame:
+        order = Window.partitionBy("node").orderBy(*[F.asc_nulls_first(c) for c in EDGE_ORDER])
+        at = edges.withColumn("node", F.col(near)).join(nodes, "node").withColumn("_r", F.dense_rank().over(order)).where(F.col("_r") <= most)
+        dealt = at.select("node", *edges.columns, F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share"))
+        return dealt.join(jobs, ["node", "_share"]).select("job", *edges.columns, F.lit(is_out).alias("out"), F.lit(not is_out).alias("into"))
+
+    sides = {"outgoing": [("source", True)], "incoming": [("target", False)], "both": [("source", True), ("target", False)]}[direction]
+    return reduce(DataFrame.unionByName, [met(*side) for side in sides])
 
 
 def traverse(edges: DataFrame, roots: DataFrame, depth: int, limit: int = 500, direction: str = "both", kinds: list[str] | None = None, keep=written) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
@@ -78,7 +101,7 @@ def traverse(edges: DataFrame, roots: DataFrame, depth: int, limit: int = 500, d
     if kinds:
         edges = edges.where(F.col("kind").isin(*kinds))
     start = roots.select("job", "node").distinct()
-    columns, levels = edges.columns, []
+    columns, levels, jobs = edges.columns, [], start.select("job").distinct().count()
 
     def reached() -> DataFrame:
         """Nodes so far with their distance: roots, and the far ends of the edges taken at each level."""
@@ -91,17 +114,20 @@ def traverse(edges: DataFrame, roots: DataFrame, depth: int, limit: int = 500, d
 
     frontier = start
     for level in range(1, depth + 1):
-        met = neighbours(edges, frontier, direction).groupBy("job", *columns).agg(F.collect_set("reached").alias("reached"))
-        room = F.lit(limit)
+        # of one node's first limit + 1 edges at most the used ones are known, so one row beyond the room is among them
+        met = neighbours(edges, frontier, direction, limit + 1).withColumn("old", F.lit(False))
         if levels:
-            met = met.join(taken().select("job", "edge_id"), ["job", "edge_id"], "left_anti")
-            met = met.join(taken().groupBy("job").agg(F.count(F.lit(1)).alias("used")), "job", "left")
-            room = room - F.coalesce("used", F.lit(0))
+            met = met.unionByName(taken().select("job", *columns, F.lit(False).alias("out"), F.lit(False).alias("into"), F.lit(True).alias("old")))
+        # dealt by job once: what follows stays in its task
+        met = by_job(met, jobs * (limit + 1)).groupBy("job", *columns).agg(*[F.max(c).alias(c) for c in ("out", "into", "old")])
         order = Window.partitionBy("job").orderBy(*[F.asc_nulls_first(c) for c in EDGE_ORDER])
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        known, fresh = F.col("old").cast("int"), (~F.col("old")).cast("int")
+        first = met.withColumn("_room", limit - F.sum(known).over(whole)).withColumn("_r", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         # one row beyond the limit tells that there are more
-        first = met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit + 1)
-        new = first.withColumn("_room", room).where(F.col("_r") <= F.col("_room") + 1)
-        new = new.select("job", *columns, "reached", (F.col("_r") <= F.col("_room")).alias("fits"), F.lit(level).alias("level"))
+        new = first.where(~F.col("old") & (F.col("_r") <= F.col("_room") + 1))
+        reached_by = F.filter(F.array(F.when(F.col("out"), F.col("target")), F.when(F.col("into"), F.col("source"))), lambda x: x.isNotNull())
+        new = new.select("job", *columns, reached_by.alias("reached"), (F.col("_r") <= F.col("_room")).alias("fits"), F.lit(level).alias("level"))
         levels.append(keep(new, f"edges-{level}"))
         frontier = reached().where(F.col("distance") == level).select("job", "node")
         ended = reduce(DataFrame.unionByName, [x.where("not fits").select("job") for x in levels]).distinct()

@@ -126,6 +126,60 @@ def test_traverse_is_bounded_and_ends_on_cycles(spark):
         graph.traverse(edges, roots, depth=6)
 
 
+def plain_traverse(edges, jobs, depth, limit):
+    """(edges by job with level, distances) in both directions, by plain loops."""
+    all_taken, all_nodes = set(), {}
+    for job, roots in jobs.items():
+        distance, used, frontier, full = dict.fromkeys(roots, 0), set(), set(roots), False
+        for level in range(1, depth + 1):
+            met = sorted({e for e in edges if (e[0] in frontier or e[1] in frontier) and e[3] not in used}, key=lambda e: (e[2], e[0], e[1], e[3]))
+            room = limit - len(used)
+            full, met = len(met) > room, met[:room]
+            used |= {e[3] for e in met}
+            all_taken |= {(job, e[3], level) for e in met}
+            ends = {b for e in met for a, b in (e[:2], e[1::-1]) if a in frontier}
+            frontier = ends - set(distance)
+            distance |= dict.fromkeys(frontier, level)
+            if full:
+                break
+        all_nodes |= {(job, node): d for node, d in distance.items()}
+    return all_taken, all_nodes
+
+
+def hubs(spark, monkeypatch):
+    """A graph with two hubs, a loop and pairs in both directions, walked by 40 jobs; a node of over 3 jobs is dealt out."""
+    monkeypatch.setattr(graph, "JOBS_OF_A_TASK", 3, raising=False)
+    pairs = [("h", f"x{i}") for i in range(60)] + [(f"x{i}", "g") for i in range(0, 60, 2)] + [("g", f"y{i}") for i in range(30)] + [("x1", "h"), ("h", "h"), ("g", "h")]
+    edges = [(a, b, ["calls", "imports"][i % 2], f"{a}>{b}") for i, (a, b) in enumerate(pairs)]
+    jobs = {f"j{i}": [f"x{i}"] if i % 4 else ["h", f"x{i}"] for i in range(40)}
+    return edges, jobs, spark.createDataFrame(edges, "source string, target string, kind string, edge_id string"), spark.createDataFrame([(j, n) for j, ns in jobs.items() for n in ns], "job string, node string")
+
+
+@pytest.mark.parametrize("limit", [3, 25, 500])
+def test_traverse_meets_no_more_edges_of_a_hub_than_may_be_taken(spark, monkeypatch, limit):
+    edges, jobs, frame, roots = hubs(spark, monkeypatch)
+    written = []
+
+    def keep(df, name):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan tells rows of its operators
+        try:
+            kept, stack = df.collect(), [df._jdf.queryExecution().executedPlan()]
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+        while stack:
+            node = stack.pop()
+            stack += [node.children().apply(i) for i in range(node.children().size())]
+            if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+                written.append(node.metrics().apply("numOutputRows").value())
+        return spark.createDataFrame(kept, df.schema)
+
+    taken, nodes = graph.traverse(frame, roots, depth=3, limit=limit, keep=keep)
+    want, distances = plain_traverse(edges, jobs, 3, limit)
+    assert {(r.job, r.edge_id, r.level) for r in taken.collect()} == want and {(r.job, r.node): r.distance for r in nodes.collect()} == distances
+    if limit == 3:  # 40 jobs, at most 4 nodes each, 4 edges of a node and direction
+        assert max(written) <= 40 * 4 * 4
+
+
 @pytest.mark.parametrize(
     ("language", "text", "expected"),
     [
