@@ -137,6 +137,12 @@ def traverse(edges: DataFrame, roots: DataFrame, depth: int, limit: int = 500, d
 
 def supporting_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each reached node the edges that come from a node one step nearer: (job, node, edge_id), by distance."""
-    near = nodes.select("job", F.col("node").alias("near"), (F.col("distance") + 1).alias("distance"))
-    both = edges.select("job", "edge_id", F.col("source").alias("near"), F.col("target").alias("node")).unionByName(edges.select("job", "edge_id", F.col("target").alias("near"), F.col("source").alias("node")))
-    return both.join(near, ["job", "near"]).join(nodes, ["job", "node", "distance"]).select("job", "node", "distance", "edge_id").distinct()
+    # edges and nodes are dealt by job once; the distance of an edge's ends is then found within the task
+    ends = edges.select("job", "edge_id", "source", "target", F.explode(F.array("source", "target")).alias("node"))
+    told = ends.withColumn("distance", F.lit(None).cast("int")).unionByName(nodes.select("job", "node", "distance"), allowMissingColumns=True)
+    told = by_job(told.where("job is not null and node is not null"), 3 * edges.count())
+    told = told.withColumn("distance", F.max("distance").over(Window.partitionBy("job", "node"))).where("source is not null and target is not null")
+    at = lambda end: F.max(F.when(F.col("node") == F.col(end), F.col("distance")))
+    both = told.groupBy("job", "edge_id", "source", "target").agg(at("source").alias("_s"), at("target").alias("_t"))
+    node = F.when(F.col("_s") + 1 == F.col("_t"), F.col("target")).when(F.col("_t") + 1 == F.col("_s"), F.col("source"))
+    return both.select("job", node.alias("node"), F.greatest("_s", "_t").alias("distance"), "edge_id").where("node is not null").distinct()

@@ -180,6 +180,16 @@ def test_traverse_meets_no_more_edges_of_a_hub_than_may_be_taken(spark, monkeypa
         assert max(written) <= 40 * 4 * 4
 
 
+def test_supporting_edges_deal_rows_once(spark, monkeypatch):
+    edges, jobs, frame, roots = hubs(spark, monkeypatch)
+    taken, nodes = graph.traverse(frame, roots, depth=2, limit=25)
+    ids, (want, distances) = {e[3]: e[:2] for e in edges}, plain_traverse(edges, jobs, 2, 25)
+    told = {(job, b, distances[job, b], i) for job, i, _ in want for a, b in (ids[i], ids[i][::-1]) if distances[job, b] == distances[job, a] + 1}
+    found = graph.supporting_edges(taken, nodes)
+    assert sorted(map(tuple, found.collect())) == sorted(told)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(
     ("language", "text", "expected"),
     [
