@@ -74,9 +74,12 @@ def module_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Module candidates against file paths; a binding holds if it is the only one."""
     p = F.col("p_partkey")
     files = table(spark, sf_dir, "part").select(p.alias("id"), F.lower(F.concat(F.lit("src/m"), p % 500, F.when(p % 4 == 0, ".js").when(p % 4 == 1, ".ts").when(p % 4 == 2, "/index.ts").otherwise(".py"))).alias("path"))
-    paths = T.javascript_module_paths(F.lit("src/a.ts"), F.concat(F.lit("./m"), F.col("o_orderkey") % 600))
-    wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fact_id"), F.explode(F.transform(paths, F.lower)).alias("path"))
-    return wanted.join(files, "path").groupBy("fact_id").agg(F.countDistinct("id").alias("n"), F.min("id").alias("t")).select("fact_id", "n", F.when(F.col("n") == 1, F.col("t")).alias("target"))
+    # a module is looked up once for all facts that import it, and files are counted by path (each has one path) before they are met
+    counted = files.groupBy("path").agg(F.countDistinct("id").alias("n"), F.min("id").alias("t"))
+    facts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fact_id")).distinct().withColumn("module", F.concat(F.lit("./m"), F.col("fact_id") % 600))
+    wanted = facts.select("module").distinct().select("module", F.explode(F.transform(T.javascript_module_paths(F.lit("src/a.ts"), F.col("module")), F.lower)).alias("path"))
+    found = wanted.join(counted, "path").groupBy("module").agg(F.sum("n").alias("n"), F.min("t").alias("t"))
+    return facts.join(found, "module").select("fact_id", "n", F.when(F.col("n") == 1, F.col("t")).alias("target"))
 
 
 @query("""WITH n AS (SELECT page_id, regexp_extract_all(replace(replace(regexp_replace(url, '\\([^()]*\\)', '', 'g'), '?.', '.'), '::', '.'), '[A-Za-z_$][A-Za-z0-9_$]*') AS x FROM pages)
