@@ -65,14 +65,19 @@ def bounded(text: Column, n: int = 500) -> Column:
     return F.substring(text, 1, n)
 
 
+#: Fixed value: the spaces of Unicode.
+_SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def collapse_space(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """White space runs as one space; none, nor any other space of Unicode, at the ends."""
+    return F.btrim(F.regexp_replace(text, r"\s+", " "), F.lit(_SPACES))
 
 
 def snippet(*candidates: Column, n: int = 300) -> Column:
     """The first candidate that is not blank, white space collapsed, cut to n characters with dots."""
     full = F.coalesce(*[F.nullif(collapse_space(c), F.lit("")) for c in candidates], F.lit(""))
-    return F.when(F.length(full) <= n, full).otherwise(F.concat(F.rtrim(F.substring(full, 1, n - 3)), F.lit("...")))
+    return F.when(F.length(full) <= n, full).otherwise(F.concat(F.rtrim(F.substring(full, 1, n - 3), F.lit(_SPACES)), F.lit("...")))
 
 
 def search_terms(query: Column) -> Column:
