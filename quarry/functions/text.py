@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -150,8 +151,24 @@ def quoted_phrases(task: Column) -> Column:
     return F.slice(F.array_distinct(F.filter(both, lambda x: x != "")), 1, MAX_PHRASES)
 
 
-def task_action(task: Column) -> Column:
-    found = F.coalesce(*[F.when(task.rlike(f"(?i){pattern}"), action) for action, pattern in ACTIONS.items()])
+#: Letters beyond ASCII that fold to ASCII ones.
+FOLDING = "[\u017f\u212a]"
+
+
+def ascii_words(text: Column) -> Column:
+    """A text without characters beyond ASCII, which are no part of a word to RE2, but to Java's word bounds before Java 19."""
+    return F.regexp_replace(text, r"[^\x00-\x7f]|\x0b", "\x01")
+
+
+def ascii_pattern(pattern: str) -> str:
+    """A pattern of lower-case letters as RE2 reads it with (?i): words of ASCII letters, but FOLDING letters match s and k."""
+    word = "[A-Za-z0-9_]"
+    meant = {r"\b": f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))", r"\s": r"[\t\n\f\r ]", "s": "[s\u017f]", "k": "[k\u212a]"}
+    return "".join(meant.get(x, x) for x in re.findall(r"\\.|.", pattern))
+
+
+def task_action(task: Column, actions: dict[str, str] = ACTIONS) -> Column:
+    found = F.coalesce(*[F.when(task.rlike(f"(?i){pattern}"), action) for action, pattern in actions.items()])
     return F.coalesce(found, F.lit("unknown"))
 
 
