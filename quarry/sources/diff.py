@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import subprocess
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 
 HEADER = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
+#: Where a section of a diff begins: a line of a file or hunk.
+SECTION = r"(?<=\n)(?=diff --git |--- |\+\+\+ |@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@)"
 MAX_BYTES, SECONDS = 256 * 1024, 3
 
 
@@ -23,25 +25,27 @@ def hunks(diffs: DataFrame, key: str = "id", text: str = "text", max_hunks: int
     """(key, hunk_no, relative_path, old_start, new_start, content, content_hash, changed_from, changed_to) of every diff.
 
     A hunk belongs to the last +++ (or, for a deletion, ---) line before it; those without a safe path are left out, and
-    of each diff the first max_hunks stay.
+    of each diff the first max_hunks stay. Each diff is read within its row: cut into sections at its file and hunk lines,
+    which are then taken in order.
     """
-    lines = diffs.select(key, F.posexplode(F.split(text, r"(?<=\n)")).alias("at", "line"))
-    w = Window.partitionBy(key).orderBy("at")
-    is_file, is_old, is_new, is_hunk = (F.col("line").rlike(p) for p in (r"^diff --git ", r"^--- ", r"^\+\+\+ ", HEADER))
-    told = lines.withColumn("break", is_file | is_old | is_new | is_hunk).withColumn("section", F.sum(F.when(F.col("break"), 1).otherwise(0)).over(w))
-    clean = F.regexp_replace(F.rtrim(F.regexp_replace("line", r"[\r\n]+$", "")), r"^(---|\+\+\+) ", "")
-    path = F.regexp_replace(F.split(clean, "\t")[0], r"^[ab]/", "")
-    known = F.when(path != "/dev/null", path)
-    files = told.withColumn("file", F.sum(F.when(is_old, 1).otherwise(0)).over(w))
-    files = files.withColumn("new", F.last(F.when(is_new, known), True).over(Window.partitionBy(key, "file").orderBy("at")))
-    files = files.withColumn("old", F.last(F.when(is_old, known), True).over(Window.partitionBy(key, "file").orderBy("at")))
-    inside = files.withColumn("header", F.first(F.col("line")).over(Window.partitionBy(key, "section").orderBy("at")))
-    rows = inside.where(F.col("header").rlike(HEADER)).groupBy(key, "section").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "").alias("content"),
-        F.first("header").alias("header"), F.max(F.coalesce("new", "old")).alias("relative_path"),
-    )
-    safe = rows.where(F.col("relative_path").isNotNull() & T.is_safe_path(F.col("relative_path")))
-    new_start = F.regexp_extract("header", HEADER, 2).cast("int")
+    known = "struct<new:string,old:string,kept:array<struct<relative_path:string,content:string>>>"
+    none = F.lit(None).cast("string")
+
+    def step(done: Column, section: Column) -> Column:
+        is_old, is_new = section.startswith("--- "), section.startswith("+++ ")
+        clean = F.regexp_replace(F.rtrim(F.regexp_replace(F.split(section, "\n", 2)[0], r"\r+$", "")), r"^(---|\+\+\+) ", "")
+        path = F.regexp_replace(F.split(clean, "\t")[0], r"^[ab]/", "")
+        named = F.when(path != "/dev/null", path)
+        new = F.when(is_old, none).when(is_new, F.coalesce(named, done["new"])).otherwise(done["new"])
+        old = F.when(is_old, named).otherwise(done["old"])
+        own = F.coalesce(done["new"], done["old"])
+        wanted = section.rlike(HEADER) & (F.size(done["kept"]) < max_hunks) & T.is_safe_path(own)
+        kept = F.when(wanted, F.concat(done["kept"], F.array(F.struct(own.alias("relative_path"), section.alias("content"))))).otherwise(done["kept"])
+        return F.struct(new.alias("new"), old.alias("old"), kept.alias("kept")).cast(known)
+
+    nothing = F.struct(none.alias("new"), none.alias("old"), F.array().alias("kept")).cast(known)
+    kept = F.aggregate(F.split(text, SECTION), nothing, step, lambda done: done["kept"])
+    rows = diffs.select(key, F.posexplode(kept).alias("at", "hunk")).select(key, (F.col("at") + 1).alias("hunk_no"), "hunk.*")
+    old_start, new_start = (F.regexp_extract("content", HEADER, i).cast("int") for i in (1, 2))
     size = F.size(F.filter(F.split("content", "\n"), lambda x: x.rlike(r"^[ +]")))
-    ranked = safe.withColumn("hunk_no", F.row_number().over(Window.partitionBy(key).orderBy("section"))).where(F.col("hunk_no") <= max_hunks)
-    return ranked.select(key, "hunk_no", F.replace("relative_path", F.lit("\\"), F.lit("/")).alias("relative_path"), F.regexp_extract("header", HEADER, 1).cast("int").alias("old_start"), new_start.alias("new_start"), "content", T.content_hash(F.col("content")).alias("content_hash"), new_start.alias("changed_from"), (new_start + F.greatest(size - 1, F.lit(0))).alias("changed_to"))
+    return rows.select(key, "hunk_no", F.replace("relative_path", F.lit("\\"), F.lit("/")).alias("relative_path"), old_start.alias("old_start"), new_start.alias("new_start"), "content", T.content_hash(F.col("content")).alias("content_hash"), new_start.alias("changed_from"), (new_start + F.greatest(size - 1, F.lit(0))).alias("changed_to"))
