@@ -14,6 +14,9 @@ from quarry.operators import incremental as I
 from quarry.plans.catalog import _EVIDENCE, _SIGNALS, _evidence, _scored, query, table
 from quarry.sources import diff, scan
 
+#: Ids of several rows up to which they are sent to every executor.
+BROADCAST_IDS = 20_000
+
 _EXT = "['py', 'js', 'go', 'txt', 'min.js', 'g.dart', 'TS'][1 + (page_id % 7)]"
 _PATH = f"CASE page_id % 5 WHEN 0 THEN 'node_modules/' WHEN 1 THEN 'src/build_x/' ELSE 'lib/' END || 'p' || page_id || '.' || {_EXT}"
 
@@ -101,10 +104,20 @@ def schema_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CASE WHEN regexp_full_match(x, '[A-Za-z_][A-Za-z0-9_.:-]{0,127}') THEN x END AS key, lower(split_part(x, '.', -1)) AS leaf, count(*) AS n, count(DISTINCT doc_id) AS docs FROM e GROUP BY ALL""")
 def configuration_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Well-formed configuration keys and leaves of qualified names among all words: how often, and in how many texts."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")  # texts are dealt once, their words then stay
-    x = d.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("x"))
-    keys = x.select("doc_id", T.configuration_key(F.col("x")).alias("key"), F.lower(F.substring_index("x", ".", -1)).alias("leaf"))
-    return keys.groupBy("doc_id", "key", "leaf").agg(F.count(F.lit(1)).alias("n")).groupBy("key", "leaf").agg(F.sum("n").alias("n"), F.count("doc_id").alias("docs"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    again = d.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id", F.col("doc_id").alias("again"))
+    repeated = again.limit(BROADCAST_IDS + 1).count()
+    # a word as told: 1 and the key, or 0 and the leaf; sorted within its text, so that no text moves and the first of equal ones is seen
+    told = lambda x: F.when(T.configuration_key(x).isNotNull(), F.concat(F.lit("1"), x)).otherwise(F.concat(F.lit("0"), F.lower(F.substring_index(x, ".", -1))))
+    texts = d.join(F.broadcast(again) if repeated <= BROADCAST_IDS else again, "doc_id", "left") if repeated else d.withColumn("again", F.lit(None))
+    texts = texts.select("doc_id", "again", F.sort_array(F.transform(F.split(F.coalesce("text", F.lit("")), " "), told)).alias("w"))
+    words = texts.select("doc_id", "again", F.explode(F.arrays_zip(F.col("w").alias("x"), F.concat(F.array(F.lit(None).cast("string")), "w").alias("before"))).alias("p"))
+    words = words.select("again", F.col("p.x").alias("x"), (~F.col("p.x").eqNullSafe(F.col("p.before")) & F.col("doc_id").isNotNull() & F.col("again").isNull()).alias("first")).where("x is not null")
+    # rows that share an id are one text
+    docs = F.sum(F.col("first").cast("long")) + (F.countDistinct("again") if repeated else F.lit(0))
+    keys = words.groupBy("x").agg(F.count(F.lit(1)).alias("n"), docs.alias("docs"))
+    rest, is_key = F.expr("substring(x, 2)"), F.col("x").startswith("1")
+    return keys.select(F.when(is_key, rest).alias("key"), F.when(is_key, F.lower(F.substring_index(rest, ".", -1))).otherwise(rest).alias("leaf"), "n", "docs")
 
 
 @query("""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents), e AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
