@@ -68,12 +68,32 @@ def bm25_scan(docs: DataFrame, fields: dict[str, float], terms: list[str], token
 def build_postings(docs: DataFrame, key: str, fields: dict[str, float], tokenize=T.tokens, prefixes: list[str] | None = None) -> DataFrame:  # noqa: ANN001
     """(key, token, f, length): each document's distinct tokens with their weighted counts and the document's length.
 
-    With prefixes, only tokens that begin with one of them are kept: an index for the queries at hand.
+    With prefixes, only tokens that begin with one of them are kept: an index for the queries at hand. Tokens are sorted and
+    counted within their row, so that none of them moves.
     """
-    field_tokens = F.concat(*[F.transform(tokenize(F.col(name)), _weighing(w)) for name, w in fields.items()])
-    held = docs.select(F.col(key).alias("key"), field_tokens.alias("t"))
-    wanted = F.col("t") if prefixes is None else F.filter("t", lambda x: T.any_of([x["token"].startswith(p) for p in prefixes]))
-    return held.select("key", F.size("t").alias("length"), F.explode_outer(wanted).alias("x")).groupBy("key", F.col("x.token").alias("token"), "length").agg(F.sum("x.w").alias("f"))
+    held = docs.select(F.col(key).alias("key"), *[tokenize(F.col(name)).alias(f"_t{i}") for i, name in enumerate(fields)])
+    length = sum((F.size(f"_t{i}") for i in range(len(fields))), F.lit(0))
+    wanted = lambda t: t if prefixes is None else F.filter(t, lambda x: T.any_of([x.startswith(p) for p in prefixes]))
+    if len(fields) == 1:
+        held = held.select("key", length.alias("length"), F.sort_array(wanted(F.col("_t0"))).alias("_s"))
+        token = lambda x: x
+    else:
+        led = F.concat(*[F.transform(wanted(F.col(f"_t{i}")), _weighing(w)) for i, w in enumerate(fields.values())])
+        held = held.select("key", length.alias("length"), F.sort_array(led).alias("_s"))
+        token = lambda x: x["token"]
+    begins = F.filter(F.transform("_s", lambda x, i: F.when((i == 0) | (token(x) != token(F.get("_s", i - 1))), i)), lambda i: i.isNotNull())
+    held = held.select("key", "length", "_s", begins.alias("_b"))
+    ends = F.concat(F.slice("_b", F.lit(2), F.greatest(F.size("_b") - 1, F.lit(0))), F.array(F.size("_s")))
+
+    def run(i: Column, j: Column) -> Column:
+        if len(fields) == 1:
+            f = (j - i) * F.lit(float(next(iter(fields.values()))))
+        else:
+            f = F.aggregate(F.slice("_s", i + 1, j - i), F.lit(0.0), lambda total, x: total + x["w"])
+        return F.struct(token(F.get("_s", i)).alias("token"), f.alias("f"))
+
+    runs = F.when(F.size("_b") > 0, F.zip_with("_b", ends, run))
+    return held.select("key", "length", F.explode_outer(runs).alias("x")).select("key", F.col("x.token").alias("token"), "length", F.col("x.f").alias("f"))
 
 
 def bm25_postings(postings: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:

@@ -175,3 +175,17 @@ def test_log_records_carry_operation_and_counts(capsys):
     with logs.stage_log("rank"):
         pass
     assert not capsys.readouterr().err
+
+
+def test_postings_are_counted_within_their_row(spark):
+    docs = [(1, "b a b Ä", "a c"), (2, None, ""), (3, "", "z z z"), (4, "ab abc", None), (None, "a", "b")]
+    frame = spark.createDataFrame(docs, "id int, body string, name string")
+    for fields, prefixes in (({"body": 1.0}, None), ({"body": 1.5, "name": 8.0}, None), ({"body": 1.0, "name": 8.0}, ["a", "z"])):
+        want = set()
+        for key, body, name in docs:
+            told = [(t, w) for field, w in fields.items() for t in ((body if field == "body" else name) or "").lower().replace("ä", "a").split()]
+            kept = [(t, w) for t, w in told if prefixes is None or t.startswith(tuple(prefixes))]
+            want |= {(key, t, len(told), sum(w for x, w in kept if x == t)) for t, _ in kept} or {(key, None, len(told), None)}
+        found = search.build_postings(frame, "id", fields, prefixes=prefixes)
+        assert sorted(map(repr, map(tuple, found.select("key", "token", "length", "f").collect()))) == sorted(map(repr, want))
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
